@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .packing import op6_packing
+from .quality import op7_quality
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
