@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .langid import op4_langid
+from .media import op3_media
 from .packing import op6_packing
 from .quality import op7_quality
 from .simhash import op1_simhash
@@ -11,6 +12,7 @@ from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_media": op3_media,
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
