@@ -1,4 +1,389 @@
 """All queries of the search engine by name, with SQL for comparison."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from beaconq.functions import classify, text as T
+from beaconq.functions.urls import canonical_url, crawlable, unwrap_redirect
+from beaconq.operators import cache, crawl, rank, requests, retrieve, telemetry
+from beaconq.plans import search as S
+from beaconq.sources import engines as E
+from beaconq.streaming import state
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = " ".join(sql.split()) if "--" not in sql else sql
+        return f
+
+    return add
+
+
+# ---- SQL pieces ----
+def norm(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split({norm(x)}, ' '), lambda w: w <> '')"
+
+
+def toks(x: str) -> str:
+    return f"list_sort(list_distinct({words(x)}))"
+
+
+def cov(q: str, t: str) -> str:
+    return (
+        f"(CASE WHEN len({q}) = 0 THEN 0.0 ELSE len(list_filter({q}, lambda a: list_contains({t}, a) OR (length(a) >= 4 AND "
+        f"len(list_filter({t}, lambda b: starts_with(b, a))) > 0)))::DOUBLE / len({q}) END)"
+    )
+
+
+ASKED = f"asked AS (SELECT item_id AS request_id, array_to_string({words('text')}[1:3], ' ') AS query FROM benchmark)"
+TERMS = f"{ASKED}, terms AS (SELECT request_id, unnest({toks('query')}) AS term FROM asked)"
+LISTS = f"""{TERMS},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words('text')}) AS term FROM documents)
+       WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+good AS (SELECT DISTINCT doc_id, 1 AS good FROM labels WHERE quality = 1),
+hits AS (SELECT h.*, d.n_chars, good FROM (SELECT request_id, doc_id, sum(tf) AS tf, count(*) AS covered FROM terms JOIN tf USING (term) GROUP BY ALL) h
+         JOIN documents d USING (doc_id) LEFT JOIN good USING (doc_id)),
+lists AS (
+  SELECT request_id, doc_id, 'tf' AS engine_id, 0 AS ordinal, 1.0::DOUBLE AS weight, row_number() OVER (PARTITION BY request_id ORDER BY tf DESC, doc_id) AS position FROM hits
+  UNION ALL SELECT request_id, doc_id, 'coverage', 1, 1.25, row_number() OVER (PARTITION BY request_id ORDER BY covered DESC, n_chars, doc_id) FROM hits
+  UNION ALL SELECT request_id, doc_id, 'quality', 2, 0.9, row_number() OVER (PARTITION BY request_id ORDER BY tf DESC, doc_id) FROM hits WHERE good = 1)"""
+MERGED = f"""{LISTS},
+res AS (SELECT l.*, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, array_to_string(string_split(text, ' ')[1:8], ' ') AS title,
+        substr(text, 1, 600) AS content, CAST(1990 + doc_id % 35 AS INTEGER) AS year FROM lists l JOIN documents d USING (doc_id) WHERE position <= 20),
+merged AS (SELECT request_id, canonical_url, any_value(trim(title, ' ')) AS title, any_value(trim(content, ' ')) AS content, any_value(year) AS year,
+  count(DISTINCT engine_id) AS n_engines, count(*) AS n, sum(weight / (60 + position)) + 0.10 * ln(1 + count(DISTINCT engine_id)) AS rrf,
+  product(weight) * count(*) * sum(1.0::DOUBLE / position) AS compat, min(position) AS best FROM res GROUP BY request_id, canonical_url)"""
+
+
+def topk(score: str, rows: str) -> str:
+    return f"""SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, canonical_url) AS rank FROM (SELECT *, {score} AS score FROM {rows})) WHERE rank <= 10"""
+
+
+# ---- Text, URLs ----
+@query(f"SELECT doc_id, len({words('text')}) AS n_words, len({toks('text')}) AS n_tokens, {toks('text')}[1] AS first_token FROM documents")
+def lexical_tokens(spark, d):
+    t = T.tokens(F.col("text"))
+    return S.read(spark, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(t).alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"))
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'),
+ '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))) AS plain_md5 FROM pages""")
+def strip_markup(spark, d):
+    return S.read(spark, d, "pages").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("plain_md5"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+ q AS (SELECT page_id, CASE WHEN regexp_matches(string_split(u, '?')[1], '^https?://[^/]+$') THEN string_split(u, '?')[1] || '/' ELSE string_split(u, '?')[1] END AS base,
+   list_filter(string_split(CASE WHEN contains(u, '?') THEN regexp_replace(u, '^[^?]*\\?', '') ELSE '' END, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')
+     AND string_split(lower(x), '=')[1] NOT IN ('gclid', 'fbclid', 'mc_cid', 'mc_eid', 'ref_src')) AS kv FROM p)
+ SELECT page_id, base || CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x: {'k': string_split(x, '=')[1],
+   'v': CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END})), lambda x: x.k || '=' || x.v), '&') END AS canonical_url FROM q""")
+def url_canonicalize(spark, d):
+    return S.read(spark, d, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query("""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://duckduckgo.com/l/?uddg=' WHEN 1 THEN 'https://www.google.com/url?q='
+ WHEN 2 THEN 'https://r.search.yahoo.com/x/RU=' ELSE '' END AS head, url FROM pages) SELECT page_id, url AS target FROM t""")
+def redirect_unwrap(spark, d):
+    coded = F.url_encode("url")
+    n = F.col("page_id") % 4
+    wrapped = (
+        F.when(n == 0, F.concat(F.lit("https://duckduckgo.com/l/?uddg="), coded)).when(n == 1, F.concat(F.lit("https://www.google.com/url?q="), coded))
+        .when(n == 2, F.concat(F.lit("https://r.search.yahoo.com/x/RU="), coded, F.lit("/RK=0"))).otherwise(F.col("url"))
+    )
+    return S.read(spark, d, "pages").select("page_id", unwrap_redirect(wrapped).alias("target"))
+
+
+@query("""SELECT page_id, starts_with(url, 'https://') AND NOT regexp_matches(url, '^https://(localhost|[^/]*\\.internal|[^/]*\\.localhost|10\\.|127\\.|192\\.168\\.)') AS ok FROM pages""")
+def crawl_url_filter(spark, d):
+    return S.read(spark, d, "pages").select("page_id", crawlable(F.col("url")).alias("ok"))
+
+
+@query("""WITH y AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS y FROM orders), m AS (SELECT *, max(y) OVER (PARTITION BY o_custkey) - y AS age FROM y)
+ SELECT o_orderkey, CASE WHEN age = 0 THEN 0.05 WHEN age = 1 THEN 0.04 WHEN age BETWEEN 2 AND 5 THEN 0.02 ELSE 0.0 END::DOUBLE AS bonus FROM m""")
+def freshness(spark, d):
+    from pyspark.sql import Window as W
+
+    year = T.publication_year(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = S.read(spark, d, "orders").select("o_custkey", "o_orderkey", year.alias("y"))
+    return rows.select("o_orderkey", T.freshness_bonus(F.col("y"), F.max("y").over(W.partitionBy("o_custkey"))).alias("bonus"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE - 1 WHEN 1 THEN o_orderdate::DATE - 7
+ WHEN 2 THEN (o_orderdate::DATE - INTERVAL 1 MONTH)::DATE ELSE (o_orderdate::DATE - INTERVAL 12 MONTH)::DATE END AS since FROM orders""")
+def calendar_back(spark, d):
+    span = F.element_at(F.array(*map(F.lit, ("day", "week", "month", "year"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return S.read(spark, d, "orders").select("o_orderkey", T.days_back(F.to_date("o_orderdate"), span).alias("since"))
+
+
+# ---- Requests ----
+ALIASES = sorted(a for a, _, _ in E.bang_rows()) + ["nosuch"]
+
+
+def banged(spark, d):
+    """User turns as queries; in most, the second word becomes a shortcut."""
+    alias = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("conv_id") % len(ALIASES) + 1).cast("int"))
+    w = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4)
+    text = F.concat_ws(" ", w[0], F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("!"), alias)), F.array_join(F.slice(w, 2, 3), " "))
+    turns = S.read(spark, d, "conversations").filter("turn = 0 AND role = 'user'")
+    return turns.select(F.col("conv_id").alias("request_id"), text.alias("query"))
+
+
+BANG_VALUES = ", ".join(f"('{a}', '{k}', {t!r})" for a, k, t in E.bang_rows())
+
+
+@query(f"""WITH bangs(alias, kind, targets) AS (VALUES {BANG_VALUES}),
+ q AS (SELECT conv_id AS request_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:4] AS w, {ALIASES!r}[CAST(conv_id % {len(ALIASES)} + 1 AS INTEGER)] AS alias,
+   conv_id % 3 > 0 AS has FROM conversations WHERE turn = 0 AND role = 'user')
+ SELECT request_id, array_to_string(w, ' ') AS provider_query, CASE WHEN has THEN q.alias ELSE '' END AS bang,
+  CASE WHEN has AND kind = 'engine' THEN array_to_string(list_sort(targets), ',') ELSE '' END AS engines, CASE WHEN has AND kind = 'category' THEN targets[1] ELSE '' END AS categories,
+  CASE WHEN has AND kind IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM q LEFT JOIN bangs b ON q.alias = b.alias""")
+def bang_resolution(spark, d):
+    rows = requests.resolve_bangs(banged(spark, d), E.bangs(spark))
+    return rows.select("request_id", "provider_query", F.array_join("bangs", ",").alias("bang"), F.array_join("bang_engines", ",").alias("engines"), F.array_join("bang_categories", ",").alias("categories"), "status")
+
+
+def selections(spark, d):
+    """Requests for the categories, engines, or neither, in turn by conversation."""
+    n = F.col("conv_id") % 3
+    none = F.array().cast("array<string>")
+    rows = S.read(spark, d, "conversations").filter("turn = 0").select(
+        F.col("conv_id").alias("request_id"),
+        F.when(n == 0, F.array(F.lit("github"), F.lit("arxiv"))).otherwise(none).alias("engines"),
+        F.when(n == 1, F.array(F.lit("reference"), F.lit("science"))).otherwise(none).alias("categories"),
+    )
+    return rows
+
+
+ENGINE_VALUES = ", ".join(f"({i}, '{e[0]}', {e[2]!r}, {e[3]}, {e[4]})" for i, e in enumerate(E.ENGINES))
+
+
+@query(f"""WITH e(ordinal, engine_id, cats, weight, ttl) AS (VALUES {ENGINE_VALUES}), r AS (SELECT conv_id AS request_id, conv_id % 3 AS n FROM conversations WHERE turn = 0)
+ SELECT request_id, CAST(ordinal AS INTEGER) AS ordinal, engine_id FROM r JOIN e ON CASE n WHEN 0 THEN engine_id IN ('github', 'arxiv') WHEN 1 THEN list_has_any(cats, ['reference', 'science']) ELSE true END""")
+def engine_selection(spark, d):
+    return requests.select_engines(selections(spark, d), E.engines(spark)).select("request_id", "ordinal", "engine_id")
+
+
+@query("""SELECT conv_id AS request_id, array_to_string(list_filter([CASE WHEN conv_id % 4 = 0 THEN 'query_xor_q' END, CASE WHEN conv_id % 5 = 0 THEN 'page_xor_cursor' END,
+ CASE WHEN conv_id % 7 = 0 THEN 'page' END, CASE WHEN conv_id % 25 < 10 OR conv_id % 25 > 20 THEN 'limit' END, CASE WHEN conv_id % 9000 = 0 OR conv_id % 9000 > 8000 THEN 'timeout' END],
+ lambda x: x IS NOT NULL), ',') AS violations FROM conversations WHERE turn = 0""")
+def request_validation(spark, d):
+    c = F.col("conv_id")
+    none = F.array().cast("array<string>")
+    rows = S.read(spark, d, "conversations").filter("turn = 0").select(
+        c.alias("request_id"), F.lit("x").alias("query"), F.when(c % 4 == 0, "y").alias("q"), none.alias("engines"), none.alias("categories"),
+        F.when(c % 7 == 0, 0).otherwise(1).alias("page"), F.when(c % 5 == 0, "c").alias("cursor"), (c % 25).alias("limit"), (c % 9000).alias("timeout_ms"),
+    )
+    return requests.violations(rows).select("request_id", F.array_join("violations", ",").alias("violations"))
+
+
+# ---- Provider lists, merge, rank ----
+@query(f"WITH {LISTS} SELECT request_id, engine_id, position, doc_id FROM lists WHERE position <= 20")
+def provider_lists(spark, d):
+    return S.provider_lists(spark, d).select("request_id", "engine_id", "position", "doc_id")
+
+
+@query(f"WITH {MERGED} SELECT request_id, canonical_url, md5(title) AS title_md5, md5(content) AS content_md5, n_engines, n, best FROM merged")
+def dedup_merge(spark, d):
+    best = F.array_min(F.transform("contributions", lambda c: c["position"]))
+    return S.merged(spark, d).select("request_id", "canonical_url", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"), F.size("engines").alias("n_engines"), F.size("contributions").alias("n"), best.alias("best"))
+
+
+@query(f"WITH {MERGED} {topk('rrf', 'merged')}")
+def rrf_topk(spark, d):
+    return S.search(spark, d, "rrf-v1")
+
+
+@query(f"WITH {MERGED} {topk('compat', 'merged')}")
+def compat_topk(spark, d):
+    return S.search(spark, d, "compat-v1")
+
+
+LEX = (
+    f"(CASE WHEN {norm('query')} <> '' AND contains({norm('title')}, {norm('query')}) THEN 2.0 ELSE 0.0 END + CASE WHEN {norm('query')} <> '' AND contains({norm('content')}, {norm('query')}) THEN 0.75 ELSE 0.0 END"
+    f" + 1.5 * {cov('qt', 'tt')} + 0.6 * {cov('qt', 'ct')} + 0.25 * {cov('qt', 'ut')})::DOUBLE"
+)
+AWARE = f"""aware AS (SELECT m.*, query, {toks('query')} AS qt, {toks('title')} AS tt, {toks('content')} AS ct, {toks('canonical_url')} AS ut,
+  max(year) OVER (PARTITION BY request_id) - year AS age FROM merged m JOIN asked USING (request_id))"""
+FRESH = "(CASE WHEN age = 0 THEN 0.05 WHEN age = 1 THEN 0.04 WHEN age BETWEEN 2 AND 5 THEN 0.02 ELSE 0.0 END)"
+
+
+@query(f"WITH {MERGED}, {AWARE} {topk(f'rrf + CASE WHEN len(qt) > 0 THEN {LEX} + {FRESH} ELSE 0 END', 'aware')}")
+def query_aware_topk(spark, d):
+    return S.search(spark, d, "query-aware-v1")
+
+
+@query(f"WITH {ASKED}, x AS (SELECT request_id, doc_id, {toks('query')} AS qt, {toks('substr(d.text, 1, 600)')} AS dt FROM asked JOIN documents d ON d.doc_id % 100 = request_id % 100) SELECT request_id, doc_id, {cov('qt', 'dt')} AS coverage FROM x")
+def token_coverage(spark, d):
+    """Each query with the documents of its residue class: an equi-join, to test coverage alone."""
+    q = S.benchmark_queries(spark, d).select("request_id", T.tokens(F.col("query")).alias("qt"), (F.col("request_id") % 100).alias("k"))
+    docs = S.read(spark, d, "documents").select("doc_id", T.tokens(F.substring("text", 1, 600)).alias("dt"), (F.col("doc_id") % 100).alias("k"))
+    return q.join(docs, "k").select("request_id", "doc_id", T.coverage(F.col("qt"), F.col("dt")).alias("coverage"))
+
+
+# ---- Responses ----
+def _contains(x: str, markers: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{m}')" for m in markers) + ")"
+
+
+@query(f"""WITH r AS (SELECT page_id, [200, 200, 200, 429, 403, 500][CAST(page_id % 6 + 1 AS INTEGER)] AS status, lower(substr(CASE WHEN page_id % 11 = 0 THEN 'Verify you are human ' || html ELSE html END, 1, 65536)) AS s FROM pages)
+ SELECT page_id, CASE WHEN status = 429 OR {_contains('s', classify.RATE_MARKERS)} THEN 'ENGINE_RATE_LIMITED' WHEN {_contains('s', classify.CHALLENGE_MARKERS)} THEN 'ENGINE_CHALLENGED'
+ WHEN status = 403 OR {_contains('s', classify.DENIED_MARKERS)} THEN 'ENGINE_ACCESS_DENIED' END AS failure FROM r""")
+def challenge_classify(spark, d):
+    status = F.element_at(F.array(*map(F.lit, (200, 200, 200, 429, 403, 500))), (F.col("page_id") % 6 + 1).cast("int"))
+    body = F.when(F.col("page_id") % 11 == 0, F.concat(F.lit("Verify you are human "), "html")).otherwise(F.col("html"))
+    return S.read(spark, d, "pages").select("page_id", classify.body_failure(status, body).alias("failure"))
+
+
+@query("""WITH r AS (SELECT event_id, event_id % 50 AS request_id, event_type AS engine_id, event_id % 97 = 0 AS bad FROM events)
+ SELECT request_id, engine_id, count(*) AS n FROM r WHERE (request_id, engine_id) NOT IN (SELECT request_id, engine_id FROM r WHERE bad) GROUP BY ALL""")
+def all_or_nothing(spark, d):
+    from beaconq.operators import merge
+
+    url = F.when(F.col("event_id") % 97 == 0, "ftp://x").otherwise("https://x.org/")
+    rows = S.read(spark, d, "events").select((F.col("event_id") % 50).alias("request_id"), F.col("event_type").alias("engine_id"), canonical_url(url).alias("canonical_url"))
+    return merge.whole_engines(rows).groupBy("request_id", "engine_id").agg(F.count("*").alias("n"))
+
+
+def reports(spark, d):
+    """Events as reports of engine runs."""
+    return S.read(spark, d, "events").select(
+        (F.col("event_id") % 500).alias("request_id"), F.col("event_type").alias("engine_id"), F.when(F.col("event_id") % 5 == 0, "ENGINE_TIMEOUT").alias("failure_kind"),
+        F.col("value").alias("duration_ms"), F.when(F.col("user_id") % 3 == 0, "hit").otherwise("miss").alias("cache_status"), F.col("event_id").alias("response_bytes"),
+    )
+
+
+REPORTS = "reports AS (SELECT event_id % 500 AS request_id, event_type AS engine_id, CASE WHEN event_id % 5 = 0 THEN 'ENGINE_TIMEOUT' END AS failure_kind, value AS duration_ms, CASE WHEN user_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS cache_status, event_id AS response_bytes FROM events)"
+
+
+@query(f"WITH {REPORTS} SELECT request_id, count(*) FILTER (failure_kind IS NULL) AS successes, count(failure_kind) AS failures, count(failure_kind) > 0 AS partial, CASE WHEN count(*) = count(failure_kind) THEN 'NO_ENGINE_SUCCEEDED' END AS code, CAST(sum(response_bytes) AS BIGINT) AS response_bytes FROM reports GROUP BY request_id")
+def partial_status(spark, d):
+    return telemetry.outcomes(reports(spark, d))
+
+
+@query(f"WITH {REPORTS} SELECT engine_id, CASE WHEN failure_kind IS NULL THEN 'success' ELSE 'failure' END AS outcome, failure_kind, count(*) AS n, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM reports GROUP BY ALL")
+def telemetry_p95(spark, d):
+    return telemetry.p95(reports(spark, d)).withColumn("p95_ms", F.round("p95_ms", 6))
+
+
+@query(f"WITH {REPORTS} SELECT engine_id, cache_status, count(*) AS n FROM reports GROUP BY ALL")
+def telemetry_cache(spark, d):
+    return telemetry.by_cache(reports(spark, d))
+
+
+@query("SELECT user_id % 3 AS client, time_bucket(INTERVAL 60 SECOND, ts) AS minute, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def rate_limit_window(spark, d):
+    calls = S.read(spark, d, "events").select((F.col("user_id") % 3).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    return telemetry.over_limit(calls, 1).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+# ---- Cache ----
+@query("""SELECT o_orderkey, sha256('{"api_version":"v1","categories":["academic","code"],"engines":["arxiv","github"],"limit":' || (o_orderkey % 11 + 10) || ',"locale":null,"page":1,"parsers":["a:1"],"query":"' || o_orderpriority || '","ranking":"rrf-v1"}') AS key FROM orders""")
+def cache_key(spark, d):
+    lits = lambda *xs: F.array(*map(F.lit, xs))
+    key = cache.cache_key(F.col("o_orderpriority"), lits("github", "arxiv"), lits("code", "academic"), F.lit(1), F.col("o_orderkey") % 11 + 10, F.lit(None).cast("string"), F.lit("rrf-v1"), lits("a:1"))
+    return S.read(spark, d, "orders").select("o_orderkey", key.alias("key"))
+
+
+@query("""SELECT o_orderkey, sha256('{"categories":[],"engines":["github","arxiv"],"limit":10,"locale":"en-US","query":"' || o_orderpriority || '","ranking":"rrf-v1"}') AS hash FROM orders""")
+def cursor_query_hash(spark, d):
+    h = cache.cursor_hash(F.col("o_orderpriority"), F.array(F.lit("github"), F.lit("arxiv")), F.array().cast("array<string>"), F.lit(10), F.lit("en-US"), F.lit("rrf-v1"))
+    return S.read(spark, d, "orders").select("o_orderkey", h.alias("hash"))
+
+
+@query("""WITH c AS (SELECT user_id AS key, event_id % 7 = 0 AS negative, event_id AS expires_at FROM events WHERE event_type <> 'view'),
+ a AS (SELECT key, arg_max(negative, expires_at) AS negative FROM c WHERE expires_at > 300 GROUP BY key)
+ SELECT c_custkey, CASE WHEN negative THEN 'negative' WHEN NOT negative THEN 'positive' END AS hit FROM customer LEFT JOIN a ON c_custkey = key""")
+def ttl_cache_hits(spark, d):
+    entries = S.read(spark, d, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("key"), (F.col("event_id") % 7 == 0).alias("negative"), F.col("event_id").alias("expires_at"))
+    asked = S.read(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("key"))
+    return cache.probe(asked, entries, F.lit(300)).select("c_custkey", "hit")
+
+
+# ---- Crawl ----
+LINKS = """links AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a\\s[^>]*href="([^"#]+)', 1), lambda u: starts_with(u, 'https://')) AS l FROM pages WHERE starts_with(url, 'https://'))"""
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"#]+)', 1) AS l FROM pages) SELECT DISTINCT page_id, unnest(list_filter(l, lambda u: starts_with(u, 'https://'))) AS link FROM l""")
+def page_links(spark, d):
+    return S.read(spark, d, "pages").select("page_id", F.explode(crawl.links(F.col("html"))).alias("link"))
+
+
+@query()
+def crawl_documents(spark, d):
+    return crawl.documents(crawl.pages(S.read(spark, d, "pages")), "2026-01-01T00:00:00Z")
+
+
+@query(f"""WITH {LINKS} SELECT sha256(u) AS digest, u AS url FROM (SELECT DISTINCT unnest(l) AS u FROM links) WHERE u NOT IN (SELECT url FROM pages)""")
+def frontier_anti(spark, d):
+    raw = S.read(spark, d, "pages")
+    return crawl.frontier(crawl.pages(raw), raw.select("url"))
+
+
+# ---- Retrieval ----
+BM25 = f"""{TERMS}, lengths AS (SELECT doc_id, len({words('text')}) AS dl FROM documents), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words('text')}) AS term FROM documents) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ bm AS (SELECT request_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) JOIN lengths USING (doc_id), corpus GROUP BY ALL),
+ bmr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)"""
+
+
+@query(f"WITH {BM25} SELECT request_id, rank, doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
+def bm25_topk(spark, d):
+    rows = retrieve.bm25(S.read(spark, d, "documents"), S.benchmark_queries(spark, d))
+    return rows.select("request_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+ s AS (SELECT q.vec_id AS request_id, v.vec_id AS doc_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM q, v),
+ r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT request_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def cosine_topk(spark, d):
+    """Queries are the stated set of rows with ids divisible by 100."""
+    rows = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = rows.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("request_id"), "vector")
+    return retrieve.cosine(rows, asked).select("request_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+FUSED = f"""{MERGED}, prov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(rrf, 9) DESC, canonical_url) AS rank FROM merged) WHERE rank <= 10),
+ {BM25.split('lengths AS', 1)[1].join(['lengths AS', '']).replace(' tf AS (', ' tf2 AS (').replace('FROM tf GROUP BY term', 'FROM tf2 GROUP BY term').replace('JOIN tf USING', 'JOIN tf2 USING')},
+ idx AS (SELECT b.request_id, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, rank, trim(array_to_string(string_split(text, ' ')[1:8], ' '), ' ') AS title, trim(substr(text, 1, 600), ' ') AS content FROM bmr b JOIN documents USING (doc_id) WHERE rank <= 10),
+ f AS (SELECT request_id, canonical_url, coalesce(p.title, i.title) AS title, coalesce(p.content, i.content) AS content, coalesce(p.n_engines, 0) + (i.rank IS NOT NULL)::INT AS n_engines, p.rank AS prank,
+   coalesce(1.0::DOUBLE / (60 + p.rank), 0) + coalesce(1.0::DOUBLE / (60 + i.rank), 0) AS base FROM prov p FULL JOIN idx i USING (request_id, canonical_url)),
+ g AS (SELECT f.*, query, {toks('query')} AS qt, {toks('title')} AS tt, {toks('content')} AS ct, {toks('canonical_url')} AS ut FROM f JOIN asked USING (request_id)),
+ h AS (SELECT *, base + {LEX} + 0.1 * ln(1 + n_engines) AS score FROM g)"""
+
+
+@query(f"WITH {FUSED} SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, prank NULLS LAST, canonical_url) AS rank FROM h) WHERE rank <= 10")
+def hybrid_fusion(spark, d):
+    asked = S.benchmark_queries(spark, d)
+    provider = rank.top(rank.scored(S.merged(spark, d), "rrf-v1")).select("request_id", "canonical_url", "rank", "title", "content", "engines")
+    docs = S.read(spark, d, "documents")
+    hits = retrieve.bm25(docs, asked).join(docs.select("doc_id", "text", "source"), "doc_id")
+    index = hits.select(
+        "request_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string")).alias("canonical_url"), "rank",
+        F.trim(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("title"), F.trim(F.substring("text", 1, 600)).alias("content"), F.array(F.lit("index")).alias("engines"),
+    )
+    rows = rank.fused(provider, index, asked)
+    return rows.select("request_id", "rank", "canonical_url", F.round("score", 6).alias("score"), F.size("engines").alias("n_engines"))
+
+
+# ---- State ----
+@query()
+def coordinator_fold(spark, d):
+    command = F.element_at(F.array(*map(F.lit, ("acquire", "success", "failure", "snapshot"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = S.read(spark, d, "events").select(
+        F.col("event_type").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("nth"), command.alias("command"),
+        F.lit("ENGINE_TIMEOUT").alias("failure_kind"), F.lit(60_000).cast("long").alias("duration_ms"),
+    )
+    return state.coordinate(rows)
