@@ -13,10 +13,10 @@ def shared_root(spark: SparkSession) -> str:
 
     Only where ``spark.checkpoint.dir`` is unset (local tests) is one made here.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="beaconq-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="beaconq-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
