@@ -12,6 +12,7 @@ verified once.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 import uuid
@@ -108,7 +109,10 @@ def store_chunks(docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = chunks.dropDuplicates(["digest"])
     distinct.write.bucketBy(buckets, "digest").option("path", shared_path(spark, "chunks")).format("parquet").saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the chunks just stored
+    # Spark deletes the shuffle files of the chunks just stored once nothing refers to them.
+    del chunks, distinct
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.table(name)
 
 
