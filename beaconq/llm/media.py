@@ -115,9 +115,9 @@ def store_chunks(docs: DataFrame) -> DataFrame:
 
 
 def read_back(payloads: DataFrame, store: DataFrame) -> DataFrame:
-    """Rebuild and verify each payload of (payload, digests); see ``FEATURES`` for what
+    """Rebuild and verify each payload of (payload, digests, copies); see ``FEATURES`` for what
     is worked out from the bytes. A lost or altered chunk fails the job."""
-    lists = payloads.select("payload", F.posexplode("digests").alias("seq", "digest"))
+    lists = payloads.select("payload", "copies", F.posexplode("digests").alias("seq", "digest"))
     uses = lists.groupBy("digest").agg(F.count("*").alias("uses"))
     # A chunk in over 1/1000 of all lists is one of fewer than 1000, of at most MOST bytes each.
     total = lists.count()
@@ -125,14 +125,14 @@ def read_back(payloads: DataFrame, store: DataFrame) -> DataFrame:
     hot_chunks = F.broadcast(materialize(hot.join(store, "digest"), "hot-chunks"))
     rest = lists.join(F.broadcast(hot_chunks.select("digest")), "digest", "left_anti").join(store, "digest")
     parts = rest.unionByName(lists.join(hot_chunks, "digest"))
-    whole = parts.groupBy("payload").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "frame"))).alias("parts"))
+    whole = parts.groupBy("payload", "copies").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "frame"))).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(key, *rebuilt(key, parts)) for key, parts in zip(batch["payload"], batch["parts"])]
-            yield pd.DataFrame(rows, columns=["payload", *FEATURES])
+            rows = [(key, n, *rebuilt(key, parts)) for key, n, parts in zip(batch["payload"], batch["copies"], batch["parts"])]
+            yield pd.DataFrame(rows, columns=["payload", "copies", *FEATURES])
 
-    return whole.mapInPandas(run, "payload binary, " + ", ".join(f"{k} {v}" for k, v in FEATURES.items()))
+    return whole.mapInPandas(run, "payload binary, copies long, " + ", ".join(f"{k} {v}" for k, v in FEATURES.items()))
 
 
 FEATURES = {
@@ -174,9 +174,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     lists = materialize(listed(docs), "chunk-lists")
     store = store_chunks(docs)
     payloads = lists.groupBy("payload").agg(F.first("digests").alias("digests"), F.count("*").alias("copies"))
-    read = read_back(payloads.select("payload", "digests"), store)
-    counted = read.join(lists.groupBy("payload").agg(F.count("*").alias("copies")), "payload")
-    features = materialize(counted, "media-features")
+    features = materialize(read_back(payloads, store), "media-features")
     return attach(lists.select("doc_id", "n_bytes", "payload"), features, "payload", "copies").select("doc_id", "n_bytes", *FEATURES)
 
 
