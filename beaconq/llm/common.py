@@ -42,6 +42,12 @@ def fold(col: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % parts, F.lit(0))
 
 
+def least_hash(rows: DataFrame, most: int) -> DataFrame:
+    """A bounded sample of rows with a doc_id, least hash first; each task sends its
+    own least ones only."""
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
     """Inner-join ``rows`` to ``groups`` (one row for each key, with the key's
     number of rows in ``size``) without sending a hot key to one task.

@@ -19,9 +19,9 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, table
+from .common import fold, least_hash, table
 from .words import Memo
 
 BUCKETS = 1 << 15
@@ -101,8 +101,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter(
         F.col("_label").isin(0, 1) & (fold("doc_id", 3) != 1) & F.col("doc_id").isNotNull()
     )
-    nth = F.row_number().over(W.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.dropDuplicates(["doc_id"]).withColumn("_nth", nth).filter(F.col("_nth") <= rows_per_class).drop("_nth")
+    known = known.dropDuplicates(["doc_id"])
+    picked = least_hash(known.filter("_label = 1"), rows_per_class).unionByName(least_hash(known.filter("_label = 0"), rows_per_class))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 

@@ -20,9 +20,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, table
+from .common import fold, least_hash, table
 
 #: Bounds of the training sample: so many labelled rows of a class, least hash first.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
@@ -194,13 +194,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (fold("doc_id", 3) != 1) & F.col("doc_id").isNotNull()
     )
-    nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = (
-        known.dropDuplicates(["doc_id"])
-        .withColumn("_nth", nth)
-        .filter(F.col("_nth") <= F.when(F.col("label") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS))
-        .drop("_nth")
-    )
+    known = known.dropDuplicates(["doc_id"])
+    picked = least_hash(known.filter("label = 1"), TOXIC_ROWS).unionByName(least_hash(known.filter("label = 0"), CLEAN_ROWS))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
@@ -216,8 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             for label, text in zip(batch["label"], batch["text"]):
                 (toxic if label else clean).update(stem_candidates(text))
-        stems = list(toxic | clean)
-        yield pd.DataFrame({"stem": stems, "t": [toxic[s] for s in stems], "c": [clean[s] for s in stems]})
+        if stems := list(toxic | clean):
+            yield pd.DataFrame({"stem": stems, "t": [toxic[s] for s in stems], "c": [clean[s] for s in stems]})
 
     size = rows.filter("label = 1").count()
     least = max(LEAST_DOCS, int(LEAST_SHARE * size))
