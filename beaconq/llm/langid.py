@@ -18,15 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import fold, table
 
 BUCKETS = 1 << 15
 EPOCHS = 4
 RATE = 2.0
-#: Bound of the training sample: so many rows of a language, least hash first, and so many languages.
+#: Bound of the training sample: so many rows of a language, taken by hash and therefore some few percent more or less, and so many languages.
 ROWS_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
+HASHES = 1 << 32
 #: Codewords have this many bits for each doubling of the languages, and this many besides.
 BITS_PER_DOUBLING, BITS_BESIDES = 3, 4
 #: Two best codewords nearer than this (difference of their probabilities) are ambiguous.
@@ -149,7 +150,8 @@ class Voter:
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Train on a bounded sample of rows outside the held-out fold with a language and
-    a text with letters. Hash rows and counts alone come to the driver."""
+    a text with letters; of rows with the same id and language, the least text. Hash
+    rows and counts alone come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -167,12 +169,12 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & F.col("doc_id").isNotNull()
     )
-    # The sample is of ids; texts are read for those ids alone.
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("_n", nth).filter(F.col("_n") <= rows_per_language).select("doc_id", "lang")
-    common_languages = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    picked = ids.join(F.broadcast(common_languages.select("lang")), "lang").distinct()
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    # Each language's share of the hash range, from its number of rows, so that ids of one language never meet in one task.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    cuts = [(r["lang"], min(HASHES, HASHES * rows_per_language // r["n"])) for r in sizes]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    picked = known.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("cut"))
+    rows = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = rows.mapInPandas(count, "doc_id long, lang string, rows array<int>, counts array<float>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return train([(r["lang"], np.array(r["rows"], np.int64), np.array(r["counts"], np.float64)) for r in got])
