@@ -232,6 +232,12 @@ def token_coverage(spark, d):
     return q.join(docs, "k").select("request_id", "doc_id", T.coverage(F.col("qt"), F.col("dt")).alias("coverage"))
 
 
+@query(f"WITH q AS (SELECT item_id AS request_id, {toks('text')} AS qt FROM benchmark), x AS (SELECT doc_id, {toks('text')} AS dt FROM documents) SELECT request_id, doc_id, {cov('qt', 'dt')} AS coverage FROM q, x")
+def token_coverage_whole(spark, d):
+    """Each benchmark item, whole, with every document, whole."""
+    return S.coverages(S.whole_queries(spark, d), S.read(spark, d, "documents").select("doc_id", "text"))
+
+
 # ---- Responses ----
 def _contains(x: str, markers: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, '{m}')" for m in markers) + ")"

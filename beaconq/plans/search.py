@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from beaconq.functions import text as T
@@ -22,6 +27,45 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), first.alias("query"))
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, query): each benchmark item as it is."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
+
+
+def coverages(queries: DataFrame, docs: DataFrame, block: int = 256) -> DataFrame:
+    """(request_id, doc_id, coverage) for each query with every document, zero included.
+
+    ``queries`` (request_id, query) is a bounded set, collected; ``docs`` (doc_id, text)
+    is met in one pass without a shuffle, ``block`` rows at a time. A word of a document
+    stands for the terms of the queries that it equals or, from four characters on, continues.
+    """
+    asked = queries.select(F.col("request_id").cast("long"), T.tokens(F.col("query")).alias("qt")).collect()
+    ids, sizes = np.array([r["request_id"] for r in asked], np.int64), np.array([len(r["qt"]) for r in asked], np.float64)
+    holders: dict[str, list[int]] = {}
+    for k, r in enumerate(asked):
+        for term in r["qt"]:
+            holders.setdefault(term, []).append(k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @functools.lru_cache(1 << 18)
+        def terms(word: str) -> tuple[str, ...]:
+            return tuple(t for t in [*(word[:n] for n in range(4, len(word))), word] if t in holders)
+
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.iloc[at : at + block]
+                counts = [
+                    np.bincount([k for t in {t for w in words for t in terms(w)} for k in holders[t]], minlength=len(ids)).astype(np.float64)
+                    for words in part["words"]
+                ]
+                shares = np.concatenate(counts) / np.tile(np.maximum(sizes, 1), len(part))
+                doc_ids = part["doc_id"].astype("Int64").repeat(len(ids)).array
+                yield pd.DataFrame({"request_id": np.tile(ids, len(part)), "doc_id": doc_ids, "coverage": shares})
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.array_distinct(T.words(F.col("text"))).alias("words"))
+    return rows.mapInPandas(run, "request_id long, doc_id long, coverage double")
+
+
 def provider_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three providers' lists for each benchmark query, 20 results each at most."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
