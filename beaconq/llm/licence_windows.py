@@ -1,0 +1,116 @@
+"""Licence notices and full licence texts anywhere in a text, also within or across lines.
+
+Method: the words of a whole text are met with the bigrams of all templates at once.
+Where enough of a template's bigrams occur, the window of adjacent words with the
+best Dice coefficient is searched: it starts and ends at a bigram of the template, as
+trimming others off only raises the value, and starts are taken by the best value
+that they could reach, until none can beat what was found. The parts before and after
+the window are searched in turn, so windows of one licence template do not overlap.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from .common import table
+from .licence_texts import TEXTS
+from .licences import TEMPLATES, THRESHOLD, size_bounds, words_in
+
+#: The notices, the reserved-rights line, and the full texts.
+WHOLE = [*TEMPLATES, ("All-Rights-Reserved", "All rights reserved."), *TEXTS.items()]
+WORD = re.compile(r"[a-z0-9]+")
+
+
+class Finder:
+    def __init__(self, templates: list[tuple[str, str]] = WHOLE, threshold: float = THRESHOLD) -> None:
+        self.threshold, self.shapes = threshold, []
+        self.holders: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, (name, text) in enumerate(templates):
+            words = words_in(text)
+            grams = set(zip(words, words[1:]))
+            self.shapes.append((name, grams, *size_bounds(len(grams), threshold)))
+            for g in grams:
+                self.holders[g].append(k)
+        self.holders = dict(self.holders)
+
+    def best(self, grams: list, known: set, lo: int, hi: int, begin: int, end: int) -> tuple[float, int, int] | None:
+        """The window (dice, first, past) of bigrams ``begin`` to ``end`` that reaches the threshold with the most."""
+        inside: Counter = Counter()
+        hits, past, starts, size = 0, begin, [], len(known)
+        for at in range(begin, end):
+            while past < end and (grams[past] in inside or len(inside) < hi):
+                g = grams[past]
+                hits += g in known and g not in inside
+                inside[g] += 1
+                past += 1
+            if grams[at] in known and hits >= lo:
+                starts.append((-hits, at, past))
+            inside[grams[at]] -= 1
+            if not inside[grams[at]]:
+                del inside[grams[at]]
+                hits -= grams[at] in known
+        found = None
+        for reach, at, past in sorted(starts):
+            if found and 2 * -reach / (size - reach) <= found[0]:
+                break
+            seen, shared = set(), 0
+            for i in range(at, past):
+                g = grams[i]
+                if g in seen:
+                    continue
+                seen.add(g)
+                if g in known:
+                    shared += 1
+                    dice = 2 * shared / (len(seen) + size)
+                    if dice >= self.threshold and (not found or dice > found[0]):
+                        found = dice, at, i + 1
+        return found
+
+    def find(self, text: str) -> list[tuple[int, str, float]]:
+        """(line of the first word, licence, dice), in order; of a licence's overlapping windows the best."""
+        lower = text.lower()
+        spans = [m.span() for m in WORD.finditer(lower)]
+        words = [lower[a:b] for a, b in spans]
+        grams = list(zip(words, words[1:]))
+        held: Counter = Counter(k for g in set(grams) for k in self.holders.get(g, ()))
+        windows = defaultdict(list)
+        for k, n in held.items():
+            name, known, lo, hi = self.shapes[k]
+            parts = [(0, len(grams))] if n >= lo else []
+            while parts:
+                begin, end = parts.pop()
+                if one := self.best(grams, known, lo, hi, begin, end):
+                    windows[name].append(one)
+                    parts += [(begin, one[1]), (one[2], end)]
+        rows = []
+        for name, found in windows.items():
+            taken: list[tuple[int, int]] = []
+            for dice, a, b in sorted(found, key=lambda w: (-w[0], w[1] - w[2], w[1])):
+                if all(b <= x or y <= a for x, y in taken):
+                    taken.append((a, b))
+                    rows.append((lower.count("\n", 0, spans[a][0]) + 1, name, dice))
+        return sorted(rows)
+
+
+def scan_windows(docs: DataFrame, templates: list[tuple[str, str]] = WHOLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, line, licence, dice) for each window that reaches the threshold, in one pass
+    without a shuffle; ``line``, from 1, is where it starts. A null text gives no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(templates, threshold)
+        for batch in batches:
+            rows = [(c, *r) for c, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]) for r in finder.find(text)]
+            out = pd.DataFrame(rows, columns=["doc_id", "line", "licence", "dice"])
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"), line=out["line"].astype("int32"), dice=out["dice"].astype(float))
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
+    return rows.mapInPandas(run, "doc_id long, line int, licence string, dice double")
+
+
+def op8_licences_whole(spark, sf_dir: str) -> DataFrame:
+    return scan_windows(table(spark, sf_dir, "documents"))

@@ -11,3 +11,18 @@ def test_coverage_meets_every_document_in_full(spark):
         [(5, 0, 0.0), (5, 1, 0.25), (5, 2, 0.0), (5, 2, 0.0), (5, 103, 0.25), (7, 0, 0.0), (7, 1, 0.0), (7, 2, 0.0), (7, 2, 1.0), (7, 103, 0.0)]
         + [(8, d, 0.0) for d in (0, 1, 2, 2, 103)]
     )
+
+
+def test_licences_within_lines_across_lines_and_in_full():
+    from beaconq.llm.licence_texts import TEXTS
+    from beaconq.llm.licence_windows import Finder
+
+    finder = Finder()
+    named = lambda text: [(line, name) for line, name, _ in finder.find(text)]
+    assert named("Hello.\nThis project is released under the MIT License; see the LICENSE file for details.") == [(2, "MIT")]
+    assert (2, "GPL-3.0", 1.0) in finder.find("a b c\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nd e f")
+    assert named("One.\n\nAll rights reserved.") == [(3, "All-Rights-Reserved")]
+    assert named("Released under the MIT License. And more. Released under the MIT License.") == [(1, "MIT"), (1, "MIT")]
+    for name, text in TEXTS.items():
+        assert (2, name) in named(f"Words before\n{text}\nand words after"), name
+    assert named("") == named("all rights, none reserved of the software") == []
