@@ -188,6 +188,57 @@ def request_validation(spark, d):
     return requests.violations(rows).select("request_id", F.array_join("violations", ",").alias("violations"))
 
 
+# ---- The same for every user turn ----
+USER_TURNS = "SELECT concat(conv_id, ':', turn) AS request_id, conv_id + turn AS n, text FROM conversations WHERE role = 'user'"
+
+
+def user_turns(spark, d):
+    """(request_id, n, text): every user turn as a request; n deals out what is planted."""
+    turns = S.read(spark, d, "conversations").filter("role = 'user'")
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), (F.col("conv_id") + F.col("turn")).alias("n"), "text")
+
+
+@query(f"""WITH bangs(alias, kind, targets) AS (VALUES {BANG_VALUES}),
+ q AS (SELECT request_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS words, {ALIASES!r}[CAST(n % {len(ALIASES)} + 1 AS INTEGER)] AS alias, n % 3 > 0 AS has FROM ({USER_TURNS}))
+ SELECT request_id, words AS provider_query, CASE WHEN has THEN q.alias ELSE '' END AS bang,
+  CASE WHEN has AND kind = 'engine' THEN array_to_string(list_sort(targets), ',') ELSE '' END AS engines, CASE WHEN has AND kind = 'category' THEN targets[1] ELSE '' END AS categories,
+  CASE WHEN has AND kind IS NULL THEN 'unknown' WHEN words = '' THEN 'empty' ELSE 'ok' END AS status FROM q LEFT JOIN bangs b ON q.alias = b.alias""")
+def bang_resolution_whole(spark, d):
+    """Whole texts of all user turns; in most, a shortcut is put after the first word or at the end."""
+    n = F.col("n")
+    alias = F.element_at(F.array(*map(F.lit, ALIASES)), (n % len(ALIASES) + 1).cast("int"))
+    bang = F.when(n % 3 > 0, F.concat(F.lit("!"), alias))
+    w = F.split(F.col("text"), r"\s+", 2)
+    text = F.when(n % 2 == 0, F.concat_ws(" ", w[0], bang, F.get(w, F.lit(1)))).otherwise(F.concat_ws(" ", "text", bang))
+    rows = requests.resolve_bangs(user_turns(spark, d).select("request_id", text.alias("query")), E.bangs(spark))
+    return rows.select("request_id", "provider_query", F.array_join("bangs", ",").alias("bang"), F.array_join("bang_engines", ",").alias("engines"), F.array_join("bang_categories", ",").alias("categories"), "status")
+
+
+@query(f"""WITH e(ordinal, engine_id, cats, weight, ttl) AS (VALUES {ENGINE_VALUES}), r AS (SELECT request_id, n % 3 AS n FROM ({USER_TURNS}))
+ SELECT request_id, CAST(ordinal AS INTEGER) AS ordinal, engine_id FROM r JOIN e ON CASE n WHEN 0 THEN engine_id IN ('github', 'arxiv') WHEN 1 THEN list_has_any(cats, ['reference', 'science']) ELSE true END""")
+def engine_selection_whole(spark, d):
+    n, none = F.col("n") % 3, F.array().cast("array<string>")
+    rows = user_turns(spark, d).select(
+        "request_id",
+        F.when(n == 0, F.array(F.lit("github"), F.lit("arxiv"))).otherwise(none).alias("engines"),
+        F.when(n == 1, F.array(F.lit("reference"), F.lit("science"))).otherwise(none).alias("categories"),
+    )
+    return requests.select_engines(rows, E.engines(spark)).select("request_id", "ordinal", "engine_id")
+
+
+@query(f"""SELECT request_id, array_to_string(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'query_xor_q' WHEN n % 4 = 0 THEN 'query_xor_q' END, CASE WHEN n % 5 = 0 THEN 'page_xor_cursor' END,
+ CASE WHEN n % 7 = 0 THEN 'page' END, CASE WHEN n % 25 < 10 OR n % 25 > 20 THEN 'limit' END, CASE WHEN n % 9000 = 0 OR n % 9000 > 8000 THEN 'timeout' END],
+ lambda x: x IS NOT NULL), ',') AS violations FROM ({USER_TURNS})""")
+def request_validation_whole(spark, d):
+    n, none = F.col("n"), F.array().cast("array<string>")
+    text = F.col("text")
+    rows = user_turns(spark, d).select(
+        "request_id", text.alias("query"), F.when((n % 4 == 0) & (F.coalesce(text, F.lit("")) != ""), "y").alias("q"), none.alias("engines"), none.alias("categories"),
+        F.when(n % 7 == 0, 0).otherwise(1).alias("page"), F.when(n % 5 == 0, "c").alias("cursor"), (n % 25).alias("limit"), (n % 9000).alias("timeout_ms"),
+    )
+    return requests.violations(rows).select("request_id", F.array_join("violations", ",").alias("violations"))
+
+
 # ---- Provider lists, merge, rank ----
 @query(f"WITH {LISTS} SELECT request_id, engine_id, position, doc_id FROM lists WHERE position <= 20")
 def provider_lists(spark, d):
