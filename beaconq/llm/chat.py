@@ -6,8 +6,10 @@ not, the template rewrites history and is reported. A turn's content inside its
 is found by rendering the turn once more with a sentinel for its text.
 
 The template is any function from a list of (role, text) to a string. Conversations
-are streamed turn by turn; of a long one, the latest ``CONTEXT`` turns at least are
-rendered with each new turn, so memory and time per turn are bounded.
+are streamed turn by turn, and each prefix is rendered from its first turn. Only for a
+template declared ``concatenative`` (a turn's output depends on nothing but the turn)
+are no more than the latest ``CONTEXT`` turns at least rendered with each new one, so
+that memory and time per turn are bounded; for others both grow with the conversation.
 """
 
 from __future__ import annotations
@@ -53,10 +55,14 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{BEGIN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+marked_turns.concatenative = True
+
+
 class Renderer:
     """Feeds turns of one conversation to a template and locates what each adds."""
 
-    def __init__(self, template: Template, context: int = CONTEXT) -> None:
+    def __init__(self, template: Template, context: int | None = None) -> None:
+        """``context``: turns kept of long conversations, for concatenative templates only."""
         self.template, self.context = template, context
         self.turns: list[tuple[str, str]] = []
         self.out = template([])
@@ -65,7 +71,7 @@ class Renderer:
         """The piece that the turn adds, where in it the content lies, and whether
         the template changed what it had written before. Then the piece starts where
         the outputs part, and the content is the whole piece."""
-        if len(self.turns) >= 2 * self.context:
+        if self.context and len(self.turns) >= 2 * self.context:
             del self.turns[: -self.context]
             self.out = self.template(self.turns)
         before, self.turns = self.out, [*self.turns, (role, text)]
@@ -92,6 +98,7 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
     with a null ``conv_id`` form one conversation. Conversations of any length are
     streamed; an empty table gives no rows; other columns are not read.
     """
+    context = CONTEXT if getattr(template, "concatenative", False) else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, renderer, nth = object(), None, 0
@@ -99,7 +106,7 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
             rows = []
             for c, role, text in zip(batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None), batch["role"], batch["text"]):
                 if renderer is None or c != conv:
-                    conv, renderer, nth = c, Renderer(template), 0
+                    conv, renderer, nth = c, Renderer(template, context), 0
                 piece, start, end, rewrote = renderer.add(role, text)
                 rows.append((c, nth, piece, start, end, role in learned_roles, rewrote))
                 nth += 1

@@ -39,3 +39,20 @@ def test_every_user_turn_is_a_request(spark, tmp_path):
     assert got["0:4"]["bang"] == alias and got["0:1"]["bang"] == got["1:0"]["bang"] == catalog.ALIASES[1]
     for name in ("engine_selection_whole", "request_validation_whole"):
         assert {r["request_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(got)
+
+
+def test_rewrites_far_back_are_seen(spark):
+    from beaconq.llm import chat
+
+    def numbers_first(turns):
+        """The first turn tells whether there are over 140."""
+        return "".join(f"{'long' if i == 0 and len(turns) > 140 else 'turn'}:{text};" for i, (_, text) in enumerate(turns))
+
+    def once(turns):
+        return "".join(f"{'<bos>' if i == 0 else ''}{text};" for i, (_, text) in enumerate(turns))
+
+    frame = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(150)], "conv_id long, turn long, role string, text string")
+    found = chat.format_turns(frame, numbers_first).filter("rewrites_history").collect()
+    assert [r["nth"] for r in found] == [140]
+    pieces = [r["piece"] for r in sorted(chat.format_turns(frame, once).collect(), key=lambda r: r["nth"])]
+    assert pieces == ["<bos>t0;", *(f"t{i};" for i in range(1, 150))]
