@@ -7,12 +7,8 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 
-def normalize(text: Column) -> Column:
-    """Lower case, runs of anything but letters and digits to one space, trimmed.
-
-    Inputs are taken as NFKC already; ``nfkc`` brings others there.
-    """
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}]+", " "))
+#: Characters that NFKC leaves as they are, whatever stands beside them: texts of these alone need no ``nfkc``.
+STABLE = r"\u0000-\u007F\u00A1\u00AB\u00BB\u00BF\u00C0-ı\u2013\u2014\u2018-\u201E"
 
 
 @F.pandas_udf(StringType())
@@ -22,6 +18,16 @@ def nfkc(text: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def normalize(text: Column) -> Column:
+    """NFKC, lower case, runs of anything but letters and digits to one space, trimmed.
+
+    Only texts that NFKC may change are sent to Python.
+    """
+    text = F.coalesce(text, F.lit(""))
+    text = F.coalesce(nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+", " "))
+
+
 def words(text: Column) -> Column:
     """Normalised words in order; none for a text without letters or digits."""
     plain = normalize(text)
@@ -36,12 +42,17 @@ def tokens(text: Column) -> Column:
 def coverage(query_tokens: Column, text_tokens: Column) -> Column:
     """Share of the query's tokens that the text has, or of which, from four
     characters on, some token of the text is a continuation; 0 for no tokens."""
-    found = F.filter(
-        query_tokens,
-        lambda q: F.array_contains(text_tokens, q)
-        | ((F.char_length(q) >= 4) & F.exists(text_tokens, lambda t: F.startswith(t, q))),
-    )
-    return F.when(F.size(query_tokens) > 0, F.size(found) / F.size(query_tokens)).otherwise(F.lit(0.0))
+    # An array of one binds the tokens, as a lambda must not hold the Python of ``nfkc``.
+    both = F.array(F.struct(query_tokens.alias("q"), text_tokens.alias("t")))
+
+    def share(b: Column) -> Column:
+        found = F.filter(
+            b["q"],
+            lambda q: F.array_contains(b["t"], q) | ((F.char_length(q) >= 4) & F.exists(b["t"], lambda t: F.startswith(t, q))),
+        )
+        return F.when(F.size(b["q"]) > 0, F.size(found) / F.size(b["q"])).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(both, share), 1)
 
 
 def collapse(text: Column) -> Column:

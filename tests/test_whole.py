@@ -56,3 +56,22 @@ def test_rewrites_far_back_are_seen(spark):
     assert [r["nth"] for r in found] == [140]
     pieces = [r["piece"] for r in sorted(chat.format_turns(frame, once).collect(), key=lambda r: r["nth"])]
     assert pieces == ["<bos>t0;", *(f"t{i};" for i in range(1, 150))]
+
+
+def test_words_are_nfkc(spark):
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from beaconq.functions import text as T
+
+    texts = ["ﬁne ﬂow", "Ｆｕｌｌ　ｗｉｄｔｈ １２", "café öl", "x² ½", "plain é – “q”", "ascii", "", None, "Ω Å"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = frame.select("i", T.words(F.col("t")).alias("w"), T.tokens(F.col("t")).alias("k")).collect()
+    for r in rows:
+        want = re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", texts[r["i"]] or "").lower())
+        assert r["w"] == want and r["k"] == sorted(set(want)), texts[r["i"]]
+    stable = re.compile(f"[{T.STABLE}]")
+    for c in filter(stable.match, map(chr, range(0x3000))):
+        assert unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c), hex(ord(c))
