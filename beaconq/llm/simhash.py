@@ -63,15 +63,18 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(set_, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and its fingerprint as a signed long ``fp``; a null text counts as empty."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """``doc_id``, its fingerprint as a signed long ``fp``, and ``row`` (a long that goes
+    along, 0 if not given); a null text counts as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t or "") for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "row": batch["row"]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    row = F.lit(0).cast("long") if row is None else row
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
+    return read.mapInPandas(run, "doc_id long, fp long, row long")
 
 
 def byte_at(fp: Column, position: int) -> Column:
@@ -127,6 +130,16 @@ def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     return pairs.unionByName(stars.distinct()).distinct()
 
 
+def grouped(rows: DataFrame, long_list: int) -> DataFrame:
+    """The distinct fingerprints of ``rows``: fp, n (rows), root, component_id."""
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "prints")
+    joined = components(links(prints.select("fp"), long_list)).withColumnRenamed("node", "fp")
+    rooted = prints.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum(F.lit(1)).alias("size"))
+    by_print = attach(rooted.select("root", "fp", "n"), first, "root", "size")
+    return materialize(by_print.select("fp", "n", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` for each row of ``docs``.
 
@@ -136,12 +149,7 @@ def near_duplicates(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     each give a row. An empty table gives no rows; other columns are not read.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "prints")
-    joined = components(links(prints.select("fp"), long_list)).withColumnRenamed("node", "fp")
-    rooted = prints.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum(F.lit(1)).alias("size"))
-    by_print = attach(rooted.select("root", "fp", "n"), first, "root", "size")
-    classes = materialize(by_print.select("fp", "n", "component_id"), "classes")
+    classes = grouped(rows, long_list).select("fp", "n", "component_id")
     return attach(rows, classes, "fp", "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -155,9 +163,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with its columns as they are.
 
     The row kept is that of the least doc_id (of equal ids, the least by hash of the
-    row); rows without an id are kept, as they cannot be told apart.
+    row; of equal rows any); a row without an id only where no row of its group has one.
     """
-    found = near_duplicates(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    row = F.xxhash64(*docs.columns)
+    rows = materialize(fingerprints(docs, row), "fingerprints")
+    with_root = attach(rows, grouped(rows, LONG_LIST).select("fp", "n", "root"), "fp", "n")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = with_root.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.row").alias("_row")).distinct()
+    kept = docs.withColumn("_row", row).join(first, ["_row"]).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_id", "_row"]).select(*docs.columns)

@@ -75,3 +75,12 @@ def test_words_are_nfkc(spark):
     stable = re.compile(f"[{T.STABLE}]")
     for c in filter(stable.match, map(chr, range(0x3000))):
         assert unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c), hex(ord(c))
+
+
+def test_each_group_of_near_copies_keeps_its_first_row(spark):
+    from beaconq.llm import simhash
+
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "un deux trois quatre")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, c), (None, a), (1, a)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (0, c)])
