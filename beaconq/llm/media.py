@@ -1,7 +1,7 @@
 """Media columns in a store of content-defined chunks.
 
 Method: a rolling gear hash cuts payloads where their content says so; chunks are
-known by their SHA-256, and Spark joins drop those stored before. A payload is kept
+known by their SHA-256, and an aggregation drops repeats within the run. A payload is kept
 as an ordered list of chunk digests. Reading joins the list to the store, puts the
 chunks together in order, and verifies every chunk and the payload by digest.
 
