@@ -13,21 +13,6 @@ def test_coverage_meets_every_document_in_full(spark):
     )
 
 
-def test_licences_within_lines_across_lines_and_in_full():
-    from beaconq.llm.licence_texts import TEXTS
-    from beaconq.llm.licence_windows import Finder
-
-    finder = Finder()
-    named = lambda text: [(line, name) for line, name, _ in finder.find(text)]
-    assert named("Hello.\nThis project is released under the MIT License; see the LICENSE file for details.") == [(2, "MIT")]
-    assert (2, "GPL-3.0", 1.0) in finder.find("a b c\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nd e f")
-    assert named("One.\n\nAll rights reserved.") == [(3, "All-Rights-Reserved")]
-    assert named("Released under the MIT License. And more. Released under the MIT License.") == [(1, "MIT"), (1, "MIT")]
-    for name, text in TEXTS.items():
-        assert (2, name) in named(f"Words before\n{text}\nand words after"), name
-    assert named("") == named("all rights, none reserved of the software") == []
-
-
 def test_every_user_turn_is_a_request(spark, tmp_path):
     from beaconq.plans import catalog
 
@@ -41,23 +26,6 @@ def test_every_user_turn_is_a_request(spark, tmp_path):
         assert {r["request_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(got)
 
 
-def test_rewrites_far_back_are_seen(spark):
-    from beaconq.llm import chat
-
-    def numbers_first(turns):
-        """The first turn tells whether there are over 140."""
-        return "".join(f"{'long' if i == 0 and len(turns) > 140 else 'turn'}:{text};" for i, (_, text) in enumerate(turns))
-
-    def once(turns):
-        return "".join(f"{'<bos>' if i == 0 else ''}{text};" for i, (_, text) in enumerate(turns))
-
-    frame = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(150)], "conv_id long, turn long, role string, text string")
-    found = chat.format_turns(frame, numbers_first).filter("rewrites_history").collect()
-    assert [r["nth"] for r in found] == [140]
-    pieces = [r["piece"] for r in sorted(chat.format_turns(frame, once).collect(), key=lambda r: r["nth"])]
-    assert pieces == ["<bos>t0;", *(f"t{i};" for i in range(1, 150))]
-
-
 def test_words_are_nfkc(spark):
     import re
     import unicodedata
@@ -75,12 +43,3 @@ def test_words_are_nfkc(spark):
     stable = re.compile(f"[{T.STABLE}]")
     for c in filter(stable.match, map(chr, range(0x3000))):
         assert unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c), hex(ord(c))
-
-
-def test_each_group_of_near_copies_keeps_its_first_row(spark):
-    from beaconq.llm import simhash
-
-    a, b, c = ("alpha beta gamma delta", "one two three four five", "un deux trois quatre")
-    rows = [(1, a), (1, b), (2, b), (3, a), (None, c), (None, c), (None, a), (1, a)]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (1, b), (0, c)])
