@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HASHES = 1 << 32
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors see, as the cluster names it.
@@ -24,13 +29,39 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/beaconq/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a finished write are deleted at once, as what it
+    wrote stands in for them."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that what follows
     does not depend on files that go with an executor, nor computes it twice."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.shared_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for df in written:
+        delete_path(df.sparkSession, df.shared_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,20 +73,39 @@ def fold(col: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % parts, F.lit(0))
 
 
-def least_hash(rows: DataFrame, most: int) -> DataFrame:
-    """A bounded sample of rows with a doc_id, least hash first; each task sends its
-    own least ones only."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def hash_share(rows: DataFrame, most: int) -> DataFrame:
+    """A bounded sample of rows with a doc_id: all of them, or where they are more than
+    ``most`` those in a share of the hash range that holds ``most`` of them, give or
+    take few percent. The same rows are taken however the table is partitioned, and
+    nothing is sorted or brought together for it."""
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < HASHES * most // n)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, label): documents outside the held-out fold with label 0 or 1, at
+    most about ``most`` of each. Null, other and held-out labels are left out; an id
+    with both labels counts as 1, and of an id's texts the least is taken. At most that
+    many ids are broadcast; the sample is written, so that texts are read once."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & (fold("doc_id", 3) != 1) & F.col("doc_id").isNotNull()
+    )
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").alias("label"))
+    picked = [hash_share(known.filter(F.col("label") == k), most[k]) for k in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    return materialize(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000, total: int | None = None) -> DataFrame:
     """Inner-join ``rows`` to ``groups`` (one row for each key, with the key's
     number of rows in ``size``) without sending a hot key to one task.
 
     Keys with over 1/``most`` of all rows are fewer than ``most`` by counting, so
     their groups are broadcast whatever the input is; all other keys are shuffled.
+    ``total``: the number of all rows, if it is known.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total = groups.agg(F.sum(size)).first()[0] or 0 if total is None else total
     least = max(total // most, 1000)
     hot = groups.filter(F.col(size) > least).drop(size)
     cold = groups.filter(F.col(size) <= least).drop(size)

@@ -11,6 +11,7 @@ flagged as ambiguous.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,14 +21,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, table
+from .common import HASHES, fold, table
 
 BUCKETS = 1 << 15
 EPOCHS = 4
 RATE = 2.0
-#: Bound of the training sample: so many rows of a language, taken by hash and therefore some few percent more or less, and so many languages.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
-HASHES = 1 << 32
+#: Bound of the training sample: so many rows of a language, taken by hash and therefore
+#: some few percent more or less; fewer where there are so many languages that all
+#: of them together would have over ``MOST_ROWS``. No language is left out.
+ROWS_PER_LANGUAGE, MOST_ROWS = 400, 200_000
 #: Codewords have this many bits for each doubling of the languages, and this many besides.
 BITS_PER_DOUBLING, BITS_BESIDES = 3, 4
 #: Two best codewords nearer than this (difference of their probabilities) are ambiguous.
@@ -36,6 +38,8 @@ WORDS_KEPT = 300_000
 #: Steepness of a word's vote, and how much a unanimous vote weighs in decoding.
 STEEPNESS, UNANIMOUS = 0.5, 8.0
 UNKNOWN = "und"
+#: Word characters that are numbers and no letters, such as superscripts, fractions and Roman numerals.
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -50,6 +54,9 @@ def word_rows(word: str) -> list[int]:
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), in lower case."""
+    if not text.isascii() and not NUMERALS.isdisjoint(text):
+        text = text.translate(dict.fromkeys(map(ord, NUMERALS), " "))
     return LETTERS.findall(text.lower())
 
 
@@ -141,11 +148,10 @@ class Voter:
     def margins(self, words: list[str]) -> np.ndarray:
         if len(self.index) > WORDS_KEPT:
             self.index.clear()
-        get = self.index.get
-        ids = [get(w) for w in words]
+        ids = list(map(self.index.get, words))
         if None in ids:
             ids = [self.index[w] if w in self.index else self._vote(w) for w in words]
-        return UNANIMOUS * self.votes[ids].mean(axis=0, dtype=np.float64)
+        return UNANIMOUS * self.votes.take(ids, axis=0).mean(axis=0, dtype=np.float64)
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
@@ -170,7 +176,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & F.col("doc_id").isNotNull()
     )
     # Each language's share of the hash range, from its number of rows, so that ids of one language never meet in one task.
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    rows_per_language = max(1, min(rows_per_language, MOST_ROWS // max(1, len(sizes))))
     cuts = [(r["lang"], min(HASHES, HASHES * rows_per_language // r["n"])) for r in sizes]
     cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
     picked = known.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("cut"))

@@ -1,9 +1,9 @@
 """Quality classifier from supervised subword embeddings.
 
-Method: every word, character trigram of a word and word n-gram is hashed to a row
-of an embedding table; a document is the mean of its rows; a softmax layer gives
-its class. Table and layer are learned together by stochastic gradient descent in
-numpy on a bounded sample of labelled documents.
+Method: every word, every character trigram of a word and every two adjacent words
+(all that repeat a word as one) are hashed to a row of an embedding table; a document
+is the mean of its rows; a softmax layer gives its class. Table and layer are learned together by stochastic
+gradient descent in numpy on a bounded sample of labelled documents.
 
 The softmax of a mean is linear in the words, so each distinct word's share is
 worked out once and scoring is a sum over words.
@@ -15,31 +15,45 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, least_hash, table
+from .common import fold, labelled, table
 from .words import Memo
 
-BUCKETS = 1 << 15
+#: Hash rows of words and trigrams, and after them those of word bigrams.
+BUCKETS, BIGRAM_BITS = 1 << 15, 16
+ROWS = BUCKETS + (1 << BIGRAM_BITS) + 1
+#: The row of all bigrams whose second word repeats the first.
+ECHO = ROWS - 1
 DIMENSIONS = 12
 EPOCHS = 8
 RATE = 0.5
-#: Bound of the training sample: so many labelled rows of each class, least hash first.
+#: Bound of the training sample: so many labelled rows of each class, give or take few percent (``hash_share``).
 ROWS_PER_CLASS = 2000
 WORDS_KEPT = 400_000
-#: Hash row of the word bigram whose second word repeats the first, whatever the word.
-ECHO = zlib.crc32(b"\x00echo") % BUCKETS
+MIX, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace"))
 
 
 def word_rows(word: str) -> list[int]:
     """Hash rows of one word: itself and its character trigrams, with ends marked."""
     marked = f"<{word}>"
     grams = [marked[i : i + 3] for i in range(len(marked) - 2)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in ["=" + marked, *grams]]
+    return [word_hash(g) % BUCKETS for g in ["=" + marked, *grams]]
+
+
+def bigram_rows(hashes: np.ndarray) -> np.ndarray:
+    """Hash rows of each two adjacent words, from the words' hashes. A word that comes
+    twice is hashed by that alone: repetition is learned once, not for every word."""
+    pairs = (hashes[:-1] * MIX ^ hashes[1:]) * STIR
+    rows = BUCKETS + (pairs >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
+    return np.where(hashes[:-1] == hashes[1:], ECHO, rows)
 
 
 def text_rows(text: str) -> Counter:
@@ -49,8 +63,8 @@ def text_rows(text: str) -> Counter:
     for w, n in Counter(words).items():
         for r in word_rows(w):
             rows[r] += n
-    if echoes := sum(map(eq, words, words[1:])):
-        rows[ECHO] += echoes
+    hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
+    rows.update(bigram_rows(hashes).tolist())
     return rows
 
 
@@ -69,7 +83,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) ->
     """Fit on (label, hash rows, counts). Without examples of both classes the
     outcome is even for all texts."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, np.zeros((2, DIMENSIONS)), np.zeros(2))
+    model = Model(rng.uniform(-1, 1, (ROWS, DIMENSIONS)) / DIMENSIONS, np.zeros((2, DIMENSIONS)), np.zeros(2))
     if len({label for label, _, _ in examples}) < 2:
         return model
     steps, done = EPOCHS * len(examples), 0
@@ -92,21 +106,6 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) ->
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """Labelled documents outside the held-out fold, at most ``rows_per_class`` of a class.
-
-    The sample is taken from the labels by hash, so at most twice that many ids are
-    broadcast. Rows with a null or unknown label are left out.
-    """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter(
-        F.col("_label").isin(0, 1) & (fold("doc_id", 3) != 1) & F.col("doc_id").isNotNull()
-    )
-    known = known.dropDuplicates(["doc_id"])
-    picked = least_hash(known.filter("_label = 1"), rows_per_class).unionByName(least_hash(known.filter("_label = 0"), rows_per_class))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Train on a bounded sample. Only hash rows and counts come to the driver, at
     most one for each row of the table, however long the texts are."""
@@ -117,13 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
-                    "label": batch["_label"],
+                    "label": batch["label"],
                     "rows": [np.fromiter(c.keys(), np.int32, len(c)) for c in found],
                     "counts": [np.fromiter(c.values(), np.float32, len(c)) for c in found],
                 }
             )
 
-    picked = training_rows(docs, labels, "quality", rows_per_class)
+    picked = labelled(docs, labels, "quality", (rows_per_class, rows_per_class))
     got = picked.mapInPandas(count, "doc_id long, label int, rows array<int>, counts array<float>").collect()
     got.sort(key=lambda r: r["doc_id"])
     return train([(r["label"], np.array(r["rows"], np.int64), np.array(r["counts"], np.float64)) for r in got])
@@ -149,20 +148,19 @@ def _scorer(sent):
         shares, bias = sent.value
         table_ = shares.tolist()
 
-        def share(word: str) -> tuple[float, int]:
+        def share(word: str) -> tuple[float, int, int]:
             rows = word_rows(word)
-            return sum([table_[r] for r in rows]), len(rows)
+            return sum([table_[r] for r in rows]), len(rows), word_hash(word)
 
         known = Memo(share, WORDS_KEPT)
         for batch in batches:
             out = np.empty(len(batch))
             for k, text in enumerate(batch):
-                words = (text or "").split()
-                echoes = sum(map(eq, words, words[1:]))
-                total, n = echoes * table_[ECHO], echoes
-                if words:
-                    sums, sizes = zip(*map(known.__getitem__, words))
-                    total, n = total + sum(sums), n + sum(sizes)
+                total, n = 0.0, 0
+                if words := (text or "").split():
+                    sums, sizes, hashes = zip(*map(known.__getitem__, words))
+                    pairs = shares[bigram_rows(np.array(hashes, np.uint64))]
+                    total, n = sum(sums) + float(pairs.sum()), sum(sizes) + len(pairs)
                 out[k] = bias + (total / n if n else 0.0)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 

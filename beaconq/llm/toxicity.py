@@ -1,11 +1,11 @@
 """Toxicity from a weighted finite-state grammar of clauses.
 
 Method: a lexicon transducer (an automaton of word stems) turns the words of a
-clause into symbols: insult, threat, target, negation, report, other. Small
-machines for negation (reaches the next three words), reported speech and target
-(to the end of the clause) are composed with a machine that emits a path label at
-each insult or threat. A document's score is the logistic of the weighted labels of
-its matched clauses, so the same word weighs otherwise when negated or quoted.
+clause into symbols: insult, threat, target, negation, report, other. Transducers
+for negation (which reaches the next three words), reported speech and targets
+rewrite an insult or threat to a marked one; they are composed into one machine,
+whose last symbols are the paths. A document's score is the logistic of the weighted
+paths of its matched clauses, so the same word weighs otherwise when negated or quoted.
 
 Insult stems beyond the seed words and the weights of the paths are learned from a
 bounded sample of labelled documents.
@@ -22,9 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, least_hash, table
+from .common import fold, labelled, table
 
-#: Bounds of the training sample: so many labelled rows of a class, least hash first.
+#: Bounds of the training sample: so many labelled rows of a class, give or take few percent (``hash_share``).
 TOXIC_ROWS, CLEAN_ROWS = 2000, 6000
 THRESHOLD = 0.7
 #: A learned stem explains so many, and this share, of the toxic sample beyond what
@@ -34,7 +34,7 @@ LEAST_DOCS, LEAST_SHARE, FREQUENT_SHARE = 3, 0.005, 0.02
 PURITY = 0.97
 STEM = range(4, 10)
 
-#: Seed words of the lexicon. A final * leaves the ending open.
+#: Seed words of the lexicon, the grammar's own choice. A final * leaves the ending open.
 SEED = {
     "insult": "idiot* moron* stupid* scum loser* worthless pathetic imbecile* dumbass* bastard*",
     "threat": "kill* hurt murder* strangle* stab beat destroy* shoot",
@@ -42,7 +42,7 @@ SEED = {
     "negation": "not never no isn't aren't wasn't nobody",
     "report": "said says called calls quoted quote reported allegedly according wrote",
 }
-#: Weights of the paths before learning.
+#: Weights of the paths before learning.
 PRIOR = {
     ("insult", "plain"): 5.0, ("insult", "targeted"): 5.5, ("insult", "negated"): 2.0, ("insult", "reported"): 2.5,
     ("threat", "plain"): 0.3, ("threat", "targeted"): 1.0, ("threat", "negated"): 0.1, ("threat", "reported"): 0.1,
@@ -64,6 +64,72 @@ class Grammar:
     bias: float = BIAS
 
 
+@dataclass
+class Transducer:
+    """Deterministic, a symbol out for each one in. ``arcs`` has (state, symbol) to
+    (state, symbol out); where it has none, ``rest`` tells where other symbols lead
+    from a state (itself, if that is missing too), and they pass as they are."""
+
+    arcs: dict[tuple, tuple]
+    rest: dict = field(default_factory=dict)
+    start: object = 0
+
+    def step(self, state, symbol: str) -> tuple:
+        return self.arcs.get((state, symbol)) or (self.rest.get(state, state), symbol)
+
+
+def compose(first: Transducer, second: Transducer, symbols: list[str]) -> Transducer:
+    """The transducer that sends what ``first`` gives through ``second``, over all
+    states that the symbols reach."""
+    arcs, start = {}, (first.start, second.start)
+    todo = [start]
+    seen = {start}
+    while todo:
+        state = todo.pop()
+        for symbol in symbols:
+            p, middle = first.step(state[0], symbol)
+            q, out = second.step(state[1], middle)
+            arcs[state, symbol] = (p, q), out
+            if (p, q) not in seen:
+                seen.add((p, q))
+                todo.append((p, q))
+    return Transducer(arcs, {}, start)
+
+
+SYMBOLS = [*SEED, "other"]
+HITS = ("insult", "threat")
+
+
+def negation() -> Transducer:
+    """States count the words that a negation still reaches."""
+    arcs = {(n, "negation"): (NEGATION_REACH, "negation") for n in range(NEGATION_REACH + 1)}
+    arcs |= {(n, hit): (n - 1, f"{hit}/negated") for n in range(1, NEGATION_REACH + 1) for hit in HITS}
+    return Transducer(arcs, {n: n - 1 for n in range(1, NEGATION_REACH + 1)})
+
+
+def after(symbol: str, mark: str) -> Transducer:
+    """Once ``symbol`` was met, hits that have no mark yet get this one."""
+    return Transducer({(0, symbol): (1, symbol)} | {(1, hit): (1, f"{hit}/{mark}") for hit in HITS})
+
+
+def grammar_machine(targeted: bool) -> tuple[list[list[int]], list[list[int]]]:
+    """Tables of the composed machine: next state and path given (-1: none), by state
+    and symbol. A target counts wherever in its clause it stands, so there are two
+    machines, and ``targeted`` is the one for clauses that hold a target."""
+    target = after("target", "targeted")
+    target.start = int(targeted)
+    plain = Transducer({(0, hit): (0, f"{hit}/plain") for hit in HITS})
+    machine = negation()
+    for other in (after("report", "reported"), target, plain):
+        machine = compose(machine, other, SYMBOLS)
+    states = [machine.start, *sorted({s for s, _ in machine.arcs} - {machine.start}, key=repr)]
+    number = {s: k for k, s in enumerate(states)}
+    paths = {"/".join(p): k for k, p in enumerate(PATHS)}
+    to = [[number[machine.arcs[s, x][0]] for x in SYMBOLS] for s in states]
+    out = [[paths.get(machine.arcs[s, x][1], -1) for x in SYMBOLS] for s in states]
+    return to, out
+
+
 class Matcher:
     """The composed machine of a grammar."""
 
@@ -75,23 +141,8 @@ class Matcher:
         for stem, kind in grammar.stems.items():
             self.lexicon.add_word(stem.rstrip("*"), (len(stem.rstrip("*")), stem.endswith("*"), kind))
         self.lexicon.make_automaton()
-        self.arcs: dict[tuple, tuple] = {}
-
-    def _step(self, state: tuple[int, bool, bool], symbol: str) -> tuple[tuple[int, bool, bool], int | None]:
-        """Next state and emitted path of the composition, worked out once for each arc."""
-        if (state, symbol) not in self.arcs:
-            negated, reported, targeted = state
-            out = None
-            if symbol in ("insult", "threat"):
-                how = "negated" if negated else "reported" if reported else "targeted" if targeted else "plain"
-                out = PATHS.index((symbol, how))
-            after = (
-                NEGATION_REACH if symbol == "negation" else max(0, negated - 1),
-                reported or symbol == "report",
-                targeted or symbol == "target",
-            )
-            self.arcs[state, symbol] = after, out
-        return self.arcs[state, symbol]
+        self.machines = [grammar_machine(False), grammar_machine(True)]
+        self.number = {x: k for k, x in enumerate(SYMBOLS)}
 
     def symbols(self, text: str) -> dict[int, str]:
         """Symbols by the start of their word in lower-case text."""
@@ -110,24 +161,25 @@ class Matcher:
         low = text.lower()
         found = self.symbols(low)
         counts = [0] * len(PATHS)
-        hits = sorted(s for s, kind in found.items() if kind in ("insult", "threat"))
-        done = -1
+        hits = sorted(s for s, kind in found.items() if kind in HITS)
+        other, target = self.number["other"], self.number["target"]
+        begin = 0
         for hit in hits:
-            if hit < done:
+            if hit < begin:
                 continue
-            begin = 0
-            for m in CLAUSE_END.finditer(low, max(0, hit - 2000), hit):
+            # Clauses are read from their first word, and every part of a text once.
+            for m in CLAUSE_END.finditer(low, begin, hit):
                 begin = m.end()
-            begin = max(begin, hit - 2000, 0)
             m = CLAUSE_END.search(low, hit)
             done = m.start() if m else len(low)
-            # A target after the insult counts too: the target machine sees the clause first.
-            inside = [(w.start(), found.get(w.start(), "other")) for w in WORD.finditer(low, begin, done)]
-            state = (0, False, any(s == "target" for _, s in inside))
-            for _, symbol in inside:
-                state, out = self._step(state, symbol)
-                if out is not None:
-                    counts[out] += 1
+            inside = [self.number[found[w.start()]] if w.start() in found else other for w in WORD.finditer(low, begin, done)]
+            to, out = self.machines[target in inside]
+            state = 0
+            for symbol in inside:
+                if out[state][symbol] >= 0:
+                    counts[out[state][symbol]] += 1
+                state = to[state][symbol]
+            begin = done
         return counts
 
     def score(self, text: str) -> float:
@@ -148,9 +200,8 @@ def stem_candidates(text: str) -> set[str]:
     """Whole words and open stems of a text."""
     found = set()
     for w in set(WORD.findall(text.lower())):
-        if len(w) <= 40:
-            found.add(w)
-            found.update(w[:k] + "*" for k in STEM if len(w) > k)
+        found.add(w)
+        found.update(w[:k] + "*" for k in STEM if len(w) > k)
     return found
 
 
@@ -189,22 +240,11 @@ def learn_weights(grammar: Grammar, rows: list[tuple[int, list[int]]], pull: flo
     return Grammar(grammar.stems, w[:-1].tolist(), float(w[-1]))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fold, within the bounds of each class."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(
-        F.col("label").isin(0, 1) & (fold("doc_id", 3) != 1) & F.col("doc_id").isNotNull()
-    )
-    known = known.dropDuplicates(["doc_id"])
-    picked = least_hash(known.filter("label = 1"), TOXIC_ROWS).unionByName(least_hash(known.filter("label = 0"), CLEAN_ROWS))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn stems and weights. Stem counts are summed by Spark; only stems that are
     frequent and pure in the sample, and path counts of its rows, reach the driver."""
     spark = docs.sparkSession
-    rows = sample(docs, labels)
+    rows = labelled(docs, labels, "toxic", (CLEAN_ROWS, TOXIC_ROWS))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean = Counter(), Counter()
