@@ -109,6 +109,8 @@ class PrefixEncoder:
                 last[end], sizes[end] = token, size
         ids, at = [], len(raw)
         while at:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary cannot spell {piece!r}")
             ids.append(last[at])
             at -= sizes[at]
         ids.reverse()

@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 
 Template = Callable[[list[tuple[str, str]]], str]
-CONTEXT = 64
+#: From what a turn added, the content's place in it, and the role as given, to role and text.
+Reader = Callable[[str, int, int, str], tuple[str, str]]
+CONTEXT = 4
 #: Private-use characters; one that is not in the role stands for the text while its place is found.
 SENTINELS = "\ue000\ue001\ue002\ue003"
 BEGIN, END = "<|turn|>", "<|done|>"
@@ -33,7 +35,7 @@ CONTROL = [BEGIN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 CONTROL_START = re.compile(r"(?=" + "|".join(map(re.escape, CONTROL)) + r")(.)", re.DOTALL)
 ROLE_LINE = re.compile(re.escape(BEGIN) + r"((?:\\.|[^\\\n])*)\n", re.DOTALL)
 TURNS = (
-    "conv_id long, nth long, piece string, content_start long, content_end long, in_loss boolean, rewrites_history boolean"
+    "conv_id long, nth long, role string, piece string, content_start long, content_end long, in_loss boolean, rewrites_history boolean"
 )
 DIGESTS = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long,"
@@ -55,7 +57,17 @@ def marked_turns(turns: list[tuple[str, str]]) -> str:
     return "".join(f"{BEGIN}{escape(role).replace(chr(10), chr(92) + chr(10))}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-marked_turns.concatenative = True
+def read_marked(piece: str, start: int, end: int, role: str) -> tuple[str, str]:
+    """Role and text of a turn, from the output of ``marked_turns`` alone."""
+    return unescape(ROLE_LINE.match(piece)[1]), unescape(piece[start:end])
+
+
+def read_span(piece: str, start: int, end: int, role: str) -> tuple[str, str]:
+    """For any other template: the role as given, and the content as it stands in the output."""
+    return role, piece[start:end]
+
+
+marked_turns.concatenative, marked_turns.read = True, read_marked
 
 
 class Renderer:
@@ -91,7 +103,8 @@ class Renderer:
 
 def format_turns(conversations: DataFrame, template: Template = marked_turns, learned_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row for each turn, in order within its conversation: the text that it adds
-    to the output, the content's place in that, and whether it is under the loss mask.
+    to the output, the content's place in that, and whether it is under the loss mask,
+    by its role as read from the output where the template has a ``read``.
 
     Turns are ordered by ``turn`` (null first), then role and text, so ties and
     repeated rows have a set order. A null text is empty, a null role ``user``. Rows
@@ -99,6 +112,7 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
     streamed; an empty table gives no rows; other columns are not read.
     """
     context = CONTEXT if getattr(template, "concatenative", False) else None
+    read = getattr(template, "read", read_span)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, renderer, nth = object(), None, 0
@@ -108,9 +122,9 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
                 if renderer is None or c != conv:
                     conv, renderer, nth = c, Renderer(template, context), 0
                 piece, start, end, rewrote = renderer.add(role, text)
-                rows.append((c, nth, piece, start, end, role in learned_roles, rewrote))
+                rows.append((c, nth, role, piece, start, end, read(piece, start, end, role)[0] in learned_roles, rewrote))
                 nth += 1
-            out = pd.DataFrame(rows, columns=["conv_id", "nth", "piece", "content_start", "content_end", "in_loss", "rewrites_history"])
+            out = pd.DataFrame(rows, columns=["conv_id", "nth", "role", "piece", "content_start", "content_end", "in_loss", "rewrites_history"])
             yield out.assign(conv_id=out["conv_id"].astype("Int64"))
 
     rows = conversations.select(
@@ -126,16 +140,16 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
 class Digest:
     """Reads turns of one conversation back from what was formatted."""
 
-    def __init__(self) -> None:
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+    def __init__(self, read: Reader) -> None:
+        self.read, self.turns, self.loss = read, hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
         self.rewrote = False
 
-    def add(self, piece: str, start: int, end: int, in_loss: bool, rewrote: bool) -> None:
+    def add(self, role: str, piece: str, start: int, end: int, in_loss: bool, rewrote: bool) -> None:
         self.n += 1
         self.chars += len(piece)
         self.rewrote |= rewrote
-        role, text = unescape(ROLE_LINE.match(piece)[1]), unescape(piece[start:end])
+        role, text = self.read(piece, start, end, role)
         self.turns.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
         if in_loss:
             self.loss.update(text.encode("utf-8", "replace"))
@@ -145,19 +159,24 @@ class Digest:
         return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.rewrote
 
 
-def digests(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation of ``format_turns`` output, streamed in its order."""
+def digests(turns: DataFrame, template: Template = marked_turns) -> DataFrame:
+    """Digests of each conversation of ``format_turns`` output, streamed in its order.
+
+    Of a template without a ``read``, the content is digested as it stands in the output,
+    under the role as given. Where a turn rewrote history, that is what it wrote anew.
+    """
+    read = getattr(template, "read", read_span)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, digest = None, None
         for batch in batches:
             rows = []
             ids = batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None)
-            for c, nth, *rest in zip(ids, batch["nth"], batch["piece"], batch["content_start"], batch["content_end"], batch["in_loss"], batch["rewrites_history"]):
+            for c, nth, *rest in zip(ids, batch["nth"], batch["role"], batch["piece"], batch["content_start"], batch["content_end"], batch["in_loss"], batch["rewrites_history"]):
                 if nth == 0:
                     if digest:
                         rows.append(digest.row(conv))
-                    conv, digest = c, Digest()
+                    conv, digest = c, Digest(read)
                 digest.add(*rest)
             yield frame(rows)
         if digest:

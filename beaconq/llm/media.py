@@ -1,9 +1,11 @@
 """Media columns in a store of content-defined chunks.
 
 Method: a rolling gear hash cuts payloads where their content says so; chunks are
-known by their SHA-256, and an aggregation drops repeats within the run. A payload is kept
-as an ordered list of chunk digests. Reading joins the list to the store, puts the
-chunks together in order, and verifies every chunk and the payload by digest.
+known by their SHA-256. An anti-join drops those that an earlier store holds, and an
+aggregation, which lets every task drop its own repeats before the shuffle, those of
+the run. A payload is kept as an ordered list of chunk digests. Reading joins the list
+to the store, puts the chunks together in order, and verifies every chunk and the
+payload by digest.
 
 A payload is a run of unsigned 8-bit mono samples, padded to whole frames. Chunk
 bytes are compressed (bzip2, the smallest for chunks of prose) before they are shuffled. Equal payloads are stored, read and
@@ -13,7 +15,6 @@ verified once.
 from __future__ import annotations
 
 import bz2
-import gc
 import hashlib
 import struct
 import uuid
@@ -22,9 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import attach, materialize, shared_path, table
+from .common import attach, delete_path, freed_shuffles, materialize, shared_path, table
 
 FRAME = 192
 PAD = b"\x20"
@@ -34,6 +35,8 @@ CUT_BITS = 13
 WINDOW = 32
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 MAGIC = b"CDC1"
+#: Text in a bucket of the store, at most, give or take the spread of digests.
+BUCKET_BYTES = 256 << 20
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -89,9 +92,24 @@ def listed(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
 
 
-def store_chunks(docs: DataFrame) -> DataFrame:
-    """Write each distinct chunk once (digest, size, frame), in buckets of its digest,
-    so that reading it back needs no second shuffle of the bytes."""
+class Store:
+    """Chunks (digest, size, frame), each once, in buckets of their digest, so that
+    reading them needs no second shuffle of the bytes."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.name, self.path = spark, f"chunks_{uuid.uuid4().hex}", shared_path(spark, "chunks")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
+def store_chunks(docs: DataFrame, n_bytes: int = 0, known: DataFrame | None = None) -> Store:
+    """Write each distinct chunk once, but for those whose ``digest`` is in ``known``.
+    ``n_bytes``, the size of all texts, sets the least number of buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -103,27 +121,27 @@ def store_chunks(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     chunks = docs.select(F.col("text").cast("string")).mapInPandas(run, "digest binary, size int, frame binary")
-    name = f"chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = chunks.dropDuplicates(["digest"])
-    distinct.write.bucketBy(buckets, "digest").option("path", shared_path(spark, "chunks")).format("parquet").saveAsTable(name)
-    # Spark deletes the shuffle files of the chunks just stored once nothing refers to them.
-    del chunks, distinct
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.table(name)
+    if known is not None:
+        distinct = distinct.join(known.select("digest"), "digest", "left_anti")
+    store = Store(spark)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    with freed_shuffles(spark):
+        distinct.write.bucketBy(buckets, "digest").option("path", store.path).format("parquet").saveAsTable(store.name)
+    return store
 
 
 def read_back(payloads: DataFrame, store: DataFrame) -> DataFrame:
-    """Rebuild and verify each payload of (payload, digests, copies); see ``FEATURES`` for what
-    is worked out from the bytes. A lost or altered chunk fails the job."""
+    """Rebuild and verify each payload of (payload, digests, copies) from the chunks of
+    ``store``; see ``FEATURES`` for what is worked out from the bytes. An altered chunk
+    fails the job, and so does a lost one, by the payload's digest."""
     lists = payloads.select("payload", "copies", F.posexplode("digests").alias("seq", "digest"))
     uses = lists.groupBy("digest").agg(F.count("*").alias("uses"))
     # A chunk in over 1/1000 of all lists is one of fewer than 1000, of at most MOST bytes each.
     total = lists.count()
     hot = uses.filter(F.col("uses") > max(1000, total // 1000)).select("digest")
-    hot_chunks = F.broadcast(materialize(hot.join(store, "digest"), "hot-chunks"))
-    rest = lists.join(F.broadcast(hot_chunks.select("digest")), "digest", "left_anti").join(store, "digest")
+    hot_chunks = F.broadcast(materialize(hot.join(store.select("digest", "size", "frame"), "digest"), "hot-chunks"))
+    rest = lists.join(F.broadcast(hot_chunks.select("digest")), "digest", "left_anti").join(store, "digest", "left")
     parts = rest.unionByName(lists.join(hot_chunks, "digest"))
     whole = parts.groupBy("payload", "copies").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "size", "frame"))).alias("parts"))
 
@@ -146,6 +164,8 @@ def rebuilt(key: bytes, parts) -> tuple:
     (format, number of chunks, then size and digest of each) and the chunks' frames."""
     listing, frames, chunks = [MAGIC + struct.pack("<HBI", 8000, 8, len(parts))], [], []
     for p in parts:
+        if p["frame"] is None:
+            raise ValueError("a chunk is not in the store")
         chunk = bz2.decompress(p["frame"])
         if hashlib.sha256(chunk).digest() != bytes(p["digest"]):
             raise ValueError("a stored chunk does not match its digest")
@@ -172,9 +192,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     lists = materialize(listed(docs), "chunk-lists")
-    store = store_chunks(docs)
+    store = store_chunks(docs, lists.agg(F.sum("n_bytes")).first()[0] or 0)
     payloads = lists.groupBy("payload").agg(F.first("digests").alias("digests"), F.count("*").alias("copies"))
-    features = materialize(read_back(payloads, store), "media-features")
+    features = materialize(read_back(payloads, store.rows()), "media-features")
+    store.drop()
     return attach(lists.select("doc_id", "n_bytes", "payload"), features, "payload", "copies").select("doc_id", "n_bytes", *FEATURES)
 
 

@@ -6,21 +6,28 @@ three bytes, so two linked fingerprints share at least five positional bytes: pa
 that meet in the index are tallied, those under five shared bytes dropped, the rest
 verified by their differing bits.
 
-The list of one byte holds 1/256 of all rows, so the index is keyed by three
-positions and their bytes together. Of eight positions in two halves, any five have
-three in one half, hence the four triples of each half suffice (eight keys a row).
-
-Equal fingerprints are one row of the index. A list that is longer than ``LONG_LIST``
-(a large group of near copies) is not paired: its fingerprints meet at centres
-instead. x and y differ in three bits or fewer exactly if some centre is at most one
-bit from x and two from y; hence at a centre with a fingerprint within one bit all
-within two bits belong together. That makes links in proportion to the fingerprints.
+The list of one byte holds 1/256 of all rows, so the index is keyed by several
+positions and their bytes together: by three at first. Of eight positions in two
+halves, any five have three in one half, hence the four triples of each half suffice
+(eight keys a row). Where such a list is longer than ``LONG_LIST``, its members are
+listed anew by one position more, and again: two that share five positions, three of
+them known, have one of any four of the other five in common, so four keys a row
+suffice, and then the four that are left. So lists stay short however many rows there
+are, until only fingerprints with five equal bytes are left in one.
+
+Equal fingerprints are one row of the index. A list of five equal bytes that is still
+longer than ``LONG_LIST`` (a large group of near copies) is not paired: its members
+meet at centres instead. x and y differ in three bits or fewer exactly if some centre
+is at most one bit from x and two from y; hence at a centre with a fingerprint within
+one bit all within two bits belong together. That makes links in proportion to the
+fingerprints.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -28,7 +35,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import attach, materialize, table
+from .common import attach, discard, materialize, table
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,15 +88,32 @@ def byte_at(fp: Column, position: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(255)
 
 
-def triple_keys(fp: Column) -> Column:
-    """The eight index keys of a fingerprint: number of the triple, then its bytes."""
-    keys = []
-    for k, triple in enumerate(TRIPLES):
-        key = F.lit(k).cast("long")
-        for p in triple:
-            key = key * 256 + byte_at(fp, p)
-        keys.append(key)
-    return F.array(*keys)
+def byte_mask(positions: int) -> int:
+    """The bits of the bytes whose positions are set in ``positions``, as a signed long."""
+    mask = sum(255 << 8 * p for p in range(8) if positions >> p & 1)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def wider(positions: int) -> list[int]:
+    """Sets of one position more, of which two fingerprints that share these positions
+    and five in all share one."""
+    others = [p for p in range(8) if not positions >> p & 1]
+    return [positions | 1 << p for p in others[:4]]
+
+
+#: Position sets of the index by level, each with what it becomes where its list is long.
+LEVELS: list[dict[int, list[int]]] = [{sum(1 << p for p in t): [] for t in TRIPLES}]
+while len(LEVELS) < LEAST_BYTES - 2:
+    LEVELS[-1] = {m: wider(m) for m in LEVELS[-1]}
+    LEVELS.append({w: [] for ws in LEVELS[-1].values() for w in ws})
+
+
+def postings(prints: DataFrame, sets: Column) -> DataFrame:
+    """(key, fp, positions): ``prints`` under each of the position sets; the key stands
+    for the set and its bytes. Two keys that clash only make a list longer."""
+    masks = F.create_map(*[F.lit(x) for level in LEVELS for m in level for x in (m, byte_mask(m))])
+    each = prints.select("fp", F.explode(sets).alias("positions"))
+    return each.select(F.xxhash64("positions", F.col("fp").bitwiseAND(masks[F.col("positions")])).alias("key"), "fp", "positions")
 
 
 def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
@@ -98,25 +122,34 @@ def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
     ``prints`` has one row for each fingerprint ``fp``.
     """
-    postings = materialize(prints.select("fp", F.explode(triple_keys(F.col("fp"))).alias("key")), "postings")
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = postings.join(sizes, "key")
-    short = met.filter(F.col("n") <= long_list)
-    left, right = (short.select("key", F.col("fp").alias(x)) for x in "ab")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((F.when(byte_at(differ, p) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
-    pairs = (
-        left.join(right, "key")
-        .filter(F.col("a") < F.col("b"))
-        .filter(shared >= LEAST_BYTES)
-        .filter(F.bit_count(differ) <= MOST_BITS)
-        .select("a", "b")
-    )
-    # Long lists: every fingerprint in one goes to the centres within two bits of it.
+    found, sets, crowded = [], F.array(*map(F.lit, LEVELS[0])), prints
+    for level in LEVELS:
+        listed = materialize(postings(crowded, sets).distinct(), "postings")
+        sizes = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        met = attach(listed, sizes.withColumn("size", F.col("n")), "key", "size")
+        short = met.filter(F.col("n") <= long_list)
+        left, right = (short.select("key", F.col("fp").alias(x)) for x in "ab")
+        pairs = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(shared >= LEAST_BYTES)
+        found.append(materialize(pairs.filter(F.bit_count(differ) <= MOST_BITS).select("a", "b").distinct(), "pairs"))
+        crowded = materialize(met.filter(F.col("n") > long_list).select("fp", "positions"), "crowded")
+        discard(listed)
+        if crowded.isEmpty():
+            break
+        more = F.create_map(*[x for m, ws in level.items() for x in (F.lit(m), F.array(*[F.lit(w) for w in ws]).cast("array<int>"))])
+        sets = more[F.col("positions")]
+    else:
+        found.append(materialize(stars(crowded.select("fp").distinct()), "pairs"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def stars(crowded: DataFrame) -> DataFrame:
+    """Links among fingerprints of which many are near each other: every one goes to
+    the centres within two bits of it, and is linked to the least within one bit."""
     single = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
     near = [0, *single]
     far = [x ^ y for x, y in combinations(single, 2)]
-    crowded = met.filter(F.col("n") > long_list).select("fp").distinct()
 
     def around(masks: list[int], close: bool) -> DataFrame:
         mask = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
@@ -126,8 +159,7 @@ def links(prints: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
     heads = around(near, True).groupBy("centre").agg(F.min("fp").alias("head"))
     members = around(near, True).unionByName(around(far, False)).join(heads, "centre")
-    stars = members.filter("fp <> head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b"))
-    return pairs.unionByName(stars.distinct()).distinct()
+    return members.filter("fp <> head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
 
 
 def grouped(rows: DataFrame, long_list: int) -> DataFrame:
