@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by inner product, from vantage-point trees.
 
-Method: rows are dealt to shards by hash, and each shard has a vantage-point tree.
-Largest inner product becomes least distance by one more component that gives all
-vectors the same length. A subtree is skipped when the triangle inequality puts it
-beyond a query's k-th best so far; the inequality is relaxed by ``factor``: a bound
-counts ``factor`` times, so 1 is exact and more skips more.
-
-Equal vectors are one entry with their least ids, so a vector that a third of all
-rows share costs no more than another. Queries meet shards in blocks.
+Method: a vantage-point tree over a bounded sample divides space into regions; every
+row is dealt to its region, and regions to shards of bounded size by hash. Each shard
+has a vantage-point tree of all its rows. Largest inner product becomes least distance
+by one more component that gives all vectors the same length. A subtree, or a region,
+is skipped when the triangle inequality puts it beyond a query's k-th best so far; the
+inequality is relaxed by ``factor``: a bound counts ``factor`` times, so 1 is exact and
+more skips more.
+
+A query is first answered in its own region, and the k-th best found there tells which
+other regions it has to visit. Equal vectors are one entry with their least ids, so a
+vector that a third of all rows share costs no more than another. Queries meet shards
+in blocks.
 """
 
 from __future__ import annotations
@@ -19,14 +23,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import attach, materialize, table
+from .common import HASHES, attach, discard, materialize, table
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
 LEAF = 64
 FACTOR = 1.15
 NEIGHBOURS = 20
-FOUND = "block long, query int, ids array<long>, score double"
+#: The sample that regions are made from: so many rows, or as many as have so many bytes,
+#: and so many of them in a region at least. All rows are dealt and searched.
+SAMPLE_ROWS, SAMPLE_BYTES, REGION_SAMPLE = 20_000, 32 << 20, 8
 
 
 @dataclass
@@ -74,21 +80,25 @@ def build(x: np.ndarray, leaf: int = LEAF, seed: int = 5) -> Tree:
     return tree
 
 
-def search(tree: Tree, x: np.ndarray, x_lifted: np.ndarray, q: np.ndarray, k: int, factor: float) -> np.ndarray:
-    """Rows of the k largest inner products for each query (-1 where there are fewer)."""
+def reach(q2: np.ndarray, longest2: float, worst: np.ndarray) -> np.ndarray:
+    """Distance at which an inner product is ``worst``, with room for rounding."""
+    return np.sqrt(np.maximum(q2 + longest2 - 2 * worst, 0)) * (1 + 1e-9) + 1e-9
+
+
+def search(tree: Tree, x: np.ndarray, x_lifted: np.ndarray, q: np.ndarray, k: int, factor: float, known: np.ndarray | None = None) -> np.ndarray:
+    """Rows of the k largest inner products for each query (-1 where there are fewer).
+
+    ``known``: inner products that each query has k of elsewhere (-inf for none)."""
     n, longest2 = len(q), float((x_lifted[0] ** 2).sum()) if len(x) else 0.0
     q2 = (q * q).sum(axis=1)
     q_lifted = np.concatenate([q, np.zeros((n, 1))], axis=1)
     best, at = np.full((n, k), -np.inf), np.full((n, k), -1)
-
-    def reach(active: np.ndarray) -> np.ndarray:
-        """Distance of each query's k-th best, with room for rounding."""
-        return np.sqrt(np.maximum(q2[active] + longest2 - 2 * best[active].min(axis=1), 0)) * (1 + 1e-9) + 1e-9
+    floor = np.full(n, -np.inf) if known is None else known
 
     stack = [(0, np.arange(n), np.zeros(n))]
     while stack:
         node, active, bound = stack.pop()
-        active = active[factor * bound <= reach(active)]
+        active = active[factor * bound <= reach(q2[active], longest2, np.maximum(best[active].min(axis=1), floor[active]))]
         if not len(active):
             continue
         if tree.vantage[node] < 0:
@@ -109,6 +119,66 @@ def search(tree: Tree, x: np.ndarray, x_lifted: np.ndarray, q: np.ndarray, k: in
     return at
 
 
+@dataclass
+class Regions:
+    """The inner nodes of a tree over a sample, with the vantage points' coordinates;
+    a side is a node, or a region as its number's complement."""
+
+    points: np.ndarray
+    radius: np.ndarray
+    inner: list[int]
+    outer: list[int]
+    number: int
+    longest: float
+
+    @staticmethod
+    def of(sample: np.ndarray, longest: float, leaf: int) -> Regions:
+        lift = lifted(sample, longest)
+        tree = build(lift, leaf)
+        nodes = [k for k, v in enumerate(tree.vantage) if v >= 0]
+        leaves = [k for k, v in enumerate(tree.vantage) if v < 0]
+        name = {k: i for i, k in enumerate(nodes)} | {k: ~i for i, k in enumerate(leaves)}
+        side = lambda column: [name[column[k]] for k in nodes]
+        points = lift[[tree.vantage[k] for k in nodes]] if nodes else np.zeros((0, lift.shape[1]))
+        return Regions(points, np.array([tree.radius[k] for k in nodes]), side(tree.inner), side(tree.outer), len(leaves), longest)
+
+    def distances(self, x: np.ndarray, node: int) -> np.ndarray:
+        return np.sqrt(((x - self.points[node]) ** 2).sum(axis=1))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The region of each lifted row."""
+        found = np.zeros(len(x), np.int64)
+        stack = [(0 if len(self.points) else ~0, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            if not len(rows):
+                continue
+            if node < 0:
+                found[rows] = ~node
+                continue
+            inside = self.distances(x[rows], node) <= self.radius[node]
+            stack += [(self.inner[node], rows[inside]), (self.outer[node], rows[~inside])]
+        return found
+
+    def visits(self, q: np.ndarray, within: np.ndarray, factor: float) -> list[list[int]]:
+        """The regions that each lifted query may have something in at ``within`` or less, but its own."""
+        found: list[list[int]] = [[] for _ in q]
+        stack = [(0 if len(self.points) else ~0, np.arange(len(q)), np.zeros(len(q)))]
+        while stack:
+            node, rows, bound = stack.pop()
+            near = factor * bound <= within[rows]
+            rows, bound = rows[near], bound[near]
+            if not len(rows):
+                continue
+            if node < 0:
+                for i, b in zip(rows, bound):
+                    found[i].append(~node)
+                continue
+            gap = self.distances(q[rows], node) - self.radius[node]
+            stack += [(self.inner[node], rows, np.maximum(bound, gap)), (self.outer[node], rows, np.maximum(bound, -gap))]
+        return found
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """Rows with an id and a vector that is not zero and has finite components only."""
     value = F.col("embedding")
@@ -123,78 +193,139 @@ def nearest(vectors: DataFrame, is_query, k: int = NEIGHBOURS, factor: float = F
     row that ``is_query`` (a column) holds for, its own id left out.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no
-    part, nor do rows with a null id or a vector of another length than most have. Of
-    equal scores the smaller vec_id comes first. Repeated ids count once for a vector.
-    Fewer candidates than k give fewer rows; an empty table gives none.
+    part, nor do rows with a null id. Vectors meet those of their own length only. Of
+    equal scores the smaller vec_id comes first. Repeated rows count once. An id with
+    several vectors is one candidate, with its best score, and as a query asks with all
+    of them. Fewer candidates than k give fewer rows; an empty table gives none.
     """
-    usable = _usable(vectors)
-    size = usable.groupBy(F.size("embedding").alias("s")).count().orderBy(F.desc("count"), "s").first()
-    usable = usable.filter(F.size("embedding") == (size["s"] if size else 0)).distinct()
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    usable = _usable(vectors.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))).distinct()
     # The k + 1 least ids of a vector are all that can be among the k nearest of a query.
     nth = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
     entries = usable.withColumn("_n", nth).filter(F.col("_n") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = materialize(entries, "vectors")
-    sums = entries.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("m")).first()
-    shards, longest = max(1, -(-sums["n"] // SHARD_ROWS)), float(sums["m"] or 0) ** 0.5
+    entries = materialize(entries.withColumn("size", F.size("embedding")), "vectors")
+    length2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    spaces = {}
+    for s in entries.groupBy("size").agg(F.count("*").alias("n"), F.max(length2).alias("m")).collect():
+        spaces[s["size"]] = _regions(entries.filter(F.col("size") == s["size"]), s["size"], s["n"], float(s["m"]) ** 0.5)
+    spaces = vectors.sparkSession.sparkContext.broadcast(spaces)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["region"] = 0
+            for size, rows in batch.groupby("size"):
+                x = np.array(rows["embedding"].tolist(), np.float64)
+                batch.loc[rows.index, "region"] = spaces.value[size].home(lifted(x, spaces.value[size].longest))
+            yield batch
+
+    dealt = materialize(entries.mapInPandas(deal, f"embedding array<{kind}>, ids array<long>, size int, region long"), "dealt")
+    at = ["size", "region"]
+    trees = materialize(_in_blocks(dealt, at, "shard", SHARD_ROWS).groupBy(*at, "shard").applyInPandas(_planter(spaces, kind), TREES), "trees")
+
+    queries = materialize(usable.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding"), "queries")
+    asked = queries.groupBy("embedding").agg(F.count("*").alias("askers"))
+    asked = materialize(asked.join(dealt.drop("ids"), "embedding"), "asked")
+    home = _ask(asked.withColumn("known", F.lit(float("-inf"))), trees, spaces, kind, k, factor)
+    best = materialize(_best(home, k), "home")
+
+    def travel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["regions"] = None
+            for size, rows in batch.groupby("size"):
+                space = spaces.value[size]
+                q = np.array(rows["embedding"].tolist(), np.float64)
+                within = reach((q * q).sum(axis=1), space.longest**2, rows["known"].to_numpy())
+                found = space.visits(np.concatenate([q, np.zeros((len(q), 1))], axis=1), within, factor)
+                batch.loc[rows.index, "regions"] = pd.Series([[r for r in f if r != h] for f, h in zip(found, rows["region"])], rows.index)
+            yield batch[["embedding", "size", "known", "regions"]]
+
+    # What a query has k + 1 of: itself, perhaps, and k others.
+    enough = F.when(F.size("found") > k, F.element_at("found", k + 1)["score"]).otherwise(float("-inf"))
+    away = asked.join(best.select(F.col("query").alias("embedding"), enough.alias("known")), "embedding")
+    away = away.mapInPandas(travel, f"embedding array<{kind}>, size int, known double, regions array<long>")
+    away = materialize(away.select("embedding", "size", "known", F.explode("regions").alias("region")), "away")
+    other = _ask(away, trees, spaces, kind, k, factor)
+    both = best.select("query", F.explode("found").alias("f")).select("query", "f.ids", "f.score").unionByName(other)
+    answers = _best(both, k).join(asked.select(F.col("embedding").alias("query"), "askers"), "query").withColumnRenamed("query", "embedding")
+    answers = materialize(answers, "answers")
+    discard(trees, away, dealt, best)
+    each = attach(queries, answers, "embedding", "askers").select("query_id", F.explode("found").alias("f"))
+    rows = each.select("query_id", F.explode("f.ids").alias("vec_id"), F.col("f.score").alias("score")).filter("vec_id <> query_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+
+def _regions(entries: DataFrame, size: int, n: int, longest: float) -> Regions:
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * size)))
+    share = entries if n <= most else entries.filter(F.pmod(F.xxhash64("embedding"), F.lit(HASHES)) < HASHES * most // n)
+    sample = np.array([r["embedding"] for r in share.select("embedding").sort("embedding").collect()], np.float64).reshape(-1, size)
+    return Regions.of(sample, longest, max(REGION_SAMPLE, len(sample) * SHARD_ROWS // n))
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
+    """Add a number by the hash of the embedding, so that about ``most`` rows of the keys
+    have one in common. Regions are few, as the sample that makes them is bounded."""
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("_blocks"))
+    return rows.join(F.broadcast(counts), keys).withColumn(name, F.pmod(F.xxhash64("embedding", F.lit(1)), "_blocks")).drop("_blocks")
+
+
+DTYPES = {"float": np.float32, "double": np.float64}
+TREES = "size int, region long, shard long, nodes binary, rows_in_order binary, x binary, ids binary, counts binary"
+
+
+def _planter(spaces, kind: str):
     def plant(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ids", key=lambda s: s.str[0])
         x = np.array(rows["embedding"].tolist(), np.float64)
-        tree = build(lifted(x, longest))
+        tree = build(lifted(x, spaces.value[rows["size"].iloc[0]].longest))
         nodes = np.array([tree.vantage, tree.radius, tree.inner, tree.outer, *zip(*tree.ranges)], np.float64)
-        counts = rows["ids"].map(len).to_numpy(np.int32)
         return pd.DataFrame(
             {
-                "shard": [rows["shard"].iloc[0]], "nodes": [nodes.tobytes()], "rows_in_order": [tree.order.astype(np.int32).tobytes()],
-                "x": [x.astype(np.float32).tobytes() if (x == x.astype(np.float32)).all() else x.tobytes()],
-                "ids": [np.concatenate(rows["ids"].to_list()).astype(np.int64).tobytes()], "counts": [counts.tobytes()],
+                **{c: [rows[c].iloc[0]] for c in ("size", "region", "shard")},
+                "nodes": [nodes.tobytes()], "rows_in_order": [tree.order.astype(np.int32).tobytes()], "x": [x.astype(DTYPES[kind]).tobytes()],
+                "ids": [np.concatenate(rows["ids"].to_list()).astype(np.int64).tobytes()], "counts": [rows["ids"].map(len).to_numpy(np.int32).tobytes()],
             }
         )
 
-    tree_columns = "nodes binary, rows_in_order binary, x binary, ids binary, counts binary"
-    dealt = entries.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
-    trees = materialize(dealt.groupBy("shard").applyInPandas(plant, "shard long, " + tree_columns), "trees")
+    return plant
 
-    queries = materialize(usable.filter(is_query).select(F.col("vec_id").alias("query_id"), "embedding"), "queries")
-    asked = queries.groupBy("embedding").agg(F.count("*").alias("askers"))
-    n_asked = asked.count()
-    blocks = max(1, -(-n_asked // BLOCK_ROWS))
-    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(blocks))), "asked")
-    packed = asked.groupBy("block").agg(F.sort_array(F.collect_list("embedding")).alias("asked"))
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard")
+
+def _ask(asked: DataFrame, trees: DataFrame, spaces, kind: str, k: int, factor: float) -> DataFrame:
+    """(query, ids, score) of the best in each shard of the queries' (embedding, size, region, known) regions."""
 
     def seek(rows: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
+        space = spaces.value[row["size"]]
         nodes = np.frombuffer(row["nodes"], np.float64).reshape(6, -1)
-        counts = np.frombuffer(row["counts"], np.int32)
-        order = np.frombuffer(row["rows_in_order"], np.int32)
-        wide = len(row["x"]) // max(1, len(counts)) // size["s"] == 8
-        x = np.frombuffer(row["x"], np.float64 if wide else np.float32).reshape(len(counts), -1).astype(np.float64)
-        tree = Tree(nodes[0].astype(int).tolist(), nodes[1].tolist(), nodes[2].astype(int).tolist(), nodes[3].astype(int).tolist(), [(int(a), int(b)) for a, b in zip(nodes[4], nodes[5])], order)
-        q = np.array([np.asarray(v) for v in row["asked"]], np.float64)
+        whole = nodes[[0, 2, 3, 4, 5]].astype(int).tolist()
+        counts, ids = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["ids"], np.int64)
+        x = np.frombuffer(row["x"], DTYPES[kind]).reshape(len(counts), -1).astype(np.float64)
+        tree = Tree(whole[0], nodes[1].tolist(), whole[1], whole[2], list(zip(whole[3], whole[4])), np.frombuffer(row["rows_in_order"], np.int32))
+        q = np.array([np.asarray(a["embedding"]) for a in row["asked"]], np.float64)
+        known = np.array([a["known"] for a in row["asked"]])
         starts = np.concatenate([[0], np.cumsum(counts)])
-        ids = np.frombuffer(row["ids"], np.int64)
         spare = min(k + 9, len(x))  # rounding in the products may swap the last few
-        hits = search(tree, x, lifted(x, longest), q, spare, factor)
+        hits = search(tree, x, lifted(x, space.longest), q, spare, factor, known)
         found = []
         for i, hit in enumerate(hits):
             hit = hit[hit >= 0]
             exact = (x[hit] * q[i]).sum(axis=1)
             for j in np.lexsort((ids[starts[hit]], -exact))[: k + 1]:
-                found.append((row["block"], i, ids[starts[hit[j]] : starts[hit[j] + 1]], exact[j]))
-        return pd.DataFrame(found, columns=["block", "query", "ids", "score"])
-
-    found = pairs.groupBy("shard", "block").applyInPandas(seek, FOUND)
-    by_score = W.partitionBy("block", "query").orderBy(F.desc("score"), F.col("ids")[0])
-    merged = found.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= k + 1).drop("_n")
-    lists = merged.groupBy("block", "query").agg(F.collect_list(F.struct("ids", "score")).alias("found"))
-    named = packed.select("block", F.posexplode("asked").alias("query", "embedding"))
-    answers = named.join(lists, ["block", "query"]).join(asked.select("embedding", "askers"), "embedding")
-    answers = materialize(answers.select("embedding", "found", "askers"), "answers")
-    each = attach(queries, answers, "embedding", "askers").select("query_id", F.explode("found").alias("f"))
-    rows = each.select("query_id", F.explode("f.ids").alias("vec_id"), F.col("f.score").alias("score")).filter("vec_id <> query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return rows.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                found.append((row["asked"][i]["embedding"], ids[starts[hit[j]] : starts[hit[j] + 1]], exact[j]))
+        return pd.DataFrame(found, columns=["query", "ids", "score"])
+
+    packed = _in_blocks(asked, ["size", "region"], "block", BLOCK_ROWS).groupBy("size", "region", "block")
+    packed = packed.agg(F.sort_array(F.collect_list(F.struct("embedding", "known"))).alias("asked"))
+    return packed.join(trees, ["size", "region"]).groupBy("size", "region", "shard", "block").applyInPandas(seek, f"query array<{kind}>, ids array<long>, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query, found): the k + 1 best entries of each query, best first, ties to the least id."""
+    by_score = W.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
+    top = found.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= k + 1)
+    listed = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("_n", "ids", "score"))).alias("found"))
+    return listed.select("query", F.transform("found", lambda f: F.struct(f["ids"].alias("ids"), f["score"].alias("score"))).alias("found"))
 
 
 def op2_ann(spark, sf_dir: str) -> DataFrame:
