@@ -1,24 +1,31 @@
-"""Licence notices in texts, by DataFrame functions alone.
+"""Licence notices and full licence texts in documents, by DataFrame functions alone.
 
-Method: a text and each of its lines is normalised to words and compared to licence
-templates by the Dice coefficient of their sets of word bigrams. Twice the overlap
-of sets of a and b bigrams over a + b can reach the threshold t only if a is from
-b * t / (2 - t) to b * (2 - t) / t, so a template is compared only to lines within
-those bounds. All of it is one projection over the scan, without a shuffle.
+Method: the words of a whole text, across its lines, are compared to licence templates
+by the Dice coefficient of sets of word bigrams, window by window. Twice the overlap of
+sets of a and b bigrams over a + b can reach the threshold t only if a is from
+b * t / (2 - t) to b * (2 - t) / t. These size bounds prune templates (a text that has
+fewer of a template's bigrams than the least size is not searched for it) and windows.
+
+A window starts where a run of a template's bigrams starts and ends where one ends, as
+any other gains by being trimmed or widened to that. All of it is one projection over
+the scan, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import table
+from .licence_texts import TEXTS
 
 THRESHOLD = 0.8
 #: Licence notices by SPDX identifier.
-TEMPLATES = [
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("BSD-2-Clause", "Released under the 2-Clause BSD License."),
@@ -32,8 +39,11 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("All-Rights-Reserved", "All rights reserved."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+#: The notices and the full texts.
+TEMPLATES = [*NOTICES, *TEXTS.items()]
 
 
 def words_in(text: str) -> list[str]:
@@ -51,97 +61,184 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
-def signatures(shapes: list[tuple[str, list[str]]], threshold: float) -> list[str]:
-    """Bigrams of which every unit that can reach the threshold has one at least.
+def shapes_of(templates: list[tuple[str, str]], threshold: float) -> list[dict]:
+    """Each template's bigrams, the first and the last of them, and its size bounds: the
+    least number of its bigrams that a window needs, and, as a text repeats some of its
+    bigrams, the largest number stretched by as much as the template's own repeats."""
+    shapes = []
+    for k, (name, text) in enumerate(templates):
+        words, grams = words_in(text), bigrams_in(text)
+        lo, hi = size_bounds(len(grams), threshold)
+        ends = f"{words[0]} {words[1]}", f"{words[-2]} {words[-1]}"
+        hi = hi * (len(words) - 1) // len(grams)
+        shapes.append({"k": k, "licence": name, "lo": lo, "hi": hi, "grams": grams, "first": ends[0], "last": ends[1]})
+    return shapes
+
+
+def signatures(shapes: list[dict]) -> list[str]:
+    """Bigrams of which every window that can reach the threshold has one at least.
 
-    A unit shares at least b * t / (2 - t) of a template's b bigrams, so of any
-    larger choice than the remainder it has one. Bigrams of several templates are
-    chosen first.
+    It shares at least ``lo`` of a template's bigrams, so of any larger choice than the
+    remainder it has one. Bigrams of several templates are chosen first, then long ones,
+    which are rare elsewhere.
     """
-    held = Counter(g for _, grams in shapes for g in grams)
+    held = Counter(g for s in shapes for g in s["grams"])
     chosen = set()
-    for _, grams in shapes:
-        spare = len(grams) - size_bounds(len(grams), threshold)[0] + 1
-        chosen.update(sorted(grams, key=lambda g: (-held[g], g))[:spare])
+    for s in shapes:
+        spare = len(s["grams"]) - s["lo"] + 1
+        chosen.update(sorted(s["grams"], key=lambda g: (len(s["grams"]) > 40 or -held[g], -len(g), g))[:spare])
     return sorted(chosen)
 
 
+def hashed(grams: list[str]) -> list[list[str]]:
+    """A hash table as a list of short lists, by crc32."""
+    table_ = [[] for _ in grams]
+    for g in grams:
+        table_[zlib.crc32(g.encode()) % len(table_)].append(g)
+    return table_
+
+
+def fixed(value, kind: str) -> Column:
+    """A literal of any size, folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
+
+
+def among(gram: Column, table_: Column) -> Column:
+    return F.array_contains(F.get(table_, (F.crc32(gram) % F.size(table_)).cast("int")), gram)
+
+
 def bigrams(words: Column) -> Column:
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))
-    )
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    """Of each two adjacent words, repeats included."""
+    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    return F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, line, licence, dice) for each line that reaches the threshold.
+def chained(value: Column, *steps) -> Column:
+    """Apply the steps to an array of one, each of which binds what it is given, so that
+    nothing is worked out twice; gives the array of what is left."""
+    out = F.array(value)
+    for step in steps:
+        out = step(out)
+    return out
+
+
+def each(f):
+    return lambda found: F.transform(found, f)
+
 
-    ``line`` counts from 1; 0 stands for the whole text where it has several lines.
-    A licence with several templates counts by its best. A null or empty text gives
-    no rows; repeated rows give repeated results; ties are all returned. Other
-    columns are not read. ``templates`` is a short list and becomes part of the plan.
+def windows(grams: Column, t: Column, threshold: float) -> Column:
+    """The best window from each start: (dice, size, first, past, licence, k)."""
+
+    def spans(flagged: Column) -> Column:
+        flag = lambda i: F.coalesce(F.get(flagged, i), F.lit(False))
+        at = F.sequence(F.lit(0), F.size(grams) - 1)
+        ends = F.filter(at, lambda i: flag(i) & (~flag(i + 1) | (F.get(grams, i) == t["last"])))
+        starts = F.filter(at, lambda i: flag(i) & ((i == 0) | ~flag(i - 1) | (F.get(grams, i) == t["first"])))
+        return F.struct(starts.alias("starts"), ends.alias("ends"))
+
+    def scored(start: Column, end: Column) -> Column:
+        part = F.slice(grams, start + 1, end - start + 1)
+        shared = F.size(F.array_intersect(part, t["grams"]))
+        dice = 2.0 * shared / (F.size(F.array_distinct(part)) + F.size(t["grams"]))
+        return F.struct(dice.alias("dice"), (end - start).alias("size"), start.alias("first"), end.alias("last"), t["licence"].alias("licence"), t["k"].alias("k"))
+
+    def best(s: Column) -> Column:
+        near = lambda start: F.filter(s["ends"], lambda e: (e - start + 1).between(t["lo"], t["hi"]))
+        return F.transform(s["starts"], lambda start: F.array_max(F.transform(near(start), lambda e: scored(start, e))))
+
+    found = chained(F.transform(grams, lambda g: among(g, t["buckets"])), each(spans), each(best))
+    return F.filter(F.flatten(found), lambda w: w["dice"] >= threshold)
+
+
+def unbeaten(found: Column) -> Column:
+    """The windows that no better one of the same licence overlaps: one of a larger
+    coefficient, of equal ones the longer, then the earlier, then the earlier template."""
+
+    def beaten(w: Column, o: Column) -> Column:
+        rank = lambda x: F.struct(-x["dice"], -x["size"], x["first"], x["k"])
+        return (o["licence"] == w["licence"]) & (o["first"] <= w["last"]) & (w["first"] <= o["last"]) & (rank(o) < rank(w))
+
+    return F.filter(found, lambda w: ~F.exists(found, lambda o: beaten(w, o)))
+
+
+SHAPE = "array<struct<k: int, licence: string, lo: int, hi: int, first: string, last: string, grams: array<string>, buckets: array<array<string>>>>"
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, line, licence, dice) for each window of words that reaches the threshold.
+
+    ``line``, from 1, is where the window starts. Of overlapping windows of a licence
+    the best is given; windows of different licences may overlap. A null or empty text
+    gives no rows; repeated rows give repeated results. Other columns are not read.
+    ``templates`` is a short list and becomes part of the plan; one of a single word
+    has no bigram and is never found. Time is linear in the text; a text that holds much
+    of a long template in many pieces costs the square of the pieces.
     """
-    shapes = [(name, bigrams_in(text)) for name, text in templates]
-    text, lines = F.col("text"), F.split("text", "\n")
-    whole = F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array(F.lit("")))
-    plain = F.transform(
-        F.concat(whole, lines),
-        lambda u, i: F.struct(i.alias("line"), F.concat(F.lit(" "), F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "), F.lit(" ")).alias("unit")),
-    )
-    # Within arrays, so that a unit is normalised once however often it is compared.
-    marks = F.array(*[F.lit(f" {g} ") for g in signatures(shapes, threshold)])
-    likely = F.filter(plain, lambda u: F.exists(marks, lambda g: F.contains(u["unit"], g)))
-    rows = docs.select(F.col("doc_id").cast("long"), text.cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = rows.select("doc_id", F.explode_outer(likely).alias("u")).filter("u IS NOT NULL")
-    known = []
-    for k, (name, grams) in enumerate(shapes):
-        lo, hi = size_bounds(len(grams), threshold)
-        fields = {"k": k, "licence": name, "lo": lo, "hi": hi}
-        known.append(F.struct(*[F.lit(v).alias(c) for c, v in fields.items()], F.array(*map(F.lit, grams)).alias("grams")))
-
-    def compared(grams: Column) -> Column:
-        n = F.size(grams)
-        within = F.filter(F.array(*known), lambda t: n.between(t["lo"], t["hi"]))
-        dice = lambda t: 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (n + F.size(t["grams"]))
-        return F.filter(
-            F.transform(within, lambda t: F.struct(t["k"].alias("k"), t["licence"].alias("licence"), dice(t).alias("dice"))),
-            lambda h: h["dice"] >= threshold,
-        )
-
-    def best(hits: Column) -> Column:
-        """Of a licence's templates the best, of equal ones the first."""
-        beaten = lambda h, o: (o["licence"] == h["licence"]) & (
-            (o["dice"] > h["dice"]) | ((o["dice"] == h["dice"]) & (o["k"] < h["k"]))
-        )
-        return F.filter(hits, lambda h: ~F.exists(hits, lambda o: beaten(h, o)))
-
-    # Each step is a lambda over an array of one, which binds its input instead of repeating it.
-    hits = F.array(F.split(F.trim(F.col("u.unit")), " "))
-    for step in (bigrams, compared, best):
-        hits = F.transform(hits, step)
-    hits = F.flatten(hits)
-    return rows.select("doc_id", "u.line", F.explode_outer(hits).alias("hit")).filter("hit IS NOT NULL").select("doc_id", "line", "hit.licence", "hit.dice")
+    shapes = shapes_of([t for t in templates if bigrams_in(t[1])], threshold)
+    known = fixed([{**s, "buckets": hashed(s["grams"])} for s in shapes], SHAPE)
+    marks = fixed(hashed(signatures(shapes)), "array<array<string>>")
+    every = fixed(hashed(sorted({g for s in shapes for g in s["grams"]})), "array<array<string>>")
+
+    def texts(text: Column) -> Column:
+        """Words and, in a second list, each word's place among words and line ends."""
+        pieces = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " "), r"\n", " \n "), " +")
+        placed = F.filter(pieces, lambda w: w != "")
+        at = F.filter(F.transform(placed, lambda w, i: F.when(w != "\n", i)), lambda i: i.isNotNull())
+        return F.struct(F.filter(placed, lambda w: w != "\n").alias("words"), at.alias("at"))
+
+    def paired(t: Column) -> Column:
+        return F.struct(bigrams(t["words"]).alias("grams"), t["at"].alias("at"))
+
+    def marked_by(t: Column) -> Column:
+        held = F.array_distinct(F.filter(t["grams"], lambda g: among(g, every)))
+        return F.struct(t["grams"], t["at"], held.alias("held"))
+
+    def searched(t: Column) -> Column:
+        held = lambda s: F.size(F.array_intersect(t["held"], s["grams"])) >= s["lo"]
+        likely = F.filter(known, lambda s: F.when(F.size(t["held"]) >= s["lo"], held(s)).otherwise(False))
+        found = F.flatten(F.transform(likely, lambda s: windows(t["grams"], s, threshold)))
+        line = lambda w: F.get(t["at"], w["first"]) - w["first"] + 1
+        named = lambda w: F.struct(line(w).alias("line"), w["licence"].alias("licence"), w["dice"].alias("dice"))
+        return F.flatten(chained(found, each(unbeaten), each(lambda ws: F.transform(ws, named))))
+
+    words = lambda text: F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+    likely = lambda grams: F.exists(grams, lambda g: among(g, marks))
+    marked = chained(F.col("text"), each(words), each(bigrams), lambda found: F.filter(found, likely))
+    text = F.when(F.size(marked) > 0, F.col("text"))
+    hits = F.flatten(chained(text, lambda x: F.filter(x, lambda t: t.isNotNull()), each(texts), each(paired), each(marked_by), each(searched)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return rows.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.line", "hit.licence", "hit.dice")
 
 
 def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same for DuckDB, without the signatures and the size bounds."""
-    values = ", ".join(f"('{name}', {bigrams_in(text)!r})" for name, text in templates)
+    """The same for DuckDB, by joins and without the signatures."""
+    shapes = shapes_of(templates, threshold)
+    values = ", ".join(f"({s['k']}, '{s['licence']}', {s['lo']}, {s['hi']}, '{s['first']}', '{s['last']}', {s['grams']!r})" for s in shapes)
     return f"""
-    WITH lines AS (
-      SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text IS NOT NULL
-    ), units AS (
-      SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS unit FROM lines
-      UNION ALL SELECT doc_id, 0, text FROM lines WHERE len(parts) > 1
+    WITH templates(k, licence, lo, hi, head, tail, t) AS (VALUES {values}),
+    pieces AS (
+      SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split(replace(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' '), ' '), lambda x: x <> '') AS p
+      FROM documents WHERE text IS NOT NULL
     ), worded AS (
-      SELECT doc_id, line, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM units
+      SELECT rid, doc_id, list_filter(p, lambda x: x <> chr(10)) AS w, list_filter(range(1, len(p) + 1), lambda i: p[i] <> chr(10)) AS places FROM pieces
     ), grams AS (
-      SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM worded WHERE len(w) > 1
-    ), templates(licence, t) AS (VALUES {values}),
-    compared AS (
-      SELECT doc_id, line, licence, 2.0::DOUBLE * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM grams, templates
-      WHERE len(g) <= 100
-    )
-    SELECT doc_id, CAST(line AS INTEGER) AS line, licence, max(dice) AS dice FROM compared WHERE dice >= {threshold} GROUP BY ALL
+      SELECT rid, doc_id, places, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) > 1
+    ), held AS (SELECT k, lo, hi, head, tail, unnest(t) AS gram FROM templates),
+    hits AS (
+      SELECT rid, k, lo, hi, pos, gram = head AS is_head, gram = tail AS is_tail, lag(pos) OVER run AS before, lead(pos) OVER run AS after
+      FROM (SELECT rid, unnest(g) AS gram, generate_subscripts(g, 1) AS pos FROM grams) JOIN held USING (gram)
+      WINDOW run AS (PARTITION BY rid, k ORDER BY pos)
+    ), starts AS (SELECT rid, k, lo, hi, pos AS a FROM hits WHERE is_head OR before IS DISTINCT FROM pos - 1),
+    ends AS (SELECT rid, k, pos AS b FROM hits WHERE is_tail OR after IS DISTINCT FROM pos + 1),
+    spans AS (SELECT rid, k, a, b FROM starts JOIN ends USING (rid, k) WHERE b - a + 1 BETWEEN lo AND hi),
+    scored AS (
+      SELECT rid, doc_id, k, licence, a, b, places[a] - a + 1 AS line,
+        2.0::DOUBLE * len(list_intersect(g[a:b], t)) / (len(list_distinct(g[a:b])) + len(t)) AS dice
+      FROM spans JOIN grams USING (rid) JOIN templates USING (k)
+    ), good AS (SELECT * FROM scored WHERE dice >= {threshold})
+    SELECT doc_id, CAST(line AS INTEGER) AS line, licence, dice FROM good w WHERE NOT EXISTS (
+      SELECT 1 FROM good o WHERE o.rid = w.rid AND o.licence = w.licence AND o.a <= w.b AND w.a <= o.b
+      AND (-o.dice, o.a - o.b, o.a, o.k) < (-w.dice, w.a - w.b, w.a, w.k))
     """
 
 

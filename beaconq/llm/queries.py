@@ -7,7 +7,6 @@ from .ann import op2_ann
 from .bpe import op5_bpe
 from .chat import op9_chat
 from .langid import op4_langid
-from .licence_windows import op8_licences_whole
 from .media import op3_media
 from .packing import op6_packing
 from .quality import op7_quality
@@ -23,7 +22,6 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
     "op8_licences": licences.op8_licences,
-    "op8_licences_whole": op8_licences_whole,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
 }

@@ -208,7 +208,7 @@ def test_toxicity_grammar():
 
 def test_licences(spark, odd):
     rows = licences.scan(odd).collect()
-    assert [(r["doc_id"], r["licence"]) for r in rows if r["line"]] == [(6, "MIT"), (6, "MIT")]
+    assert [(r["doc_id"], r["line"], r["licence"]) for r in rows] == [(6, 1, "MIT"), (6, 2, "MIT")]
 
 
 def test_chat(spark):

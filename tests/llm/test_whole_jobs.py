@@ -1,19 +1,71 @@
 """Operators over whole texts and groups, against brute force on small rows."""
 
 
-def test_licences_within_lines_across_lines_and_in_full():
+def named(spark, texts, templates=None):
+    from beaconq.llm import licences
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in licences.scan(frame, templates or licences.TEMPLATES).collect():
+        found.setdefault(r["doc_id"], []).append((r["line"], r["licence"], round(r["dice"], 9)))
+    return [sorted(found.get(i, [])) for i in range(len(texts))]
+
+
+def test_licences_within_lines_across_lines_and_in_full(spark):
     from beaconq.llm.licence_texts import TEXTS
-    from beaconq.llm.licence_windows import Finder
-
-    finder = Finder()
-    named = lambda text: [(line, name) for line, name, _ in finder.find(text)]
-    assert named("Hello.\nThis project is released under the MIT License; see the LICENSE file for details.") == [(2, "MIT")]
-    assert (2, "GPL-3.0", 1.0) in finder.find("a b c\nThis work is licensed under the GNU\nGeneral Public License, version 3.\nd e f")
-    assert named("One.\n\nAll rights reserved.") == [(3, "All-Rights-Reserved")]
-    assert named("Released under the MIT License. And more. Released under the MIT License.") == [(1, "MIT"), (1, "MIT")]
-    for name, text in TEXTS.items():
-        assert (2, name) in named(f"Words before\n{text}\nand words after"), name
-    assert named("") == named("all rights, none reserved of the software") == []
+
+    got = named(
+        spark,
+        [
+            "Hello.\nThis project is released under the MIT License; see the LICENSE file for details.",
+            "a b c\nThis work is licensed under the GNU\n\nGeneral Public License, version 3.\nd e f",
+            "One.\n\nAll rights reserved.",
+            "Released under the MIT License. And more. Released under the MIT License.",
+            "", "all rights, none reserved of the software", None, "rights " * 5000,
+            *(f"Words before\n{text}\nand words after" for text in TEXTS.values()),
+        ],
+    )
+    assert got[0] == [(2, "MIT", 1.0)] and (2, "GPL-3.0", 1.0) in got[1] and got[2] == [(3, "All-Rights-Reserved", 1.0)]
+    assert got[3] == [(1, "MIT", 1.0)] * 2 and got[4:8] == [[]] * 4
+    for name, rows in zip(TEXTS, got[8:]):
+        assert (2, name, 1.0) in rows, name
+
+
+def test_licences_equal_brute_force(spark):
+    """Every window of words with every template, against random edits of short templates."""
+    import random
+
+    from beaconq.llm import licences
+
+    templates = [("A", "one two three four five six"), ("A", "one two three nine"), ("B", "six seven eight two three")]
+    rng = random.Random(8)
+    words = "one two three four five six seven eight nine ten".split()
+
+    def text():
+        found = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(templates)[1].split() if rng.random() < 0.8 else rng.choices(words, k=5)
+            found += [w for w in part if rng.random() > 0.1] + rng.choices(words, k=rng.randint(0, 3))
+        return "".join(w + rng.choice([" ", ", ", "\n"]) for w in found)
+
+    texts = [text() for _ in range(120)]
+
+    def brute(text):
+        at = [(m.group(), text.count("\n", 0, m.start()) + 1) for m in __import__("re").finditer(r"[a-z0-9]+", text)]
+        grams = [f"{a} {b}" for (a, _), (b, _) in zip(at, at[1:])]
+        found = []
+        for k, (name, template) in enumerate(templates):
+            t = set(licences.bigrams_in(template))
+            lo, hi = licences.size_bounds(len(t), 0.8)  # no bigram comes twice in these templates
+            for a in range(len(grams)):
+                for b in range(a + lo, min(a + hi, len(grams)) + 1):
+                    part = set(grams[a:b])
+                    if (dice := 2 * len(part & t) / (len(part) + len(t))) >= 0.8:
+                        found.append((-dice, a - b, a, k, name, b))
+        best = [w for w in found if not any(o[:4] < w[:4] and o[4] == w[4] and o[2] < w[5] and w[2] < o[5] for o in found)]
+        return sorted((at[a][1], name, round(-dice, 9)) for dice, _, a, _, name, _ in best)
+
+    assert named(spark, texts, templates) == [brute(t) for t in texts]
 
 
 def test_rewrites_far_back_are_seen(spark):
