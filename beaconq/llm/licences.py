@@ -6,9 +6,10 @@ sets of a and b bigrams over a + b can reach the threshold t only if a is from
 b * t / (2 - t) to b * (2 - t) / t. These size bounds prune templates (a text that has
 fewer of a template's bigrams than the least size is not searched for it) and windows.
 
-A window starts where a run of a template's bigrams starts and ends where one ends, as
-any other gains by being trimmed or widened to that. All of it is one projection over
-the scan, without a shuffle.
+A window starts where a run of a template's bigrams starts, or at the template's first
+bigram, and ends where a run ends, or at the last: others outside such a run only lower
+the coefficient, and those inside never do. All of it is one projection over the scan,
+without a shuffle.
 """
 
 from __future__ import annotations
