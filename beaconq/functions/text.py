@@ -55,6 +55,11 @@ def coverage(query_tokens: Column, text_tokens: Column) -> Column:
     return F.element_at(F.transform(both, share), 1)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space, of Unicode's kind, at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Id, kind, categories, weight, response TTL, negative TTL, largest page (0: any), time ranges.
 ENGINES = [
@@ -36,14 +36,47 @@ ENGINE_BANGS = {
     "pubmed": "pubmed", "semantic-scholar": "semantic-scholar ss", "crossref": "crossref cr", "github": "github gh",
     "openalex": "openalex", "exa-mcp": "exa", "startpage-web": "startpage sp",
 }
+#: Display name, parser version, hosts that may be asked.
+DETAILS = {
+    "arxiv": ("arXiv", "arxiv-atom-v2", ["export.arxiv.org"]),
+    "wikipedia": ("Wikipedia", "wikipedia-rest-summary-json-v2", ["en.wikipedia.org", "fr.wikipedia.org", "de.wikipedia.org", "es.wikipedia.org"]),
+    "duckduckgo-html": ("DuckDuckGo HTML", "duckduckgo-html-v1", ["html.duckduckgo.com", "duckduckgo.com"]),
+    "brave-web": ("Brave Web", "brave-web-html-v2", ["search.brave.com"]),
+    "brave-news": ("Brave News", "brave-news-html-v1", ["search.brave.com"]),
+    "qwant-web": ("Qwant Web", "qwant-web-json-v2", ["api.qwant.com", "www.qwant.com"]),
+    "pubmed": ("PubMed", "pubmed-eutils-json-v1", ["eutils.ncbi.nlm.nih.gov"]),
+    "semantic-scholar": ("Semantic Scholar", "semantic-scholar-web-search-json-v2", ["www.semanticscholar.org"]),
+    "crossref": ("Crossref", "crossref-works-json-v1", ["api.crossref.org"]),
+    "github": ("GitHub", "github-rest-json-v1", ["api.github.com"]),
+    "mojeek-web": ("Mojeek Web", "mojeek-web-html-v1", ["www.mojeek.com"]),
+    "yahoo-web": ("Yahoo Web", "yahoo-web-html-v1", ["search.yahoo.com", "ca.search.yahoo.com", "de.search.yahoo.com"]),
+    "yandex-web": ("Yandex Web", "yandex-web-html-v1", ["yandex.com", "www.yandex.com"]),
+    "baidu-web": ("Baidu Web", "baidu-web-html-v1", ["www.baidu.com"]),
+    "google-web": ("Google Web", "google-web-html-v1", ["www.google.com"]),
+    "grokipedia": ("Grokipedia", "grokipedia-full-text-json-v2", ["grokipedia.com"]),
+    "openalex": ("OpenAlex", "openalex-works-json-v1", ["api.openalex.org"]),
+    "exa-mcp": ("Exa MCP", "exa-streamable-http-mcp-v1", ["mcp.exa.ai"]),
+    "startpage-web": ("Startpage Web", "startpage-web-react-v2", ["www.startpage.com"]),
+}
+#: The category of results where it is not the engine's first; engines that a setting must switch on.
+RESULT_CATEGORIES = {"grokipedia": "reference"}
+SWITCHED = {"google-web": "ENABLE_GOOGLE", "startpage-web": "ENABLE_STARTPAGE"}
 ENGINE_SCHEMA = (
     "ordinal int, engine_id string, source_kind string, categories array<string>, weight double,"
-    " response_ttl_s int, negative_ttl_s int, max_page int, time_ranges array<string>"
+    " response_ttl_s int, negative_ttl_s int, max_page int, time_ranges array<string>,"
+    " display_name string, parser_version string, allowed_hosts array<string>, result_category string, default_enabled boolean, switch string"
 )
 
 
 def engines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *e) for i, e in enumerate(ENGINES)], ENGINE_SCHEMA)
+    """The catalogue, in its order."""
+    rows = [(i, *e, *DETAILS[e[0]], RESULT_CATEGORIES.get(e[0], e[2][0]), True, SWITCHED.get(e[0])) for i, e in enumerate(ENGINES)]
+    return spark.createDataFrame(rows, ENGINE_SCHEMA)
+
+
+def engine(spark: SparkSession, engine_id: str) -> DataFrame:
+    """One engine, or no row for an id that is unknown."""
+    return engines(spark).filter(F.col("engine_id") == engine_id)
 
 
 def bang_rows() -> list[tuple[str, str, list[str]]]:

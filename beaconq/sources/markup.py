@@ -8,7 +8,9 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
+
+from beaconq.functions import text as T
 
 MOST_ITEMS = 20
 HTML_RESULT = "array<struct<title string, url string, description string, thumbnail string>>"
@@ -16,13 +18,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Selectors by provider: item, title, url, description, thumbnail, no results.
 SELECTORS = {
     "duckduckgo-html": ("#links .web-result", "h2 a", "h2 a", "a.result__snippet", "", ".no-results, .result--no-result"),
-    "brave-web": ('div.snippet[data-type="web"]', "div.search-snippet-title", "a.l1", "div.content", "a.thumbnail img", ".no-results"),
+    "brave-web": ('div.snippet[data-type="web"]', "div.search-snippet-title", "a.l1", "div.content", "a.thumbnail img", ".no-results, #no-results, .search-no-results"),
     "brave-news": ('.snippet[data-type="news"], .news-result', ".title, .snippet-title", "a", ".description, .content", "img", ".no-results"),
-    "mojeek-web": ("ul.results-standard li", "h2 a", "a.ob", "p.s", "", ".no-results"),
-    "yahoo-web": ("div.algo-sr", "h3", "div.compTitle a", "div.compText", "", ".no-results"),
-    "yandex-web": ("li.serp-item", "h2 a, h3 a", "h2 a, h3 a", ".text-container", "", ".no-results"),
-    "baidu-web": ("div.result, div.c-container", "h3 a", "h3 a", ".c-abstract", "", ".no-results"),
-    "google-web": ("div.MjjYud, div.ezO2md", "h3", "a", ".VwiC3b", "", ".no-results"),
+    "mojeek-web": ("ul.results-standard li", "h2 a", "a.ob", "p.s", "", ".no-results, .no-results-found, #no-results"),
+    "yahoo-web": ("div.algo-sr", "h3", "div.compTitle a", "div.compText", "", ".no-results, #no-results, .NoResults"),
+    "yandex-web": ("li.serp-item", "h2 a, h3 a", "h2 a, h3 a", "div.text-container, div.OrganicTextContentSpan, div.organic__text", "", ".serp-list_type_search-empty, .misspell__message, .EmptySearchResults"),
+    "baidu-web": ("div.result, div.c-container", "h3 a", "h3 a", "div.c-abstract, div.content-right_8Zs40, span.content-right_8Zs40", "", "div.nors, div#content_none, .search-noresult"),
+    "google-web": ("div.MjjYud, div.ezO2md", "h3", "a", "div.VwiC3b, div.FrIlee, span.aCOpRe", "", "#topstuff .card-section, .med .card-section"),
+    "startpage-web": (".w-gl__result, .result", ".w-gl__result-title, .result-title", "a.w-gl__result-title, a.result-link", ".w-gl__description, .result-description", "", ".no-results"),
 }
 
 
@@ -132,16 +135,6 @@ def html_results(body: str, base: str, spec: tuple[str, ...], most: int = MOST_I
     return found if found or parser.empty else None
 
 
-def parse_html(responses: DataFrame, spec: tuple[str, ...], most: int = MOST_ITEMS) -> DataFrame:
-    """Add ``results`` to responses (body, final_url); null marks a parse failure."""
-
-    @F.pandas_udf(HTML_RESULT)
-    def run(body: pd.Series, base: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else html_results(b, u or "", spec, most) for b, u in zip(body, base)])
-
-    return responses.withColumn("results", run("body", "final_url"))
-
-
 def embedded_json(text: str, marker: str, most: int = 1 << 20, depth: int = 64):
     """The JSON value that follows a marker in a page, by balancing its brackets outside
     strings; raises ValueError if it is absent, too large, too deep or broken."""
@@ -170,37 +163,54 @@ def event_json(body: Column) -> Column:
 def block_results(body: Column) -> Column:
     """Title, URL, date and text of plain-text blocks; blocks without a URL are dropped."""
     blocks = F.split(body, "\n\n---\n\n")
-    field = lambda b, k: F.trim(F.regexp_extract(b, rf"(?m)^{k}:[ \t]*(.*)$", 1))
+    field = lambda b, k: T.trimmed(F.regexp_extract(b, rf"(?m)^{k}:[ \t]*(.*)$", 1))
     rows = F.transform(
         blocks,
         lambda b: F.struct(
             field(b, "Title").alias("title"), field(b, "URL").alias("url"), F.nullif(F.nullif(field(b, "Published"), F.lit("N/A")), F.lit("")).alias("published_at"),
-            F.trim(F.regexp_extract(b, r"(?s)Highlights:(.*)$", 1)).alias("content"),
+            T.trimmed(F.regexp_extract(b, r"(?s)Highlights:(.*)$", 1)).alias("content"),
         ),
     )
     return F.filter(rows, lambda r: r["url"].rlike("^https?://[^/ ]+"))
 
 
-ATOM = (
-    "struct<id: string, title: string, summary: string, published: string, updated: string, author: array<struct<name: string>>,"
-    " link: array<struct<_href: string, _title: string, _type: string>>, category: array<struct<_term: string>>, doi: string>"
-)
-
-
-def parse_atom(responses: DataFrame) -> DataFrame:
-    """Entries of Atom bodies (request_id, body): one row each, with ``failure`` set for
-    an entry that lacks a required field or is the provider's error report."""
-    plain = F.regexp_replace(F.regexp_replace("body", r"(</?)[A-Za-z]+:", "$1"), r'\sxmlns(:\w+)?="[^"]*"', "")
-    entries = F.regexp_extract_all(plain, F.lit(r"(?s)(<entry>.*?</entry>)"), 1)
-    rows = responses.select("request_id", F.posexplode(entries).alias("nth", "xml"))
-    rows = rows.withColumn("e", F.from_xml("xml", ATOM)).select("request_id", (F.col("nth") + 1).alias("position"), "e.*")
-    pdf = F.filter("link", lambda x: (x["_title"] == "pdf") | (x["_type"] == "application/pdf"))
-    error = (F.lower("title") == "error") | F.contains("id", F.lit("/api/errors#"))
-    lacking = F.col("id").isNull() | F.col("title").isNull() | F.col("summary").isNull()
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return rows.select(
-        "request_id", "position", F.col("id").alias("url"), squeeze(F.col("title")).alias("title"), squeeze(F.col("summary")).alias("content"),
-        F.coalesce("published", "updated").alias("published_at"), F.transform("author", lambda a: a["name"]).alias("authors"),
-        F.try_element_at(pdf, F.lit(1))["_href"].alias("pdf"), F.transform("category", lambda c: c["_term"]).alias("categories"), "doi",
-        F.when(error, "ENGINE_PROVIDER_ERROR").when(lacking, "ENGINE_PARSE_FAILED").alias("failure"),
-    )
+#: Hidden tokens of pages by name: how they are marked, and the longest that is taken.
+TOKENS = {
+    "vqd": (r"""(?:name="vqd" value="|vqd=")\s*([A-Za-z0-9_-]{1,256})\s*"|vqd='\s*([A-Za-z0-9_-]{1,256})\s*'""", 256),
+    "sc": (r"""<input(?=[^>]*name=["']sc["'])[^>]*value=(?:"([^"]+)"|'([^']+)')""", 512),
+    "s2-ui-version": (r"""<meta(?=[^>]*s2-ui-version)[^>]*content=(?:"\s*([^"]+?)\s*"|'\s*([^']+?)\s*')""", 128),
+}
+
+
+def page_token(body: Column, name: str) -> Column:
+    """A hidden token of a page; null if it is not there, empty or too long."""
+    pattern, most = TOKENS[name]
+    found = F.concat(F.regexp_extract(body, pattern, 1), F.regexp_extract(body, pattern, 2))
+    return F.when(F.octet_length(found).between(1, most), found)
+
+
+PROPS_MARKER = "React.createElement(UIStartpage.AppSerpWeb, "
+PAGE = f"struct<results: {HTML_RESULT}, props: string, failure: string>"
+
+
+def read_page(body: str | None, base: str | None, engine: str) -> dict:
+    """Results of a page by its engine's selectors, or the data embedded in it as JSON text."""
+    body = body or ""
+    if engine == "startpage-web" and PROPS_MARKER in body:
+        try:
+            return {"props": json.dumps(embedded_json(body, PROPS_MARKER, len(body), len(body)))}
+        except ValueError:
+            return {"failure": "ENGINE_PARSE_FAILED"}
+    found = html_results(body, base or "", SELECTORS[engine])
+    return {"failure": "ENGINE_PARSE_FAILED"} if found is None else {"results": found}
+
+
+def page_results(body: Column, base: Column, engine: Column) -> Column:
+    """``read_page`` as a column."""
+
+    def run(bodies: pd.Series, bases: pd.Series, engines: pd.Series) -> pd.DataFrame:
+        rows = [read_page(*row) for row in zip(bodies, bases, engines)]
+        return pd.DataFrame({k: [r.get(k) for r in rows] for k in ("results", "props", "failure")}, dtype=object)
+
+    run.__annotations__ = {"bodies": pd.Series, "bases": pd.Series, "engines": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, PAGE)(body, base, engine)
