@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Query parameters that only track, besides all that begin with utm_.
 TRACKING = ["gclid", "fbclid", "mc_cid", "mc_eid", "ref_src"]
@@ -59,8 +59,12 @@ def canonicalize(url: str | None) -> str | None:
     return f"{parts.scheme}://{host}/" + quote("/".join(path), safe="/%:@!$&'()*+,;=~[]|^") + (f"?{query}" if query else "")
 
 
-def canonical_url(url: Column) -> Column:
-    """``canonicalize`` as a column; only URLs out of the plain kind reach Python."""
+def is_plain(url: Column) -> Column:
+    return F.coalesce(url.rlike(PLAIN) & ~url.rlike(DOTS), F.lit(False))
+
+
+def plain_canonical(url: Column) -> Column:
+    """``canonicalize`` of a plain URL, by expressions."""
     bare = F.regexp_replace(url, "#.*$", "")
     base = F.substring_index(bare, "?", 1)
     slashed = F.when(base.rlike("^https?://[^/]+$"), F.concat(base, F.lit("/"))).otherwise(base)
@@ -74,10 +78,39 @@ def canonical_url(url: Column) -> Column:
     )
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(TRACKING))
     text = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    native = F.concat(slashed, F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
-    is_plain = url.rlike(PLAIN) & ~url.rlike(DOTS)
-    other = F.when(~is_plain, url)
-    return F.when(is_plain, native).otherwise(_canonical_any(other))
+    return F.concat(slashed, F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
+
+
+def canonicalized(rows: DataFrame, url: str = "url", to: str = "canonical_url") -> DataFrame:
+    """Add the canonical URL, null if there is none. Only rows whose URL is out of the
+    plain kind go to Python."""
+    plain = is_plain(F.col(url))
+    fast = rows.filter(plain).withColumn(to, plain_canonical(F.col(url)))
+    return fast.unionByName(rows.filter(~plain).withColumn(to, _canonical_any(F.col(url))))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def resolved_links(base: pd.Series, hrefs: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
+    from beaconq.functions.urls import join_url
+
+    return pd.Series([[join_url(b, h) for h in listed] for b, listed in zip(base, hrefs)], dtype=object)
+
+
+def join_url(base: str | None, href: str | None) -> str | None:
+    """A link's target, resolved against its page's URL, in percent form; None if it cannot be."""
+    from urllib.parse import quote, urljoin, urlsplit, urlunsplit
+
+    if base is None or href is None:
+        return None
+    try:
+        plain = "".join(c for c in href.strip("".join(map(chr, range(0x21)))) if c not in "\t\r\n").replace("\\", "/")
+        parts = urlsplit(urljoin(base, plain))
+        host = parts.hostname or ""
+        netloc = parts.netloc if host.isascii() else parts.netloc.replace(host, host.encode("idna").decode())
+    except (ValueError, UnicodeError):
+        return None
+    path = quote(parts.path, safe="/%:@!$&'()*+,;=~[]|^")
+    return urlunsplit((parts.scheme, netloc, path, quote(parts.query, safe="/%:@!$&()*+,;=~[]|^?{}`\\"), quote(parts.fragment, safe="%")))
 
 
 def crawlable(url: Column) -> Column:
@@ -95,6 +128,14 @@ def crawlable(url: Column) -> Column:
     )
 
 
+def crawl_url(url: Column) -> Column:
+    """The URL without its fragment, with a path and a lower-case host, if a crawler may fetch it."""
+    head = F.regexp_extract(url, r"(?i)^https://[^/?#]*", 0)
+    rest = F.regexp_replace(F.substr(url, F.char_length(head) + 1), "#.*$", "")
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(crawlable(url), F.concat(F.regexp_replace(F.lower(head), ":443$", ""), path))
+
+
 def unwrap_redirect(url: Column) -> Column:
     """The target of three known kinds of result redirects, else the URL itself."""
     def param(name: str) -> Column:

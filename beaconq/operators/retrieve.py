@@ -9,30 +9,51 @@ from beaconq.functions import text as T
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, term, tf) for the terms asked for, counted before the shuffle."""
-    each = docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("term"))
-    return each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("request_id", F.explode(T.tokens(F.col("query"))).alias("term"))
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if there are no more than so many rows, by counting them."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def term_holders(queries: DataFrame) -> DataFrame:
+    """(term, requests): the terms of a stated set of queries, broadcast if they are not too many."""
+    return small(query_terms(queries).groupBy("term").agg(F.collect_list("request_id").alias("requests")))
+
+
+def counted(docs: DataFrame, holders: DataFrame, carried: list[str]) -> DataFrame:
+    """(doc_id, carried, term, tf, requests) for the terms asked for, counted before the shuffle."""
+    each = docs.select("doc_id", *carried, F.explode("words").alias("term")).join(holders, "term")
+    return each.groupBy("doc_id", "term", *carried).agg(F.count("*").alias("tf"), F.first("requests").alias("requests"))
+
+
+def matches(docs: DataFrame, queries: DataFrame, carried: list[str]) -> DataFrame:
+    """(request_id, doc_id, carried, tf, covered): each query with every document that has
+    one of its terms, how often in all, and how many of them."""
+    rows = counted(docs.withColumn("words", T.words(F.col("text"))), term_holders(queries), carried)
+    each = rows.select("doc_id", *carried, "tf", F.explode("requests").alias("request_id"))
+    return each.groupBy("request_id", "doc_id", *carried).agg(F.sum("tf").alias("tf"), F.count("*").alias("covered"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(request_id, doc_id, score, rank): the k best documents by BM25 over all documents."""
-    terms = query_terms(queries)
-    lengths = docs.select("doc_id", F.size(T.words(F.col("text"))).alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = postings(docs, terms)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = terms.join(tf, "term").join(df, "term").join(lengths, "doc_id").join(F.broadcast(corpus))
+    worded = docs.select("doc_id", T.words(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+    corpus = worded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    holders = term_holders(queries)
+    rows = counted(worded, holders, ["dl"])
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    # ``df`` has a row for each term of ``holders`` at most, ``corpus`` has one.
+    rows = rows.join(small(df), "term").join(F.broadcast(corpus))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return best(rows.groupBy("request_id", "doc_id").agg(F.sum(part).alias("score")), k)
+    each = rows.select("doc_id", part.alias("part"), F.explode("requests").alias("request_id"))
+    return best(each.groupBy("request_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:
+    """The k best of each request. Scores are sums in no set order, so they are compared to nine digits."""
     by = W.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 

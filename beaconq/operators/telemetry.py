@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconq.functions.classify import outcome
 
 
 def outcomes(reports: DataFrame) -> DataFrame:
-    """For each request: successes, failures, partial, code, whether more may follow."""
+    """For each request: successes, failures, partial, code, whether more may follow, and
+    sums over its engines. Columns may_follow (an engine gave a cursor, or as many results
+    as were asked for), redirect_count and upstream_requests are read where reports have them."""
+    sums = [F.sum(c).alias(c) for c in ("response_bytes", "redirect_count", "upstream_requests") if c in reports.columns]
+    more = [F.coalesce(F.bool_or(F.col("failure_kind").isNull() & F.col("may_follow")), F.lit(False)).alias("may_have_more")] if "may_follow" in reports.columns else []
     return reports.groupBy("request_id").agg(
         F.count_if(F.col("failure_kind").isNull()).alias("successes"),
         F.count_if(F.col("failure_kind").isNotNull()).alias("failures"),
         F.bool_or(F.col("failure_kind").isNotNull()).alias("partial"),
         F.when(F.count_if(F.col("failure_kind").isNull()) == 0, "NO_ENGINE_SUCCEEDED").alias("code"),
-        F.sum("response_bytes").alias("response_bytes"),
+        *sums,
+        *more,
     )
 
 
+def may_follow(next_cursor: Column, result_count: Column, limit: Column) -> Column:
+    return next_cursor.isNotNull() | (result_count >= limit)
+
+
 def p95(reports: DataFrame) -> DataFrame:
+    """By engine, outcome and kind of failure: events and the 95th percentile of their
+    duration, each weighted by ``sample_weight`` where reports have it."""
     rows = reports.withColumn("outcome", outcome(F.col("failure_kind")))
-    return rows.groupBy("engine_id", "outcome", "failure_kind").agg(F.count("*").alias("n"), F.percentile("duration_ms", 0.95).alias("p95_ms"))
+    weight = F.col("sample_weight") if "sample_weight" in reports.columns else F.lit(1)
+    return rows.groupBy("engine_id", "outcome", "failure_kind").agg(F.sum(weight).cast("long").alias("n"), F.percentile("duration_ms", 0.95, weight).alias("p95_ms"))
+
+
+def points(reports: DataFrame) -> DataFrame:
+    """One row for each report, as the telemetry store keeps it."""
+    unknown = lambda c, word: F.coalesce(F.col(c), F.lit(word)).alias(c)
+    return reports.select(
+        "engine_id", F.lit("search").alias("event"), outcome(F.col("failure_kind")).alias("outcome"), unknown("failure_kind", "none"), unknown("parser_version", "unknown"),
+        F.lower("cache_status").alias("cache_status"), *[F.col(c).cast("double").alias(c) for c in ("duration_ms", "response_bytes", "parse_ms", "result_count", "redirect_count")],
+    )
+
+
+def log_lines(responses: DataFrame, reports: DataFrame) -> DataFrame:
+    """(request_id, line): a JSON line for each response (request_id, query, provider_query,
+    cached, duration_ms, result_count, partial, bangs), with hashes in place of queries."""
+    asked = reports.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("engine_id", F.col("failure_kind").isNull().alias("good")))).alias("e"))
+    ids = lambda rows: F.transform(rows, lambda x: x["engine_id"])
+    rows = responses.join(asked, "request_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<engine_id: string, good: boolean>>")))
+    fields = {
+        "event": F.lit("search_complete"), "request_id": F.col("request_id"), "query_hash": F.sha2("query", 256), "provider_query_hash": F.sha2("provider_query", 256),
+        "selected_engines": ids(F.col("e")), "successful_engines": ids(F.filter("e", lambda x: x["good"])), "failed_engines": ids(F.filter("e", lambda x: ~x["good"])),
+        "cache_status": F.when(F.col("cached"), "hit").otherwise("miss"), "duration_ms": F.col("duration_ms"), "result_count": F.col("result_count"), "partial": F.col("partial"), "bangs": F.col("bangs"),
+    }
+    return rows.select("request_id", F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("line"))
 
 
 def by_cache(reports: DataFrame) -> DataFrame:

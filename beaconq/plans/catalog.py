@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconq.functions import classify, text as T
-from beaconq.functions.urls import canonical_url, crawlable, unwrap_redirect
+from beaconq.functions.urls import canonicalized, crawlable, unwrap_redirect
 from beaconq.operators import cache, crawl, rank, requests, retrieve, telemetry
 from beaconq.plans import search as S
 from beaconq.sources import engines as E
@@ -45,7 +45,8 @@ def cov(q: str, t: str) -> str:
     )
 
 
-ASKED = f"asked AS (SELECT item_id AS request_id, array_to_string({words('text')}[1:3], ' ') AS query FROM benchmark)"
+ASKED = "asked AS (SELECT item_id AS request_id, text AS query FROM benchmark)"
+ENDS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 TERMS = f"{ASKED}, terms AS (SELECT request_id, unnest({toks('query')}) AS term FROM asked)"
 LISTS = f"""{TERMS},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({words('text')}) AS term FROM documents)
@@ -57,17 +58,21 @@ lists AS (
   SELECT request_id, doc_id, 'tf' AS engine_id, 0 AS ordinal, 1.0::DOUBLE AS weight, row_number() OVER (PARTITION BY request_id ORDER BY tf DESC, doc_id) AS position FROM hits
   UNION ALL SELECT request_id, doc_id, 'coverage', 1, 1.25, row_number() OVER (PARTITION BY request_id ORDER BY covered DESC, n_chars, doc_id) FROM hits
   UNION ALL SELECT request_id, doc_id, 'quality', 2, 0.9, row_number() OVER (PARTITION BY request_id ORDER BY tf DESC, doc_id) FROM hits WHERE good = 1)"""
+PARTS = [f"max(CASE WHEN ordinal = {i} THEN {{}} END)" for i in range(3)]  # a list has a URL once at most
+RRF = "0.0::DOUBLE + " + " + ".join(f"coalesce({p.format('weight / (60 + position)')}, 0)" for p in PARTS)
+PRODUCT = "(1.0::DOUBLE * " + " * ".join(f"coalesce({p.format('weight')}, 1)" for p in PARTS) + " * count(*))"
+COMPAT = "0.0::DOUBLE + " + " + ".join(f"coalesce({PRODUCT} / {p.format('position')}, 0)" for p in PARTS)
 MERGED = f"""{LISTS},
 res AS (SELECT l.*, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, array_to_string(string_split(text, ' ')[1:8], ' ') AS title,
-        substr(text, 1, 600) AS content, CAST(1990 + doc_id % 35 AS INTEGER) AS year FROM lists l JOIN documents d USING (doc_id) WHERE position <= 20),
-merged AS (SELECT request_id, canonical_url, any_value(trim(title, ' ')) AS title, any_value(trim(content, ' ')) AS content, any_value(year) AS year,
-  count(DISTINCT engine_id) AS n_engines, count(*) AS n, sum(weight / (60 + position)) + 0.10 * ln(1 + count(DISTINCT engine_id)) AS rrf,
-  product(weight) * count(*) * sum(1.0::DOUBLE / position) AS compat, min(position) AS best FROM res GROUP BY request_id, canonical_url)"""
+        text AS content, CAST(1990 + doc_id % 35 AS INTEGER) AS year FROM lists l JOIN documents d USING (doc_id) WHERE position <= 20),
+merged AS (SELECT request_id, canonical_url, any_value({ENDS.format('title')}) AS title, any_value({ENDS.format('content')}) AS content, any_value(year) AS year,
+  count(DISTINCT engine_id) AS n_engines, count(*) AS n, arg_min(engine_id, ordinal) AS first_list, {RRF} + 0.10::DOUBLE * ln(1.0 + count(DISTINCT engine_id)) AS rrf,
+  {COMPAT} AS compat, min(position) AS best FROM res GROUP BY request_id, canonical_url)"""
 
 
 def topk(score: str, rows: str) -> str:
     return f"""SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (
-      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, canonical_url) AS rank FROM (SELECT *, {score} AS score FROM {rows})) WHERE rank <= 10"""
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, canonical_url) AS rank FROM (SELECT *, {score} AS score FROM {rows})) WHERE rank <= 10"""
 
 
 # ---- Text, URLs ----
@@ -90,7 +95,7 @@ def strip_markup(spark, d):
  SELECT page_id, base || CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(list_transform(kv, lambda x: {'k': string_split(x, '=')[1],
    'v': CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END})), lambda x: x.k || '=' || x.v), '&') END AS canonical_url FROM q""")
 def url_canonicalize(spark, d):
-    return S.read(spark, d, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical_url"))
+    return canonicalized(S.read(spark, d, "pages").select("page_id", "url")).select("page_id", "canonical_url")
 
 
 @query("""WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://duckduckgo.com/l/?uddg=' WHEN 1 THEN 'https://www.google.com/url?q='
@@ -131,64 +136,12 @@ def calendar_back(spark, d):
 ALIASES = sorted(a for a, _, _ in E.bang_rows()) + ["nosuch"]
 
 
-def banged(spark, d):
-    """User turns as queries; in most, the second word becomes a shortcut."""
-    alias = F.element_at(F.array(*map(F.lit, ALIASES)), (F.col("conv_id") % len(ALIASES) + 1).cast("int"))
-    w = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 4)
-    text = F.concat_ws(" ", w[0], F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("!"), alias)), F.array_join(F.slice(w, 2, 3), " "))
-    turns = S.read(spark, d, "conversations").filter("turn = 0 AND role = 'user'")
-    return turns.select(F.col("conv_id").alias("request_id"), text.alias("query"))
-
-
 BANG_VALUES = ", ".join(f"('{a}', '{k}', {t!r})" for a, k, t in E.bang_rows())
 
 
-@query(f"""WITH bangs(alias, kind, targets) AS (VALUES {BANG_VALUES}),
- q AS (SELECT conv_id AS request_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:4] AS w, {ALIASES!r}[CAST(conv_id % {len(ALIASES)} + 1 AS INTEGER)] AS alias,
-   conv_id % 3 > 0 AS has FROM conversations WHERE turn = 0 AND role = 'user')
- SELECT request_id, array_to_string(w, ' ') AS provider_query, CASE WHEN has THEN q.alias ELSE '' END AS bang,
-  CASE WHEN has AND kind = 'engine' THEN array_to_string(list_sort(targets), ',') ELSE '' END AS engines, CASE WHEN has AND kind = 'category' THEN targets[1] ELSE '' END AS categories,
-  CASE WHEN has AND kind IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM q LEFT JOIN bangs b ON q.alias = b.alias""")
-def bang_resolution(spark, d):
-    rows = requests.resolve_bangs(banged(spark, d), E.bangs(spark))
-    return rows.select("request_id", "provider_query", F.array_join("bangs", ",").alias("bang"), F.array_join("bang_engines", ",").alias("engines"), F.array_join("bang_categories", ",").alias("categories"), "status")
-
-
-def selections(spark, d):
-    """Requests for the categories, engines, or neither, in turn by conversation."""
-    n = F.col("conv_id") % 3
-    none = F.array().cast("array<string>")
-    rows = S.read(spark, d, "conversations").filter("turn = 0").select(
-        F.col("conv_id").alias("request_id"),
-        F.when(n == 0, F.array(F.lit("github"), F.lit("arxiv"))).otherwise(none).alias("engines"),
-        F.when(n == 1, F.array(F.lit("reference"), F.lit("science"))).otherwise(none).alias("categories"),
-    )
-    return rows
-
-
 ENGINE_VALUES = ", ".join(f"({i}, '{e[0]}', {e[2]!r}, {e[3]}, {e[4]})" for i, e in enumerate(E.ENGINES))
 
 
-@query(f"""WITH e(ordinal, engine_id, cats, weight, ttl) AS (VALUES {ENGINE_VALUES}), r AS (SELECT conv_id AS request_id, conv_id % 3 AS n FROM conversations WHERE turn = 0)
- SELECT request_id, CAST(ordinal AS INTEGER) AS ordinal, engine_id FROM r JOIN e ON CASE n WHEN 0 THEN engine_id IN ('github', 'arxiv') WHEN 1 THEN list_has_any(cats, ['reference', 'science']) ELSE true END""")
-def engine_selection(spark, d):
-    return requests.select_engines(selections(spark, d), E.engines(spark)).select("request_id", "ordinal", "engine_id")
-
-
-@query("""SELECT conv_id AS request_id, array_to_string(list_filter([CASE WHEN conv_id % 4 = 0 THEN 'query_xor_q' END, CASE WHEN conv_id % 5 = 0 THEN 'page_xor_cursor' END,
- CASE WHEN conv_id % 7 = 0 THEN 'page' END, CASE WHEN conv_id % 25 < 10 OR conv_id % 25 > 20 THEN 'limit' END, CASE WHEN conv_id % 9000 = 0 OR conv_id % 9000 > 8000 THEN 'timeout' END],
- lambda x: x IS NOT NULL), ',') AS violations FROM conversations WHERE turn = 0""")
-def request_validation(spark, d):
-    c = F.col("conv_id")
-    none = F.array().cast("array<string>")
-    rows = S.read(spark, d, "conversations").filter("turn = 0").select(
-        c.alias("request_id"), F.lit("x").alias("query"), F.when(c % 4 == 0, "y").alias("q"), none.alias("engines"), none.alias("categories"),
-        F.when(c % 7 == 0, 0).otherwise(1).alias("page"), F.when(c % 5 == 0, "c").alias("cursor"), (c % 25).alias("limit"), (c % 9000).alias("timeout_ms"),
-    )
-    return requests.violations(rows).select("request_id", F.array_join("violations", ",").alias("violations"))
-
-
-# ---- The same for every user turn ----
 USER_TURNS = "SELECT concat(conv_id, ':', turn) AS request_id, conv_id + turn AS n, text FROM conversations WHERE role = 'user'"
 
 
@@ -203,7 +156,7 @@ def user_turns(spark, d):
  SELECT request_id, words AS provider_query, CASE WHEN has THEN q.alias ELSE '' END AS bang,
   CASE WHEN has AND kind = 'engine' THEN array_to_string(list_sort(targets), ',') ELSE '' END AS engines, CASE WHEN has AND kind = 'category' THEN targets[1] ELSE '' END AS categories,
   CASE WHEN has AND kind IS NULL THEN 'unknown' WHEN words = '' THEN 'empty' ELSE 'ok' END AS status FROM q LEFT JOIN bangs b ON q.alias = b.alias""")
-def bang_resolution_whole(spark, d):
+def bang_resolution(spark, d):
     """Whole texts of all user turns; in most, a shortcut is put after the first word or at the end."""
     n = F.col("n")
     alias = F.element_at(F.array(*map(F.lit, ALIASES)), (n % len(ALIASES) + 1).cast("int"))
@@ -216,7 +169,7 @@ def bang_resolution_whole(spark, d):
 
 @query(f"""WITH e(ordinal, engine_id, cats, weight, ttl) AS (VALUES {ENGINE_VALUES}), r AS (SELECT request_id, n % 3 AS n FROM ({USER_TURNS}))
  SELECT request_id, CAST(ordinal AS INTEGER) AS ordinal, engine_id FROM r JOIN e ON CASE n WHEN 0 THEN engine_id IN ('github', 'arxiv') WHEN 1 THEN list_has_any(cats, ['reference', 'science']) ELSE true END""")
-def engine_selection_whole(spark, d):
+def engine_selection(spark, d):
     n, none = F.col("n") % 3, F.array().cast("array<string>")
     rows = user_turns(spark, d).select(
         "request_id",
@@ -229,7 +182,7 @@ def engine_selection_whole(spark, d):
 @query(f"""SELECT request_id, array_to_string(list_filter([CASE WHEN coalesce(text, '') = '' THEN 'query_xor_q' WHEN n % 4 = 0 THEN 'query_xor_q' END, CASE WHEN n % 5 = 0 THEN 'page_xor_cursor' END,
  CASE WHEN n % 7 = 0 THEN 'page' END, CASE WHEN n % 25 < 10 OR n % 25 > 20 THEN 'limit' END, CASE WHEN n % 9000 = 0 OR n % 9000 > 8000 THEN 'timeout' END],
  lambda x: x IS NOT NULL), ',') AS violations FROM ({USER_TURNS})""")
-def request_validation_whole(spark, d):
+def request_validation(spark, d):
     n, none = F.col("n"), F.array().cast("array<string>")
     text = F.col("text")
     rows = user_turns(spark, d).select(
@@ -245,10 +198,13 @@ def provider_lists(spark, d):
     return S.provider_lists(spark, d).select("request_id", "engine_id", "position", "doc_id")
 
 
-@query(f"WITH {MERGED} SELECT request_id, canonical_url, md5(title) AS title_md5, md5(content) AS content_md5, n_engines, n, best FROM merged")
+@query(f"WITH {MERGED} SELECT request_id, canonical_url, md5(title) AS title_md5, md5(content) AS content_md5, n_engines, n, best, first_list FROM merged")
 def dedup_merge(spark, d):
-    best = F.array_min(F.transform("contributions", lambda c: c["position"]))
-    return S.merged(spark, d).select("request_id", "canonical_url", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"), F.size("engines").alias("n_engines"), F.size("contributions").alias("n"), best.alias("best"))
+    best = F.array_min(F.map_values("positions"))
+    return S.merged(spark, d).select(
+        "request_id", "canonical_url", F.md5("title").alias("title_md5"), F.md5("content").alias("content_md5"), F.size("engines").alias("n_engines"),
+        F.size("contributions").alias("n"), best.alias("best"), F.get_json_object("metadata", "$.list").alias("first_list"),
+    )
 
 
 @query(f"WITH {MERGED} {topk('rrf', 'merged')}")
@@ -275,18 +231,10 @@ def query_aware_topk(spark, d):
     return S.search(spark, d, "query-aware-v1")
 
 
-@query(f"WITH {ASKED}, x AS (SELECT request_id, doc_id, {toks('query')} AS qt, {toks('substr(d.text, 1, 600)')} AS dt FROM asked JOIN documents d ON d.doc_id % 100 = request_id % 100) SELECT request_id, doc_id, {cov('qt', 'dt')} AS coverage FROM x")
-def token_coverage(spark, d):
-    """Each query with the documents of its residue class: an equi-join, to test coverage alone."""
-    q = S.benchmark_queries(spark, d).select("request_id", T.tokens(F.col("query")).alias("qt"), (F.col("request_id") % 100).alias("k"))
-    docs = S.read(spark, d, "documents").select("doc_id", T.tokens(F.substring("text", 1, 600)).alias("dt"), (F.col("doc_id") % 100).alias("k"))
-    return q.join(docs, "k").select("request_id", "doc_id", T.coverage(F.col("qt"), F.col("dt")).alias("coverage"))
-
-
 @query(f"WITH q AS (SELECT item_id AS request_id, {toks('text')} AS qt FROM benchmark), x AS (SELECT doc_id, {toks('text')} AS dt FROM documents) SELECT request_id, doc_id, {cov('qt', 'dt')} AS coverage FROM q, x")
-def token_coverage_whole(spark, d):
+def token_coverage(spark, d):
     """Each benchmark item, whole, with every document, whole."""
-    return S.coverages(S.whole_queries(spark, d), S.read(spark, d, "documents").select("doc_id", "text"))
+    return S.coverages(S.benchmark_queries(spark, d), S.read(spark, d, "documents").select("doc_id", "text"))
 
 
 # ---- Responses ----
@@ -309,7 +257,7 @@ def all_or_nothing(spark, d):
     from beaconq.operators import merge
 
     url = F.when(F.col("event_id") % 97 == 0, "ftp://x").otherwise("https://x.org/")
-    rows = S.read(spark, d, "events").select((F.col("event_id") % 50).alias("request_id"), F.col("event_type").alias("engine_id"), canonical_url(url).alias("canonical_url"))
+    rows = canonicalized(S.read(spark, d, "events").select((F.col("event_id") % 50).alias("request_id"), F.col("event_type").alias("engine_id"), url.alias("url")))
     return merge.whole_engines(rows).groupBy("request_id", "engine_id").agg(F.count("*").alias("n"))
 
 
@@ -346,43 +294,93 @@ def rate_limit_window(spark, d):
 
 
 # ---- Cache ----
-@query("""SELECT o_orderkey, sha256('{"api_version":"v1","categories":["academic","code"],"engines":["arxiv","github"],"limit":' || (o_orderkey % 11 + 10) || ',"locale":null,"page":1,"parsers":["a:1"],"query":"' || o_orderpriority || '","ranking":"rrf-v1"}') AS key FROM orders""")
-def cache_key(spark, d):
+SAFE = "CASE o_orderkey % 3 WHEN 0 THEN '\"strict\"' WHEN 1 THEN '\"off\"' ELSE 'null' END"
+RANGE = "CASE WHEN o_orderkey % 2 = 0 THEN '\"week\"' ELSE 'null' END"
+COUNTRY = "CASE WHEN o_orderkey % 5 = 0 THEN '\"DE\"' ELSE 'null' END"
+LOCALE = "CASE WHEN o_orderkey % 7 = 0 THEN '\"de-AT\"' ELSE 'null' END"
+CURSOR = "CASE WHEN o_orderkey % 10 = 0 THEN '\"' || sha256('c') || '\"' ELSE 'null' END"
+
+
+def key_fields() -> dict:
+    """Every field that a key depends on, varied over the orders."""
+    n = F.col("o_orderkey")
     lits = lambda *xs: F.array(*map(F.lit, xs))
-    key = cache.cache_key(F.col("o_orderpriority"), lits("github", "arxiv"), lits("code", "academic"), F.lit(1), F.col("o_orderkey") % 11 + 10, F.lit(None).cast("string"), F.lit("rrf-v1"), lits("a:1"))
-    return S.read(spark, d, "orders").select("o_orderkey", key.alias("key"))
+    return {
+        "query": F.col("o_orderpriority"), "engines": lits("github", "arxiv"), "categories": lits("code", "academic"), "page": (n % 4 + 1).cast("int"), "limit": (n % 11 + 10).cast("int"),
+        "locale": F.when(n % 7 == 0, "de-AT"), "country": F.when(n % 5 == 0, "DE"), "safe_search": F.when(n % 3 == 0, "strict").when(n % 3 == 1, "off"), "time_range": F.when(n % 2 == 0, "week"),
+        "ranking": F.lit("rrf-v1"), "parsers": lits("github:v1", "arxiv:v2"), "cursor_hash": F.when(n % 10 == 0, F.sha2(F.lit("c"), 256)),
+    }
 
 
-@query("""SELECT o_orderkey, sha256('{"categories":[],"engines":["github","arxiv"],"limit":10,"locale":"en-US","query":"' || o_orderpriority || '","ranking":"rrf-v1"}') AS hash FROM orders""")
+def key_json(engines: str, parsers: str) -> str:
+    return (
+        f"""'{{"api_version":"v1","categories":["academic","code"],"country":' || {COUNTRY} || ',"cursor_hash":' || {CURSOR} || ',"engines":{engines},"limit":' || (o_orderkey % 11 + 10)"""
+        f""" || ',"locale":' || {LOCALE} || ',"page":' || (o_orderkey % 4 + 1) || ',"parsers":{parsers},"query":"' || o_orderpriority || '","ranking":"rrf-v1","ranking_version":"{cache.RANKING_VERSION}"'"""
+        f""" || ',"registry":"{cache.REGISTRY_VERSION}","safe_search":' || {SAFE} || ',"time_range":' || {RANGE} || '}}'"""
+    )
+
+
+@query(f"""SELECT o_orderkey, 'cache/v1/search/' || sha256({key_json('["arxiv","github"]', '["arxiv:v2","github:v1"]')}) AS key FROM orders""")
+def cache_key(spark, d):
+    return S.read(spark, d, "orders").select("o_orderkey", cache.cache_key(key_fields()).alias("key"))
+
+
+@query(f"""SELECT o_orderkey, 'cache/v1/engine/arxiv/' || sha256({key_json('["arxiv"]', '["arxiv:v2"]')}) AS key FROM orders""")
+def engine_cache_key(spark, d):
+    return S.read(spark, d, "orders").select("o_orderkey", cache.engine_cache_key(key_fields(), F.lit("arxiv"), F.lit("v2")).alias("key"))
+
+
+@query(f"""SELECT o_orderkey, sha256('{{"categories":["code","academic"],"country":' || {COUNTRY} || ',"engines":["github","arxiv"],"limit":' || (o_orderkey % 11 + 10) || ',"locale":' || {LOCALE} || ',"query":"' || o_orderpriority
+ || '","ranking":"rrf-v1","safe_search":' || {SAFE} || ',"time_range":' || {RANGE} || '}}') AS hash FROM orders""")
 def cursor_query_hash(spark, d):
-    h = cache.cursor_hash(F.col("o_orderpriority"), F.array(F.lit("github"), F.lit("arxiv")), F.array().cast("array<string>"), F.lit(10), F.lit("en-US"), F.lit("rrf-v1"))
-    return S.read(spark, d, "orders").select("o_orderkey", h.alias("hash"))
+    return S.read(spark, d, "orders").select("o_orderkey", cache.cursor_hash(key_fields()).alias("hash"))
 
 
-@query("""WITH c AS (SELECT user_id AS key, event_id % 7 = 0 AS negative, event_id AS expires_at FROM events WHERE event_type <> 'view'),
+@query("""WITH c AS (SELECT user_id AS key, event_id % 7 = 0 AS negative, event_id AS expires_at FROM events),
  a AS (SELECT key, arg_max(negative, expires_at) AS negative FROM c WHERE expires_at > 300 GROUP BY key)
  SELECT c_custkey, CASE WHEN negative THEN 'negative' WHEN NOT negative THEN 'positive' END AS hit FROM customer LEFT JOIN a ON c_custkey = key""")
 def ttl_cache_hits(spark, d):
-    entries = S.read(spark, d, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("key"), (F.col("event_id") % 7 == 0).alias("negative"), F.col("event_id").alias("expires_at"))
+    entries = S.read(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 7 == 0).alias("negative"), F.col("event_id").alias("expires_at"))
     asked = S.read(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("key"))
     return cache.probe(asked, entries, F.lit(300)).select("c_custkey", "hit")
 
 
 # ---- Crawl ----
-LINKS = """links AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a\\s[^>]*href="([^"#]+)', 1), lambda u: starts_with(u, 'https://')) AS l FROM pages WHERE starts_with(url, 'https://'))"""
+def encoded(href: str) -> str:
+    text = f"url_encode({href})"
+    for c in crawl.KEPT + "*":
+        shown = c.replace("'", "''")
+        text = f"replace({text}, '%{ord(c):02X}', '{shown}')" if c not in "~%" else text
+    return f"replace({text}, '%25', '%')"
 
 
-@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"#]+)', 1) AS l FROM pages) SELECT DISTINCT page_id, unnest(list_filter(l, lambda u: starts_with(u, 'https://'))) AS link FROM l""")
+HREFS = "regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"#]+)', 1)"
+LOCAL = "^https://(localhost|[^/]*\\.internal|[^/]*\\.localhost|10\\.|127\\.|192\\.168\\.)"
+STRIPPED = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*(>|$)', ' ', 'g'),
+ '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))"""
+#: Links of pages are rooted paths in all tables; the first of equal ones counts.
+PAGES = f"""p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, regexp_extract(url, '^https://[^/]+') AS origin, html FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '{LOCAL}')),
+ h AS (SELECT page_id, origin, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) AS i FROM p),
+ links AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nth FROM (SELECT page_id, origin || {encoded('href')} AS link, min(i) AS i FROM h GROUP BY ALL))"""
+
+
+@query(f"WITH {PAGES} SELECT page_id, CAST(nth - 1 AS INTEGER) AS nth, link FROM links WHERE nth <= 64")
 def page_links(spark, d):
-    return S.read(spark, d, "pages").select("page_id", F.explode(crawl.links(F.col("html"))).alias("link"))
+    rows = crawl.pages(S.read(spark, d, "pages"))
+    return rows.select("page_id", F.posexplode("links").alias("nth", "link"))
 
 
-@query()
+@query(f"""WITH {PAGES}, t AS (SELECT page_id, url, trim(regexp_replace(substr(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), 1, 512), '\\s+', ' ', 'g')) AS title,
+  substr({STRIPPED.format("regexp_replace(html, '(?s)^.*?<body[^>]*>', '')")}, 1, 262144) AS text FROM p),
+ l AS (SELECT page_id, string_agg('- ' || link, chr(10) ORDER BY nth) AS l FROM links WHERE nth <= 64 GROUP BY page_id)
+ SELECT page_id, 'documents/' || sha256(url) || '.md' AS key, md5(concat_ws(chr(10), '---', 'url: ' || to_json(url), 'title: ' || to_json(title), 'fetched_at: "2026-01-01T00:00:00Z"', '---', '', '',
+  '# ' || CASE WHEN title = '' THEN url ELSE title END, '', text, '', '## Discovered links', '', l, '')) AS markdown_md5 FROM t LEFT JOIN l USING (page_id) WHERE text <> ''""")
 def crawl_documents(spark, d):
-    return crawl.documents(crawl.pages(S.read(spark, d, "pages")), "2026-01-01T00:00:00Z")
+    rows = crawl.documents(crawl.pages(S.read(spark, d, "pages")), "2026-01-01T00:00:00Z")
+    return rows.select("page_id", "key", F.md5("markdown").alias("markdown_md5"))
 
 
-@query(f"""WITH {LINKS} SELECT sha256(u) AS digest, u AS url FROM (SELECT DISTINCT unnest(l) AS u FROM links) WHERE u NOT IN (SELECT url FROM pages)""")
+@query(f"WITH {PAGES} SELECT sha256(link) AS digest, link AS url FROM (SELECT DISTINCT link FROM links WHERE nth <= 12) WHERE link NOT IN (SELECT url FROM p)")
 def frontier_anti(spark, d):
     raw = S.read(spark, d, "pages")
     return crawl.frontier(crawl.pages(raw), raw.select("url"))
@@ -412,16 +410,16 @@ def cosine_topk(spark, d):
     return retrieve.cosine(rows, asked).select("request_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-FUSED = f"""{MERGED}, prov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(rrf, 9) DESC, canonical_url) AS rank FROM merged) WHERE rank <= 10),
+FUSED = f"""{MERGED}, prov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, canonical_url) AS rank FROM merged) WHERE rank <= 10),
  {BM25.split('lengths AS', 1)[1].join(['lengths AS', '']).replace(' tf AS (', ' tf2 AS (').replace('FROM tf GROUP BY term', 'FROM tf2 GROUP BY term').replace('JOIN tf USING', 'JOIN tf2 USING')},
- idx AS (SELECT b.request_id, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, rank, trim(array_to_string(string_split(text, ' ')[1:8], ' '), ' ') AS title, trim(substr(text, 1, 600), ' ') AS content FROM bmr b JOIN documents USING (doc_id) WHERE rank <= 10),
+ idx AS (SELECT b.request_id, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, rank, {ENDS.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} AS title, {ENDS.format('text')} AS content FROM bmr b JOIN documents USING (doc_id) WHERE rank <= 10),
  f AS (SELECT request_id, canonical_url, coalesce(p.title, i.title) AS title, coalesce(p.content, i.content) AS content, coalesce(p.n_engines, 0) + (i.rank IS NOT NULL)::INT AS n_engines, p.rank AS prank,
    coalesce(1.0::DOUBLE / (60 + p.rank), 0) + coalesce(1.0::DOUBLE / (60 + i.rank), 0) AS base FROM prov p FULL JOIN idx i USING (request_id, canonical_url)),
  g AS (SELECT f.*, query, {toks('query')} AS qt, {toks('title')} AS tt, {toks('content')} AS ct, {toks('canonical_url')} AS ut FROM f JOIN asked USING (request_id)),
- h AS (SELECT *, base + {LEX} + 0.1 * ln(1 + n_engines) AS score FROM g)"""
+ h AS (SELECT *, base + ({LEX} + 0.1::DOUBLE * ln(1.0 + n_engines) + 0.05::DOUBLE * 0.0::DOUBLE) AS score FROM g)"""
 
 
-@query(f"WITH {FUSED} SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, prank NULLS LAST, canonical_url) AS rank FROM h) WHERE rank <= 10")
+@query(f"WITH {FUSED} SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, prank NULLS LAST, canonical_url) AS rank FROM h) WHERE rank <= 10")
 def hybrid_fusion(spark, d):
     asked = S.benchmark_queries(spark, d)
     provider = rank.top(rank.scored(S.merged(spark, d), "rrf-v1")).select("request_id", "canonical_url", "rank", "title", "content", "engines")
@@ -429,7 +427,7 @@ def hybrid_fusion(spark, d):
     hits = retrieve.bm25(docs, asked).join(docs.select("doc_id", "text", "source"), "doc_id")
     index = hits.select(
         "request_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string")).alias("canonical_url"), "rank",
-        F.trim(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("title"), F.trim(F.substring("text", 1, 600)).alias("content"), F.array(F.lit("index")).alias("engines"),
+        T.trimmed(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("title"), T.trimmed(F.col("text")).alias("content"), F.array(F.lit("index")).alias("engines"),
     )
     rows = rank.fused(provider, index, asked)
     return rows.select("request_id", "rank", "canonical_url", F.round("score", 6).alias("score"), F.size("engines").alias("n_engines"))
@@ -444,3 +442,6 @@ def coordinator_fold(spark, d):
         F.lit("ENGINE_TIMEOUT").alias("failure_kind"), F.lit(60_000).cast("long").alias("duration_ms"),
     )
     return state.coordinate(rows)
+
+
+from beaconq.plans import interface  # noqa: E402, F401 - adds its queries

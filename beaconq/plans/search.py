@@ -22,13 +22,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, query): the first three words of each benchmark item."""
-    first = F.array_join(F.slice(T.words(F.col("text")), 1, 3), " ")
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), first.alias("query"))
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, query): each benchmark item as it is."""
+    """(request_id, query): each benchmark item, whole, as a request."""
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
 
 
@@ -67,34 +61,36 @@ def coverages(queries: DataFrame, docs: DataFrame, block: int = 256) -> DataFram
 
 
 def provider_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three providers' lists for each benchmark query, 20 results each at most."""
+    """The three providers' lists for each benchmark query, 20 results each at most.
+
+    Documents are read and cut to words once; the queries are the stated set, whose terms
+    are broadcast. The three orders are windows over the same partitioning."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    quality = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(1).alias("good")).distinct()
-    terms = retrieve.query_terms(benchmark_queries(spark, sf_dir))
-    hits = terms.join(retrieve.postings(docs, terms), "term").groupBy("request_id", "doc_id").agg(F.sum("tf").alias("tf"), F.count("*").alias("covered"))
-    hits = hits.join(docs.select("doc_id", "n_chars"), "doc_id").join(quality, "doc_id", "left")
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(1).alias("good")).distinct()
+    hits = retrieve.matches(docs, benchmark_queries(spark, sf_dir), ["n_chars"]).join(good, "doc_id", "left")
     by_tf = [F.desc("tf"), "doc_id"]
     orders = {"tf": by_tf, "coverage": [F.desc("covered"), "n_chars", "doc_id"], "quality": [F.desc_nulls_last("good"), *by_tf]}
-    lists = None
-    for name, ordinal, weight in RANKERS:
-        rows = hits.filter("good = 1") if name == "quality" else hits
-        position = F.row_number().over(W.partitionBy("request_id").orderBy(*orders[name]))
-        ranked = rows.withColumn("position", position).filter(F.col("position") <= LIST_SIZE)
-        ranked = ranked.select("request_id", "doc_id", F.lit(name).alias("engine_id"), F.lit(ordinal).alias("ordinal"), F.lit(weight).alias("weight"), "position")
-        lists = ranked if lists is None else lists.unionByName(ranked)
-    return lists
+    rows = hits
+    for name, order in orders.items():
+        rows = rows.withColumn(f"_{name}", F.row_number().over(W.partitionBy("request_id").orderBy(*order)))
+    rows = rows.withColumn("_quality", F.when(F.col("good") == 1, F.col("_quality")))
+    rows = rows.filter(F.least(*[F.col(f"_{name}") for name in orders]) <= LIST_SIZE)
+    lists = F.array(*[F.struct(F.lit(n).alias("engine_id"), F.lit(o).alias("ordinal"), F.lit(w).alias("weight"), F.col(f"_{n}").alias("position")) for n, o, w in RANKERS])
+    each = rows.select("request_id", "doc_id", F.explode(F.filter(lists, lambda x: x["position"] <= LIST_SIZE)).alias("x"))
+    return each.select("request_id", "doc_id", "x.*")
 
 
 def provider_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists with the fields that providers return; each provider tags its URLs its own way."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     words = F.split("text", " ")
-    rows = provider_lists(spark, sf_dir).join(docs, "doc_id")
+    rows = docs.join(provider_lists(spark, sf_dir), "doc_id")
     return rows.select(
         "request_id", "engine_id", "ordinal", "weight", "position",
         F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string"), F.lit("?utm_source="), "engine_id", F.lit("#e")).alias("url"),
-        F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.substring("text", 1, 600).alias("content"),
+        F.array_join(F.slice(words, 1, 8), " ").alias("title"), F.col("text").alias("content"),
         F.concat((F.lit(1990) + F.col("doc_id") % 35).cast("string"), F.lit("-06")).alias("published_at"),
+        F.to_json(F.struct(F.col("doc_id"), F.col("engine_id").alias("list"))).alias("metadata"),
     )
 
 
@@ -106,11 +102,3 @@ def search(spark: SparkSession, sf_dir: str, strategy: str = "query-aware-v1", l
     """Ranked answers for all benchmark queries in one job."""
     rows = rank.top(rank.scored(merged(spark, sf_dir), strategy, benchmark_queries(spark, sf_dir)), limit)
     return rows.select("request_id", "rank", "canonical_url", F.round("score", 6).alias("score"), F.size("engines").alias("n_engines"))
-
-
-def to_compat(answers: DataFrame, reports: DataFrame, queries: DataFrame) -> DataFrame:
-    """Answers in the older shape: query, results in order, engines that did not answer."""
-    results = answers.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "canonical_url", "score"))).alias("results"))
-    failed = reports.filter("failure_kind IS NOT NULL").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("engine_id", "failure_kind"))).alias("unresponsive_engines"))
-    rows = queries.join(results, "request_id", "left").join(failed, "request_id", "left")
-    return rows.withColumn("number_of_results", F.greatest(F.size("results"), F.lit(0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from beaconq.operators import telemetry
 
@@ -78,6 +78,43 @@ def coordinate_stream(commands: DataFrame) -> DataFrame:
     return commands.groupBy("key").applyInPandasWithState(update, SNAPSHOTS, STATE, "append", "NoTimeout")
 
 
+#: Engines that pause after failures: milliseconds, and the failures that make them.
+PAUSES = {
+    "duckduckgo-html": (60_000, ["ENGINE_RATE_LIMITED", "ENGINE_CHALLENGED"]),
+    "brave-news": (60_000, ["ENGINE_RATE_LIMITED", "ENGINE_CHALLENGED"]),
+    "startpage-web": (60_000, ["ENGINE_RATE_LIMITED", "ENGINE_CHALLENGED"]),
+    "google-web": (300_000, ["ENGINE_RATE_LIMITED", "ENGINE_CHALLENGED", "ENGINE_ACCESS_DENIED"]),
+}
+
+
+def commands_of(reports: DataFrame) -> DataFrame:
+    """Coordinator commands from reports (engine_id, at_ms, nth, failure_kind): a pause
+    after those failures that call for one, a success after an answer."""
+    pause = F.lit(None).cast("long")
+    for engine, (ms, kinds) in PAUSES.items():
+        pause = F.when((F.col("engine_id") == engine) & F.col("failure_kind").isin(*kinds), F.lit(ms)).otherwise(pause)
+    command = F.when(pause.isNotNull(), "failure").when(F.col("failure_kind").isNull(), "success")
+    rows = reports.filter(F.col("engine_id").isin(*PAUSES))
+    return rows.select(F.col("engine_id").alias("key"), "at_ms", "nth", command.alias("command"), "failure_kind", pause.alias("duration_ms")).filter("command IS NOT NULL")
+
+
+def gate(selected: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Engines of requests (request_id, engine_id, at_ms) with ``failure_kind`` set for
+    those whose cooldown, by the last snapshot before, is still in force.
+
+    A snapshot holds until the next of its engine or until its cooldown ends, a few
+    minutes at most, so requests meet cooldowns by engine and minute."""
+    following = F.lead("at_ms").over(W.partitionBy("key").orderBy("at_ms", "nth"))
+    held = snapshots.withColumn("until", F.least("cooldown_until", F.coalesce(following, "cooldown_until"))).filter("until > at_ms")
+    minutes = F.sequence(F.floor(F.col("at_ms") / 60_000), F.floor((F.col("until") - 1) / 60_000))
+    held = held.select(F.col("key").alias("engine_id"), F.col("at_ms").alias("_from"), F.col("until").alias("_until"), F.explode(minutes).alias("_minute"))
+    asked = selected.withColumn("_minute", F.floor(F.col("at_ms") / 60_000))
+    inside = (F.col("at_ms") >= F.col("_from")) & (F.col("at_ms") < F.col("_until"))
+    stopped = asked.join(held, ["engine_id", "_minute"]).filter(inside).select("request_id", "engine_id", "at_ms").distinct()
+    rows = selected.join(stopped.withColumn("failure_kind", F.lit("ENGINE_RATE_LIMITED")), ["request_id", "engine_id", "at_ms"], "left")
+    return rows
+
+
 def over_limit_stream(calls: DataFrame, most: int = 60, late: str = "1 minute") -> DataFrame:
     return telemetry.over_limit(calls.withWatermark("ts", late), most)
 

@@ -19,10 +19,10 @@ def test_every_user_turn_is_a_request(spark, tmp_path):
     alias = catalog.ALIASES[4]
     rows = [(0, 0, "system", "s"), (0, 1, "user", "a b c d e f"), (0, 4, "user", "g"), (1, 0, "user", "x  y z u v w"), (1, 1, "assistant", "r")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["request_id"]: r for r in catalog.bang_resolution_whole(spark, str(tmp_path)).collect()}
+    got = {r["request_id"]: r for r in catalog.bang_resolution(spark, str(tmp_path)).collect()}
     assert {k: r["provider_query"] for k, r in got.items()} == {"0:1": "a b c d e f", "0:4": "g", "1:0": "x y z u v w"}
     assert got["0:4"]["bang"] == alias and got["0:1"]["bang"] == got["1:0"]["bang"] == catalog.ALIASES[1]
-    for name in ("engine_selection_whole", "request_validation_whole"):
+    for name in ("engine_selection", "request_validation"):
         assert {r["request_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == set(got)
 
 
