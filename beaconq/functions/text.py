@@ -18,25 +18,29 @@ def nfkc(text: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-def normalize(text: Column) -> Column:
-    """NFKC, lower case, runs of anything but letters and digits to one space, trimmed.
+SEPARATORS = r"[^\p{IsAlphabetic}\p{N}]+"
+
 
-    Only texts that NFKC may change are sent to Python.
-    """
+def composed(text: Column) -> Column:
+    """NFKC; a null text is empty. Only texts that it may change are sent to Python."""
     text = F.coalesce(text, F.lit(""))
-    text = F.coalesce(nfkc(F.when(text.rlike(f"[^{STABLE}]"), text)), text)
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+", " "))
+    may_change = (F.octet_length(text) != F.char_length(text)) & text.rlike(f"[^{STABLE}]")
+    return F.coalesce(nfkc(F.when(may_change, text)), text)
+
+
+def normalize(text: Column) -> Column:
+    """NFKC, lower case, runs of anything but letters and digits to one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(composed(text)), SEPARATORS, " "))
 
 
 def words(text: Column) -> Column:
     """Normalised words in order; none for a text without letters or digits."""
-    plain = normalize(text)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(composed(text)), SEPARATORS), "")
 
 
 def tokens(text: Column) -> Column:
     """Distinct normalised words, sorted."""
-    return F.array_sort(F.array_distinct(words(text)))
+    return F.sort_array(F.array_distinct(words(text)))
 
 
 def coverage(query_tokens: Column, text_tokens: Column) -> Column:

@@ -16,6 +16,13 @@ def normalize_query(queries: pd.Series) -> pd.Series:  # pragma: no cover - runs
     return queries.map(normalized_query)
 
 
+@F.pandas_udf(StringType())
+def query_failure(queries: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
+    from beaconq.operators.requests import query_error
+
+    return queries.map(query_error)
+
+
 def normalized_query(query: str | None) -> str | None:
     """NFC, trimmed, white space collapsed outside double quotes; None if ``query_error`` has a reason."""
     return None if query_error(query) else _normalized(query)
@@ -113,7 +120,7 @@ def parsed(rows: DataFrame, older: bool = False) -> DataFrame:
 
 def listed(csv: Column) -> Column:
     """The parts of a comma-separated text, trimmed, without empty ones."""
-    return F.coalesce(F.filter(F.transform(F.split(csv, ","), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(csv, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def combined(requests: DataFrame) -> DataFrame:
@@ -181,7 +188,7 @@ def selection_failures(requests: DataFrame, engines: DataFrame, switches: dict[s
     off = F.col("switch").isNotNull() & ~F.col("switch").isin(on) if on else F.col("switch").isNotNull()
     both = named.select("request_id", "nth", "engine_id", "_id", "switch").unionByName(by_kind)
     code = F.when(F.col("engine_id").isNull(), "NO_ENGINE_SUCCEEDED").when(F.col("_id").isNull(), "UNKNOWN_ENGINE").when(off, "ENGINE_DISABLED")
-    first = both.withColumn("code", code).filter("code IS NOT NULL").groupBy("request_id").agg(F.min_by(F.struct("code", F.col("engine_id").alias("detail")), "nth").alias("x"))
+    first = both.withColumn("code", code).filter("code IS NOT NULL").groupBy("request_id").agg(F.min_by(F.struct("code", F.col("engine_id").alias("detail")), F.coalesce("nth", F.lit(0))).alias("x"))
     return first.select("request_id", "x.code", "x.detail")
 
 

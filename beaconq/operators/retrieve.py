@@ -24,16 +24,17 @@ def term_holders(queries: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, holders: DataFrame, carried: list[str]) -> DataFrame:
-    """(doc_id, carried, term, tf, requests) for the terms asked for, counted before the shuffle."""
-    each = docs.select("doc_id", *carried, F.explode("words").alias("term")).join(holders, "term")
-    return each.groupBy("doc_id", "term", *carried).agg(F.count("*").alias("tf"), F.first("requests").alias("requests"))
+    """(doc_id, carried, term, tf, requests) for the terms asked for, counted before the
+    shuffle. (An outer explode, as the other kind cuts the words once more to drop empty texts first.)"""
+    each = docs.select("doc_id", *carried, F.explode_outer("words").alias("term")).join(holders.select("term"), "term", "left_semi")
+    return each.groupBy("doc_id", "term", *carried).agg(F.count("*").alias("tf")).join(holders, "term")
 
 
 def matches(docs: DataFrame, queries: DataFrame, carried: list[str]) -> DataFrame:
     """(request_id, doc_id, carried, tf, covered): each query with every document that has
     one of its terms, how often in all, and how many of them."""
     rows = counted(docs.withColumn("words", T.words(F.col("text"))), term_holders(queries), carried)
-    each = rows.select("doc_id", *carried, "tf", F.explode("requests").alias("request_id"))
+    each = rows.select("doc_id", *carried, "tf", F.explode_outer("requests").alias("request_id"))
     return each.groupBy("request_id", "doc_id", *carried).agg(F.sum("tf").alias("tf"), F.count("*").alias("covered"))
 
 
@@ -41,11 +42,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(request_id, doc_id, score, rank): the k best documents by BM25 over all documents."""
     worded = docs.select("doc_id", T.words(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
     corpus = worded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    holders = term_holders(queries)
-    rows = counted(worded, holders, ["dl"])
+    rows = counted(worded, term_holders(queries), ["dl"])
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    # ``df`` has a row for each term of ``holders`` at most, ``corpus`` has one.
-    rows = rows.join(small(df), "term").join(F.broadcast(corpus))
+    rows = rows.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     each = rows.select("doc_id", part.alias("part"), F.explode("requests").alias("request_id"))

@@ -79,13 +79,13 @@ def topk(score: str, rows: str) -> str:
 @query(f"SELECT doc_id, len({words('text')}) AS n_words, len({toks('text')}) AS n_tokens, {toks('text')}[1] AS first_token FROM documents")
 def lexical_tokens(spark, d):
     t = T.tokens(F.col("text"))
-    return S.read(spark, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(t).alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"))
+    return S.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(t).alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"))
 
 
 @query("""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'),
  '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))) AS plain_md5 FROM pages""")
 def strip_markup(spark, d):
-    return S.read(spark, d, "pages").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("plain_md5"))
+    return S.texts(spark, d, "pages", "page_id", "html").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("plain_md5"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
@@ -234,7 +234,7 @@ def query_aware_topk(spark, d):
 @query(f"WITH q AS (SELECT item_id AS request_id, {toks('text')} AS qt FROM benchmark), x AS (SELECT doc_id, {toks('text')} AS dt FROM documents) SELECT request_id, doc_id, {cov('qt', 'dt')} AS coverage FROM q, x")
 def token_coverage(spark, d):
     """Each benchmark item, whole, with every document, whole."""
-    return S.coverages(S.benchmark_queries(spark, d), S.read(spark, d, "documents").select("doc_id", "text"))
+    return S.coverages(S.benchmark_queries(spark, d), S.texts(spark, d, "documents", "doc_id", "text"))
 
 
 # ---- Responses ----
@@ -396,7 +396,7 @@ BM25 = f"""{TERMS}, lengths AS (SELECT doc_id, len({words('text')}) AS dl FROM d
 
 @query(f"WITH {BM25} SELECT request_id, rank, doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, d):
-    rows = retrieve.bm25(S.read(spark, d, "documents"), S.benchmark_queries(spark, d))
+    rows = retrieve.bm25(S.texts(spark, d, "documents", "doc_id", "text"), S.benchmark_queries(spark, d))
     return rows.select("request_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -423,8 +423,8 @@ FUSED = f"""{MERGED}, prov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 def hybrid_fusion(spark, d):
     asked = S.benchmark_queries(spark, d)
     provider = rank.top(rank.scored(S.merged(spark, d), "rrf-v1")).select("request_id", "canonical_url", "rank", "title", "content", "engines")
-    docs = S.read(spark, d, "documents")
-    hits = retrieve.bm25(docs, asked).join(docs.select("doc_id", "text", "source"), "doc_id")
+    docs = S.texts(spark, d, "documents", "doc_id", "text", "source")
+    hits = docs.join(retrieve.bm25(docs.select("doc_id", "text"), asked), "doc_id")
     index = hits.select(
         "request_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string")).alias("canonical_url"), "rank",
         T.trimmed(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("title"), T.trimmed(F.col("text")).alias("content"), F.array(F.lit("index")).alias("engines"),

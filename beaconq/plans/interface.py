@@ -1 +1,308 @@
-"""Queries of the interface: requests, stored responses, answers, sinks."""
+"""Queries of the interface: requests, stored responses, answers, caches, sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from beaconq.functions import classify
+from beaconq.operators import cache, crawl, errors, requests, telemetry
+from beaconq.plans import search as S
+from beaconq.plans.catalog import USER_TURNS, query, user_turns
+from beaconq.sources import engines as E, responses as R
+from beaconq.streaming import state
+
+IDS = [e[0] for e in E.ENGINES]
+PLACE = ", ".join(f"'{i}'" for i in IDS)
+
+# ---- Stored responses: every document is sent by one of the providers, in its wire form ----
+PER_PAGE = 10
+
+
+def json_body(item, path: str, more: str = ""):
+    """Ten items as a JSON body: ``path`` names the objects around the list."""
+    names = path.split(".")
+    head = "".join(f'{{"{n}":' for n in names[:-1]) + f'{{{more}"{names[-1]}":'
+    return lambda rows: F.concat(F.lit(head), F.to_json(F.transform(rows, item)), F.lit("}" * len(names)))
+
+
+def page_body(item):
+    return lambda rows: F.concat(F.lit("<html><body><div id=\"links\">"), F.array_join(F.transform(rows, item), "\n"), F.lit("</div></body></html>"))
+
+
+def fields(**given):
+    return lambda r: F.struct(*[(c(r) if callable(c) else F.lit(c)).alias(k) for k, c in given.items()])
+
+
+def one(column: str):
+    return lambda r: r[column]
+
+
+def many(column: str):
+    return lambda r: F.array(r[column])
+
+
+def markup(pattern: str):
+    """An item of a page from a pattern with {url}, {title} and {content}."""
+    parts = [p for p in __import__("re").split(r"\{(\w+)\}", pattern)]
+    return page_body(lambda r: F.concat(*[F.lit(p) if i % 2 == 0 else r[p] for i, p in enumerate(parts)]))
+
+
+WIRE = {
+    "crossref": json_body(fields(title=many("title"), URL=one("url"), abstract=one("content")), "message.items", ""),
+    "github": json_body(fields(full_name=one("title"), html_url=one("url"), description=one("content")), "items"),
+    "openalex": json_body(lambda r: F.struct(r["title"].alias("title"), r["url"].alias("doi"), F.struct(F.struct(r["content"].alias("display_name")).alias("source")).alias("primary_location")), "results"),
+    "grokipedia": json_body(fields(name=one("title"), page_url=one("url"), snippet=one("content")), "data.results"),
+    "qwant-web": json_body(fields(title=one("title"), url=one("url"), desc=one("content")), "data.result.items"),
+    "semantic-scholar": json_body(lambda r: F.struct(F.struct(r["title"].alias("text")).alias("title"), r["url"].alias("url"), r["content"].alias("abstract")), "data"),
+    "wikipedia": json_body(fields(title=one("title"), fullurl=one("url"), extract=one("content")), "query.pages"),
+    "exa-mcp": lambda rows: F.concat(F.lit("event: message\ndata: "), F.to_json(F.struct(F.struct(F.array(F.struct(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("Title: "), r["title"], F.lit("\nURL: "), r["url"], F.lit("\nHighlights:\n"), r["content"])), "\n\n---\n\n").alias("text"))).alias("content")).alias("result")))),
+    "pubmed": lambda rows: F.concat(F.lit('{"result":{"uids":'), F.to_json(F.transform(rows, lambda r: r["uid"])), F.lit(","), F.array_join(F.transform(rows, lambda r: F.concat(F.lit('"'), r["uid"], F.lit('":'), F.to_json(F.struct(r["title"].alias("title"), r["content"].alias("source"))))), ","), F.lit("}}")),
+    "arxiv": lambda rows: F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<entry><id>"), r["url"], F.lit("</id><title>"), r["title"], F.lit("</title><summary>"), r["content"], F.lit("</summary><published>2020-01-01</published></entry>"))), ""), F.lit("</feed>")),
+    "duckduckgo-html": markup('<div class="web-result"><h2><a href="{url}">{title}</a></h2><a class="result__snippet">{content}</a></div>'),
+    "brave-web": markup('<div class="snippet" data-type="web"><a class="l1" href="{url}"><div class="search-snippet-title">{title}</div></a><div class="content">{content}</div></div>'),
+    "brave-news": markup('<div class="news-result"><a href="{url}"><b class="title">{title}</b></a><p class="content">{content}</p></div>'),
+    "mojeek-web": markup('<ul class="results-standard"><li><h2><a class="ob" href="{url}">{title}</a></h2><p class="s">{content}</p></li></ul>'),
+    "yahoo-web": markup('<div class="algo-sr"><div class="compTitle"><a href="https://r.search.yahoo.com/RU={url}/RK=0"><h3>{title}</h3></a></div><div class="compText">{content}</div></div>'),
+    "yandex-web": markup('<li class="serp-item"><h3><a href="{url}">{title}</a></h3><div class="organic__text">{content}</div></li>'),
+    "baidu-web": markup('<div class="c-container"><h3><a href="{url}">{title}</a></h3><div class="c-abstract">{content}</div></div>'),
+    "google-web": markup('<div class="MjjYud"><a href="/url?q={url}&amp;sa=U"><h3>{title}</h3></a><div class="VwiC3b">{content}</div></div>'),
+    "startpage-web": markup('<div class="result"><a class="result-title result-link" href="{url}">{title}</a><p class="result-description">{content}</p></div>'),
+}
+#: What stands before the list in bodies that say that all is well.
+STATUS = {"crossref": '{"status":"ok",', "qwant-web": '{"status":"success",'}
+MEDIA = {e[0]: R.MEDIA.get(e[0], R.MEDIA[e[1]])[0] for e in E.ENGINES}
+HOST = {i: E.DETAILS[i][2][0] for i in IDS}
+
+
+def of_engine(table: dict):
+    return F.create_map(*[F.lit(x) for i in IDS for x in (i, table[i])])[F.col("engine_id")]
+
+
+def sent(rows, by: list[str]):
+    """Responses from rows (by, engine_id, nth, uid, url, title, content): each group's items, in order, as one body."""
+    item = F.struct("nth", F.col("uid").cast("string").alias("uid"), "url", "title", "content")
+    grouped = rows.groupBy(*by, "engine_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
+    body = F.lit(None).cast("string")
+    for engine, make in WIRE.items():
+        made = make(F.col("rows"))
+        made = F.concat(F.lit(STATUS[engine]), F.substr(made, F.lit(2))) if engine in STATUS else made
+        body = F.when(F.col("engine_id") == engine, made).otherwise(body)
+    return grouped.select(
+        *by, "engine_id", F.lit(1).alias("page"), F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), of_engine(MEDIA)).alias("headers"), body.alias("body"),
+        F.concat(F.lit("https://"), of_engine(HOST), F.lit("/search")).alias("final_url"), F.lit(None).cast("array<string>").alias("locations"), F.lit(10).cast("long").alias("duration_ms"),
+    )
+
+
+def document_responses(spark, d):
+    """Ten documents make a response, and responses go round the providers. The text goes
+    along as its digest, as a page keeps entities as they are written and JSON does not."""
+    n = F.floor(F.col("doc_id") / PER_PAGE)
+    engine = F.element_at(F.array(*map(F.lit, IDS)), (n % len(IDS) + 1).cast("int"))
+    docs = S.read(spark, d, "documents").select(
+        n.alias("request_id"), engine.alias("engine_id"), F.col("doc_id").alias("nth"), F.col("doc_id").alias("uid"), F.concat(F.lit("https://d.example.org/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.md5(F.coalesce("text", F.lit(""))).alias("content"),
+    )
+    return sent(docs, ["request_id"])
+
+
+@query(f"""SELECT CAST(doc_id // {PER_PAGE} AS BIGINT) AS request_id, [{PLACE}][CAST((doc_id // {PER_PAGE}) % {len(IDS)} + 1 AS INTEGER)] AS engine_id,
+ CAST(row_number() OVER (PARTITION BY doc_id // {PER_PAGE} ORDER BY doc_id) AS INTEGER) AS position,
+ CASE WHEN (doc_id // {PER_PAGE}) % {len(IDS)} = {IDS.index('pubmed')} THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' ELSE 'https://d.example.org/' || doc_id END AS url,
+ 'Document ' || doc_id AS title, md5(coalesce(text, '')) AS content FROM documents""")
+def provider_parse(spark, d):
+    """Every document comes back from the wire form that it was sent in, in its place."""
+    read = R.read(document_responses(spark, d))
+    return R.results(read, E.engines(spark)).select("request_id", "engine_id", "position", "url", "title", "content")
+
+
+@query(f"""WITH r AS (SELECT page_id, page_id % 12 AS c, {{}} FROM pages)
+ SELECT page_id, CASE WHEN c = 7 THEN 'ENGINE_ACCESS_DENIED' WHEN c = 1 THEN 'ENGINE_CHALLENGED' WHEN c = 2 THEN 'ENGINE_CHALLENGED' WHEN c = 3 THEN 'ENGINE_RATE_LIMITED' WHEN c = 4 OR c = 5 THEN 'ENGINE_ACCESS_DENIED'
+  WHEN c = 6 THEN 'ENGINE_INVALID_CONTENT_TYPE' WHEN c = 8 THEN 'ENGINE_RATE_LIMITED' WHEN c = 9 THEN 'ENGINE_CHALLENGED' WHEN c = 10 THEN 'ENGINE_RESPONSE_TOO_LARGE' END AS failure_kind FROM r""".replace(", {}", ""))
+def response_classify(spark, d):
+    """All pages as responses, eleven in twelve of which are spoiled in a way of their own."""
+    c = F.col("page_id") % 12
+    said = F.when(c == 8, F.concat(F.lit("Rate Limit Exceeded "), "html")).when(c == 9, F.concat(F.lit("Attention Required "), "html")).when(c == 10, F.rpad(F.col("html"), classify.MOST_BYTES + 1, " ")).otherwise(F.col("html"))
+    kind = F.when(c == 6, "image/png").otherwise("text/html; charset=utf-8")
+    headers = F.when(c == 2, F.create_map(F.lit("CF-Mitigated"), F.lit("challenge"), F.lit("Content-Type"), kind)).otherwise(F.create_map(F.lit("content-type"), kind))
+    hops = F.when(c == 1, F.array(F.lit("https://x.org/sorry/index"))).when(c == 7, F.array(F.lit("/a"), F.lit("/b"), F.lit("/c")))
+    status = F.when(c == 3, 429).when(c == 4, 403).when(c == 5, 500).otherwise(200)
+    rows = S.read(spark, d, "pages").select("page_id", F.lit("mojeek-web").alias("engine_id"), status.alias("status"), headers.alias("headers"), said.alias("body"), hops.alias("locations"))
+    return R.classified(rows).select("page_id", "failure_kind")
+
+
+# ---- Requests ----
+@query(f"""SELECT request_id, CASE WHEN regexp_matches(text, '[\\x00-\\x1f\\x7f-\\x9f]') THEN 'control_character' WHEN trim(text) = '' THEN 'empty' WHEN length(regexp_replace(trim(text), '\\s+', ' ', 'g')) > 499 THEN 'too_long' END AS error,
+ CASE WHEN NOT regexp_matches(text, '[\\x00-\\x1f\\x7f-\\x9f]') AND trim(text) <> '' AND length(regexp_replace(trim(text), '\\s+', ' ', 'g')) <= 499 THEN md5(regexp_replace(trim(text), '\\s+', ' ', 'g')) END AS query_md5 FROM ({USER_TURNS})""")
+def query_normalize(spark, d):
+    rows = user_turns(spark, d)
+    return rows.select("request_id", requests.query_failure("text").alias("error"), F.md5(requests.normalize_query("text")).alias("query_md5"))
+
+
+@query("""SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN 'a b' ELSE o_orderpriority END AS q, 'github,arxiv,github' AS engines, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 END AS page, CASE o_orderkey % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'strict' END AS safe_search,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'month' END AS time_range, greatest(10, least(20, o_orderkey % 31)) AS clamped, 'arxiv,github' AS cleaned FROM orders""")
+def request_parse(spark, d):
+    """Query strings of requests; the last of equal names counts, what is unreadable is null."""
+    n = F.col("o_orderkey")
+    q = F.when(n % 3 == 0, "a+b").otherwise(F.url_encode("o_orderpriority"))
+    page = F.when(n % 4 < 3, (n % 4).cast("string")).otherwise("x")
+    safe = F.when(n % 5 == 0, "off").when(n % 5 == 1, "2").otherwise("other")
+    line = F.concat(F.lit("?q=first&engines=github,%20arxiv,,github&page="), page, F.lit("&safe_search="), safe, F.lit("&time_range="), F.when(n % 2 == 0, "month").otherwise("decade"), F.lit("&q="), q)
+    rows = S.read(spark, d, "orders").select(n.alias("request_id"), line.alias("query_string"), (n % 31).alias("m"))
+    got = requests.parsed(rows)
+    more = rows.select("request_id", requests.bounded_integer(F.concat(F.col("m").cast("string"), F.lit("px")), 10, 10, 20).alias("clamped"), requests.clean_list(F.lit(" github, arxiv,,github")).alias("c"))
+    return got.join(more, "request_id").select("request_id", "q", F.array_join("engines", ",").alias("engines"), "page", "safe_search", "time_range", "clamped", F.array_join("c", ",").alias("cleaned"))
+
+
+@query(f"""SELECT request_id, CASE n % 5 WHEN 0 THEN 'UNKNOWN_ENGINE' WHEN 1 THEN 'NO_ENGINE_SUCCEEDED' WHEN 2 THEN 'ENGINE_DISABLED' WHEN 4 THEN 'ENGINE_DISABLED' END AS code,
+ CASE n % 5 WHEN 0 THEN 'nosuch' WHEN 2 THEN 'google-web' WHEN 4 THEN 'google-web' END AS detail FROM ({USER_TURNS}) WHERE n % 5 <> 3""")
+def selection_errors(spark, d):
+    n, none = F.col("n") % 5, F.array().cast("array<string>")
+    rows = user_turns(spark, d).select(
+        "request_id", F.when(n == 0, F.array(F.lit("arxiv"), F.lit("nosuch"), F.lit("google-web"))).when(n == 2, F.array(F.lit("google-web"), F.lit("nosuch"))).when(n == 3, F.array(F.lit("startpage-web"))).otherwise(none).alias("engines"),
+        F.when(n == 1, F.array(F.lit("nothing"))).otherwise(none).alias("categories"),
+    )
+    return requests.selection_failures(rows, E.engines(spark), {"ENABLE_STARTPAGE": True})
+
+
+CAPABLE = ", ".join(f"('{e[0]}', {e[6]}, {e[7]!r}::VARCHAR[])" for e in E.ENGINES)
+
+
+@query(f"""WITH e(engine_id, most, ranges) AS (VALUES {CAPABLE}), r AS (SELECT o_orderkey, o_orderkey % 700 AS page, CASE o_orderkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'year' END AS span FROM orders)
+ SELECT o_orderkey, engine_id FROM r, e WHERE (most > 0 AND page > most) OR (span IS NOT NULL AND NOT list_contains(ranges, span))""")
+def capability_failures(spark, d):
+    n = F.col("o_orderkey")
+    rows = S.read(spark, d, "orders").select("o_orderkey", (n % 700).alias("page"), F.when(n % 3 == 0, "day").when(n % 3 == 1, "year").alias("time_range"), F.array().cast("array<string>").alias("engines"), F.array().cast("array<string>").alias("categories"))
+    each = requests.select_engines(rows, E.engines(spark))
+    return each.filter(requests.capability_failure(F.col("page"), F.col("time_range"), F.col("max_page"), F.col("time_ranges")) == "UNSUPPORTED_CAPABILITY").select("o_orderkey", "engine_id")
+
+
+CODE_VALUES = ", ".join(f"({i}, '{c[0]}', {c[1]}, '{c[2]}')" for i, c in enumerate(errors.CODES))
+
+
+@query(f"""WITH c(i, code, status, title) AS (VALUES {CODE_VALUES}) SELECT event_id, status, title, 'https://problems.invalid/' || replace(lower(code), '_', '-') AS type, code IN ('ENGINE_TIMEOUT', 'ENGINE_RATE_LIMITED') AS retryable,
+ CASE WHEN code IN ({", ".join(f"'{k}'" for k in errors.FAILURE_KINDS)}) THEN code ELSE 'INTERNAL_ERROR' END AS engine_code FROM events JOIN c ON event_id % {len(errors.CODES)} = i""")
+def error_problem(spark, d):
+    code = F.element_at(F.array(*[F.lit(c[0]) for c in errors.CODES]), (F.col("event_id") % len(errors.CODES) + 1).cast("int"))
+    body = F.try_parse_json(errors.problem(code, F.lit("x"), F.lit("/v1/search"), F.col("event_id").cast("string")))
+    at = lambda k, kind="string": F.try_variant_get(body, f"$.{k}", kind).alias(k)
+    return S.read(spark, d, "events").select("event_id", at("status", "int"), at("title"), at("type"), classify.retryable(code).alias("retryable"), errors.code_of(code).alias("engine_code"))
+
+
+# ---- Caches, cursors, state ----
+@query("""WITH c AS (SELECT user_id AS key, event_id % 5 = 0 AS partial, 1000 + event_id + CASE WHEN event_id % 5 = 0 THEN 20 WHEN event_id % 3 = 0 THEN 180 ELSE 60 END AS expires_at FROM events)
+ SELECT key, partial, max(expires_at) AS expires_at, count(*) AS n FROM c GROUP BY ALL""")
+def cache_entries(spark, d):
+    """An answer for each event, stored for the least time of its engines, or a little if it is partial."""
+    n = F.col("event_id")
+    rows = S.read(spark, d, "events").select(n.alias("request_id"), F.col("user_id").alias("key"), (n % 5 == 0).alias("partial"), F.lit("{}").alias("body"))
+    selected = rows.filter(F.col("request_id") % 3 != 0).select("request_id", F.explode(F.array(F.lit(60), F.lit(900))).alias("response_ttl_s"))
+    entries = cache.answer_entries(rows, selected, 1000 + F.col("request_id"))
+    ended = entries.withColumn("partial", rows_partial(F.col("expires_at")))
+    return ended.groupBy("key", "partial").agg(F.max("expires_at").alias("expires_at"), F.count("*").alias("n"))
+
+
+def rows_partial(expires_at):
+    """Answers end after 20, 60 or 180 seconds, and start at 1000 plus their number; a partial one's number is divisible by 5."""
+    return (expires_at - 1020) % 5 == 0
+
+
+@query("""WITH e AS (SELECT user_id AS key, arg_max(event_id % 5 = 0, event_id) AS negative FROM events GROUP BY user_id HAVING max(event_id + CASE WHEN event_id % 5 = 0 THEN 30 ELSE 300 END) > 500)
+ SELECT c_custkey, CASE WHEN key IS NULL THEN 'ask' ELSE 'cached' END AS todo FROM customer LEFT JOIN (SELECT DISTINCT user_id AS key FROM events WHERE event_id + CASE WHEN event_id % 5 = 0 THEN 30 ELSE 300 END > 500) ON c_custkey = key WHERE c_custkey % 4 <> 0""")
+def cache_plan(spark, d):
+    """Customers as requests: a quarter are answered whole, others by an engine's part or failure that is still alive."""
+    n = F.col("event_id")
+    reports = S.read(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.lit("{}").alias("body"), F.when(n % 5 == 0, "ENGINE_TIMEOUT").alias("failure_kind"), F.lit(300).alias("response_ttl_s"), F.lit(30).alias("negative_ttl_s"), n.alias("at"))
+    parts = cache.engine_entries(reports, F.col("at"))
+    asked = S.read(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("github").alias("engine_id"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("engine_key"))
+    answers = asked.filter("request_id % 4 = 0").select("key", F.lit(False).alias("negative"), F.lit(10_000).alias("expires_at"))
+    todo, found = cache.to_compute(asked, answers, parts, F.lit(500))
+    name = lambda rows, what: rows.select(F.col("request_id").alias("c_custkey"), F.lit(what).alias("todo"))
+    return name(todo, "ask").unionByName(name(found, "cached"))
+
+
+@query("""SELECT o_orderkey AS request_id, e AS engine_id, CASE WHEN (e = 'arxiv' AND o_orderkey % 2 = 0) OR (e = 'github' AND o_orderkey % 3 = 0) THEN e || o_orderkey END AS engine_cursor FROM orders, (VALUES ('arxiv'), ('github'), ('pubmed')) v(e)""")
+def engine_cursors(spark, d):
+    n = F.col("o_orderkey")
+    mine = lambda e: F.concat(F.lit(e), n.cast("string"))
+    orders = S.read(spark, d, "orders").select(n.alias("request_id"), F.map_filter(F.create_map(F.lit("arxiv"), F.when(n % 2 == 0, mine("arxiv")), F.lit("github"), F.when(n % 3 == 0, mine("github"))), lambda _, v: v.isNotNull()).alias("engine_cursors"))
+    selected = orders.select("request_id", F.explode(F.array(*map(F.lit, ("arxiv", "github", "pubmed")))).alias("engine_id"))
+    return cache.with_cursors(selected, orders)
+
+
+@query("""SELECT o_orderkey, 'state:duckduckgo-html:continuation:' || sha256(o_orderpriority || chr(0) || CASE WHEN o_orderkey % 2 = 0 THEN 'de-DE' ELSE chr(1) END || chr(0) || 'strict' || chr(0) || chr(1)) AS key FROM orders""")
+def state_key(spark, d):
+    key = cache.continuation_key(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, "de-DE"), F.lit("strict"), F.lit(None).cast("string"))
+    return S.read(spark, d, "orders").select("o_orderkey", cache.state_key("state", F.lit("duckduckgo-html"), key).alias("key"))
+
+
+@query("""WITH v AS (SELECT event_id % 100 AS key, ['duckduckgo-html', 'startpage-web', 'semantic-scholar', 'github'][CAST(event_id % 4 + 1 AS INTEGER)] AS engine_id, event_id, event_id AS sec FROM events)
+ SELECT engine_id, key, max(event_id) AS value FROM v GROUP BY ALL HAVING max(sec) + CASE engine_id WHEN 'duckduckgo-html' THEN 900 WHEN 'startpage-web' THEN 3600 WHEN 'semantic-scholar' THEN 300 ELSE 180 END > 1000""")
+def continuations(spark, d):
+    n = F.col("event_id")
+    engine = F.element_at(F.array(*map(F.lit, ("duckduckgo-html", "startpage-web", "semantic-scholar", "github"))), (n % 4 + 1).cast("int"))
+    return cache.continuations(S.read(spark, d, "events").select((n % 100).alias("key"), engine.alias("engine_id"), n.alias("value"), n.alias("at")), F.lit(1000)).select("engine_id", "key", "value")
+
+
+# ---- Telemetry ----
+@query("""SELECT event_type AS engine_id, 'search' AS event, CASE WHEN event_id % 5 = 0 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_id % 5 = 0 THEN 'ENGINE_TIMEOUT' ELSE 'none' END AS failure_kind, 'unknown' AS parser_version,
+ count(*) AS n, round(sum(value), 4) AS duration_ms FROM events GROUP BY ALL""")
+def telemetry_points(spark, d):
+    n = F.col("event_id")
+    rows = S.read(spark, d, "events").select(
+        F.col("event_type").alias("engine_id"), F.when(n % 5 == 0, "ENGINE_TIMEOUT").alias("failure_kind"), F.lit(None).cast("string").alias("parser_version"), F.lit("MISS").alias("cache_status"), F.col("value").alias("duration_ms"),
+        n.alias("response_bytes"), F.lit(0).alias("parse_ms"), F.lit(1).alias("result_count"), F.lit(0).alias("redirect_count"),
+    )
+    points = telemetry.points(rows)
+    return points.groupBy("engine_id", "event", "outcome", "failure_kind", "parser_version").agg(F.count("*").alias("n"), F.round(F.sum("duration_ms"), 4).alias("duration_ms"))
+
+
+@query("""SELECT event_id AS request_id, sha256(event_type) AS query_hash, CASE WHEN event_id % 2 = 0 THEN 'arxiv' ELSE 'arxiv,github' END AS successful, CASE WHEN event_id % 2 = 0 THEN 'github' ELSE '' END AS failed FROM events""")
+def log_lines(spark, d):
+    n = F.col("event_id")
+    rows = S.read(spark, d, "events").select(n.alias("request_id"), F.col("event_type").alias("query"), F.lower("event_type").alias("provider_query"), F.lit(False).alias("cached"), F.lit(5).alias("duration_ms"), F.lit(1).alias("result_count"), (n % 2 == 0).alias("partial"), F.array().cast("array<string>").alias("bangs"))
+    reports = rows.select("request_id", F.explode(F.array(F.lit("github"), F.lit("arxiv"))).alias("engine_id")).withColumn("failure_kind", F.when((F.col("request_id") % 2 == 0) & (F.col("engine_id") == "github"), "ENGINE_TIMEOUT"))
+    line = lambda k: F.array_join(F.from_json(F.get_json_object("line", f"$.{k}"), "array<string>"), ",")
+    return telemetry.log_lines(rows, reports).select("request_id", F.get_json_object("line", "$.query_hash").alias("query_hash"), line("successful_engines").alias("successful"), line("failed_engines").alias("failed"))
+
+
+@query("""WITH c AS (SELECT ['duckduckgo-html', 'google-web'][CAST(user_id % 2 + 1 AS INTEGER)] AS engine_id, epoch_ms(ts) AS ms, event_id, CASE event_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 's' ELSE 'x' END AS cmd FROM events),
+ k AS (SELECT engine_id, ms, event_id, CASE WHEN cmd = 'f' AND engine_id = 'google-web' THEN 300000 WHEN cmd = 'x' THEN NULL WHEN cmd = 's' THEN 0 END AS pause FROM c WHERE cmd = 's' OR (cmd = 'f' AND engine_id = 'google-web')),
+ h AS (SELECT engine_id, ms, least(ms + pause, coalesce(lead(ms) OVER (PARTITION BY engine_id ORDER BY ms, event_id), ms + pause)) AS until FROM k),
+ r AS (SELECT event_id AS request_id, engine_id, ms + 1000 AS ms FROM c)
+ SELECT request_id, r.engine_id, bool_or(h.ms IS NOT NULL) AS stopped FROM r LEFT JOIN h ON r.engine_id = h.engine_id AND r.ms >= h.ms AND r.ms < h.until GROUP BY ALL""")
+def cooldown_gate(spark, d):
+    """Events report on two engines; a second after each, the engine is asked again. Only
+    one of them pauses when access is denied, which is what fails here."""
+    n, at = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    engine = F.element_at(F.array(F.lit("duckduckgo-html"), F.lit("google-web")), (F.col("user_id") % 2 + 1).cast("int"))
+    kind = F.when(n % 3 == 0, "ENGINE_ACCESS_DENIED").when(n % 3 == 2, "ENGINE_TIMEOUT")
+    rows = S.read(spark, d, "events").select(engine.alias("engine_id"), at.alias("at_ms"), n.alias("nth"), kind.alias("failure_kind"))
+    snapshots = state.coordinate(state.commands_of(rows))
+    asked = rows.select(F.col("nth").alias("request_id"), "engine_id", (F.col("at_ms") + 1000).alias("at_ms"))
+    return state.gate(asked, snapshots).select("request_id", "engine_id", F.col("failure_kind").isNotNull().alias("stopped"))
+
+
+# ---- Crawl ----
+@query("""WITH u AS (SELECT request_id, url, min(rank) AS rank FROM (SELECT page_id // 7 AS request_id, page_id AS rank, url FROM pages) GROUP BY ALL)
+ SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY rank) AS INTEGER) AS nth, url FROM u QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank) <= 3""")
+def crawl_targets(spark, d):
+    rows = S.read(spark, d, "pages").select(F.floor(F.col("page_id") / 7).alias("request_id"), F.col("page_id").alias("rank"), "url")
+    return crawl.to_crawl(rows)
+
+
+@query("""SELECT page_id, regexp_replace(url, '#.*$', '') AS canonical_url FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '^https://(localhost|[^/]*\\.internal|[^/]*\\.localhost|10\\.|127\\.|192\\.168\\.)')""")
+def chunk_results(spark, d):
+    """Every stored page comes back from its Markdown as a result."""
+    docs = crawl.documents(crawl.pages(S.read(spark, d, "pages")), "2026-01-01T00:00:00Z")
+    none = F.lit(None).cast("string")
+    chunks = docs.select(F.col("page_id").alias("request_id"), F.lit(1).alias("position"), F.col("markdown").alias("text"), none.alias("url"), none.alias("title"), F.lit(0.5).alias("score"), "key")
+    return crawl.chunk_results(chunks).select(F.col("request_id").alias("page_id"), "canonical_url")
+
+
+@query("""WITH h AS (SELECT url, page_id % 3 = 0 AS held FROM pages) SELECT url FROM h WHERE url NOT IN (SELECT url FROM h WHERE held)""")
+def crawl_fresh(spark, d):
+    """Pages that no marker of the last day holds back: a third were crawled an hour ago, a third two days ago."""
+    raw = S.read(spark, d, "pages")
+    now = F.lit("2026-01-03 00:00:00").cast("timestamp")
+    ago = lambda n, hours: crawl.markers(raw.filter(F.col("page_id") % 3 == n), now - F.expr(f"INTERVAL {hours} HOURS"))
+    return crawl.fresh(raw.select("url"), ago(0, 1).unionByName(ago(1, 48)), now)

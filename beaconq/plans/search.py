@@ -21,6 +21,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of texts. A table in fewer splits than there are cores (a small
+    one, of few row groups) is spread over them; any other is read as it lies."""
+    rows, cores = read(spark, sf_dir, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, query): each benchmark item, whole, as a request."""
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
@@ -63,9 +70,9 @@ def coverages(queries: DataFrame, docs: DataFrame, block: int = 256) -> DataFram
 def provider_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three providers' lists for each benchmark query, 20 results each at most.
 
-    Documents are read and cut to words once; the queries are the stated set, whose terms
-    are broadcast. The three orders are windows over the same partitioning."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    Documents are read and cut to words once; the queries are the stated set. The three
+    orders are windows over one partitioning by request."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(1).alias("good")).distinct()
     hits = retrieve.matches(docs, benchmark_queries(spark, sf_dir), ["n_chars"]).join(good, "doc_id", "left")
     by_tf = [F.desc("tf"), "doc_id"]

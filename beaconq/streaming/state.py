@@ -105,7 +105,7 @@ def gate(selected: DataFrame, snapshots: DataFrame) -> DataFrame:
     A snapshot holds until the next of its engine or until its cooldown ends, a few
     minutes at most, so requests meet cooldowns by engine and minute."""
     following = F.lead("at_ms").over(W.partitionBy("key").orderBy("at_ms", "nth"))
-    held = snapshots.withColumn("until", F.least("cooldown_until", F.coalesce(following, "cooldown_until"))).filter("until > at_ms")
+    held = snapshots.withColumn("until", F.least("cooldown_until", F.coalesce(following, "cooldown_until"))).filter("cooldown_until IS NOT NULL AND until > at_ms")
     minutes = F.sequence(F.floor(F.col("at_ms") / 60_000), F.floor((F.col("until") - 1) / 60_000))
     held = held.select(F.col("key").alias("engine_id"), F.col("at_ms").alias("_from"), F.col("until").alias("_until"), F.explode(minutes).alias("_minute"))
     asked = selected.withColumn("_minute", F.floor(F.col("at_ms") / 60_000))
