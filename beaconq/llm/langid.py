@@ -166,8 +166,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
                     "lang": batch["lang"],
-                    "rows": [np.fromiter(c.keys(), np.int32, len(c)) for c in found],
-                    "counts": [np.fromiter(c.values(), np.float32, len(c)) for c in found],
+                    "rows": [np.fromiter(c.keys(), np.int32, len(c)).tobytes() for c in found],
+                    "counts": [np.fromiter(c.values(), np.float32, len(c)).tobytes() for c in found],
                 }
             )
             yield out[out["rows"].map(len) > 0]
@@ -182,9 +182,9 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
     cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
     picked = known.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("cut"))
     rows = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = rows.mapInPandas(count, "doc_id long, lang string, rows array<int>, counts array<float>").collect()
+    got = rows.mapInPandas(count, "doc_id long, lang string, rows binary, counts binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return train([(r["lang"], np.array(r["rows"], np.int64), np.array(r["counts"], np.float64)) for r in got])
+    return train([(r["lang"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32).astype(np.float64)) for r in got])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -92,7 +92,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) ->
             label, rows, counts = examples[k]
             rate = RATE * (1 - done / steps)
             done += 1
-            share = counts / counts.sum() if len(rows) else counts
+            share = counts / counts.sum(dtype=np.float64) if len(rows) else counts
             mean = share @ model.embedding[rows] if len(rows) else np.zeros(DIMENSIONS)
             out = model.weights @ mean + model.bias
             p = np.exp(out - out.max())
@@ -117,15 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
                 {
                     "doc_id": batch["doc_id"],
                     "label": batch["label"],
-                    "rows": [np.fromiter(c.keys(), np.int32, len(c)) for c in found],
-                    "counts": [np.fromiter(c.values(), np.float32, len(c)) for c in found],
+                    "rows": [np.fromiter(c.keys(), np.int32, len(c)).tobytes() for c in found],
+                    "counts": [np.fromiter(c.values(), np.float32, len(c)).tobytes() for c in found],
                 }
             )
 
     picked = labelled(docs, labels, "quality", (rows_per_class, rows_per_class))
-    got = picked.mapInPandas(count, "doc_id long, label int, rows array<int>, counts array<float>").collect()
+    got = picked.mapInPandas(count, "doc_id long, label int, rows binary, counts binary").collect()
     got.sort(key=lambda r: r["doc_id"])
-    return train([(r["label"], np.array(r["rows"], np.int64), np.array(r["counts"], np.float64)) for r in got])
+    return train([(r["label"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got])
 
 
 def score_quality(docs: DataFrame, model: Model, keep: str = "doc_id long") -> DataFrame:
