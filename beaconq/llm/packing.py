@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import materialize, table
+from .common import map_batches, materialize, table
 from .words import LETTERS, NUMBERS, ODD, Memo, byte_signs
 
 SEQUENCE = 4096
@@ -106,22 +106,22 @@ def encoder(path: str) -> WordEncoder:
 def token_pieces(docs: DataFrame, tokenizer: str, cap: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Tokenize each document once and cut it at every ``cap`` ids."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc, end, nth = encoder(tokenizer), struct.pack("<I", end_id), 0
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            rows, of = [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
                 ids = enc.encode(text or "") + end
                 n = len(ids) // 4
                 for at in range(0, n, cap):
                     part = ids[4 * at : 4 * (at + cap)]
-                    rows.append((doc, at, len(part) // 4, zlib.crc32(part), n, nth))
+                    rows.append((at, len(part) // 4, zlib.crc32(part), n, nth))
+                    of.append(k)
                     nth += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            columns = zip(*rows) if rows else [[]] * 5
+            yield {"doc_id": batch["doc_id"].take(pa.array(of, pa.int64())), **dict(zip(["start", "length", "ids_crc32", "doc_tokens", "nth"], map(list, columns)))}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, CUT)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, CUT)
 
 
 @dataclass
@@ -205,20 +205,27 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: int = SEQUENCE, end_id:
     is open, as they cannot be told apart. Sequences hold at most ``cap`` ids.
     """
     pieces = materialize(token_pieces(docs, tokenizer, cap, end_id), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    return give_places(pieces, shortest_pack_first(histogram_of(pieces), cap))
+
+
+def histogram_of(pieces: DataFrame) -> dict[int, int]:
+    """The number of pieces of each length: as many rows as there are lengths."""
+    return {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+
+
+def give_places(pieces: DataFrame, placements: list[Placement]) -> DataFrame:
+    """Join the placements back to the pieces, by each piece's rank among those of its length."""
     by_length: dict[int, list[Placement]] = {}
-    for p in shortest_pack_first(histogram, cap):
+    for p in placements:
         by_length.setdefault(p.length, []).append(p)
     plan = {
         n: (np.array([p.rank for p in ps]), np.array([[p.first, p.each, p.offset] for p in ps]))
         for n, ps in by_length.items()
     }
-    sent = docs.sparkSession.sparkContext.broadcast(plan)
+    sent = pieces.sparkSession.sparkContext.broadcast(plan)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            if not len(batch):
-                continue
             lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
             sequence, offset = np.empty_like(ranks), np.empty_like(ranks)
             for n in np.unique(lengths):
@@ -229,9 +236,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: int = SEQUENCE, end_id:
                 first, each, base = rows[hit].T
                 sequence[at] = first + inside // each
                 offset[at] = base + inside % each * n
-            yield batch.drop(columns="rank").assign(doc_id=batch["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
+            same = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            yield {**{c: batch[c] for c in same}, "sequence_id": sequence, "offset": offset}
 
-    return rank_within(pieces, "length", ["doc_id", "start", "nth"]).drop("nth").mapInPandas(place, PACKED)
+    return map_batches(rank_within(pieces, "length", ["doc_id", "start", "nth"]).drop("nth"), place, PACKED)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

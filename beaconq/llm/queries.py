@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import licences
+from . import audit, lexical, licences
 from .ann import op2_ann
+from .bestfit import op13_bestfit
 from .bpe import op5_bpe
 from .chat import op9_chat
 from .langid import op4_langid
@@ -24,5 +25,8 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_audit": audit.op11_audit,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_bestfit": op13_bestfit,
 }
-ORACLES: dict[str, str] = {"op8_licences": licences.sql()}
+ORACLES: dict[str, str] = {"op8_licences": licences.sql(), "op11_audit": audit.sql(), "op12_lexical": lexical.sql()}

@@ -15,6 +15,9 @@ COLUMNS = {
     "op7_quality": "doc_id held_out score predicted",
     "op9_chat": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_lexical": "item_id rank doc_id score",
+    "op13_bestfit": "doc_id piece start length ids_crc32 sequence_id offset",
 }
 
 
@@ -24,7 +27,7 @@ def test_contract_columns(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 def test_a_clause_is_read_from_its_first_word():
