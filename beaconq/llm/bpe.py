@@ -17,10 +17,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import map_batches, table
 from .words import LETTERS, NUMBERS, ODD, Memo, byte_signs
 
 ID_BITS = 20
@@ -147,21 +147,20 @@ def encoder(path: str) -> PrefixEncoder:
 
 
 def _by_text(docs: DataFrame, tokenizer: str, digests: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(tokenizer)
         for batch in batches:
-            ids = [enc.encode(t or "") for t in batch["text"]]
-            out = {"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [len(b) // 4 for b in ids]}
+            ids = [enc.encode(t or "") for t in batch["text"].to_pylist()]
+            out = {"doc_id": batch["doc_id"], "n_tokens": [len(b) // 4 for b in ids]}
             if digests:
                 out["ids_sha256"] = [hashlib.sha256(b).hexdigest() for b in ids]
                 out["decoded_sha256"] = [hashlib.sha256(enc.decode(b).encode()).hexdigest() for b in ids]
             else:
                 out |= {"ids": ids, "decoded": [enc.decode(b) for b in ids]}
-            yield pd.DataFrame(out)
+            yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, DIGESTS if digests else ENCODED
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_batches(rows, run, DIGESTS if digests else ENCODED)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -8,8 +8,12 @@ is found by rendering the turn once more with a sentinel for its text.
 The template is any function from a list of (role, text) to a string. Conversations
 are streamed turn by turn, and each prefix is rendered from its first turn. Only for a
 template declared ``concatenative`` (a turn's output depends on nothing but the turn)
-are no more than the latest ``CONTEXT`` turns at least rendered with each new one, so
-that memory and time per turn are bounded; for others both grow with the conversation.
+are no more than the latest ``CONTEXT`` turns at least rendered with each new one once
+there are twice as many, so that memory and time per turn are bounded; for others both
+grow with the conversation. The declaration is verified: after every doubling of its
+turns, and at its end, the whole conversation of up to ``HISTORY`` turns is rendered from
+its first turn and compared with the pieces by digest; a template that is not what it is
+declared to be fails the job.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import map_batches, table
 
 Template = Callable[[list[tuple[str, str]]], str]
 #: From what a turn added, the content's place in it, and the role as given, to role and text.
 Reader = Callable[[str, int, int, str], tuple[str, str]]
-CONTEXT = 4
+CONTEXT = 32
+#: Turns of a conversation that are kept to verify a declared template with.
+HISTORY = 4096
 #: Private-use characters; one that is not in the role stands for the text while its place is found.
 SENTINELS = "\ue000\ue001\ue002\ue003"
 BEGIN, END = "<|turn|>", "<|done|>"
@@ -77,17 +83,40 @@ class Renderer:
         """``context``: turns kept of long conversations, for concatenative templates only."""
         self.template, self.context = template, context
         self.turns: list[tuple[str, str]] = []
+        self.history: list[tuple[str, str]] | None = []
+        self.written = hashlib.sha256()
         self.out = template([])
+        self._write(self.out)
+
+    def _write(self, piece: str) -> None:
+        self.written.update(piece.encode("utf-8", "surrogatepass"))
+
+    def verify(self) -> None:
+        """Compare the whole output with the pieces, if the latest turns alone were rendered."""
+        if self.context and self.history and len(self.history) > len(self.turns):
+            whole = self.template(self.history).encode("utf-8", "surrogatepass")
+            if hashlib.sha256(whole).digest() != self.written.digest():
+                raise ValueError("the template is declared concatenative, but a turn's output depends on others")
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """The piece that the turn adds, where in it the content lies, and whether
         the template changed what it had written before. Then the piece starts where
         the outputs part, and the content is the whole piece."""
-        if self.context and len(self.turns) >= 2 * self.context:
-            del self.turns[: -self.context]
-            self.out = self.template(self.turns)
+        if self.context:
+            if self.history is not None:
+                n = len(self.history)
+                if n & (n - 1) == 0 or n == HISTORY:
+                    self.verify()
+                if n == HISTORY:
+                    self.history = None
+                else:
+                    self.history.append((role, text))
+            if len(self.turns) >= 2 * self.context:
+                del self.turns[: -self.context]
+                self.out = self.template(self.turns)
         before, self.turns = self.out, [*self.turns, (role, text)]
         self.out = self.template(self.turns)
+        self._write(self.out[len(before) :])
         if not self.out.startswith(before):
             same = next((i for i, (a, b) in enumerate(zip(before, self.out)) if a != b), min(len(before), len(self.out)))
             return self.out[same:], 0, len(self.out) - same, True
@@ -114,18 +143,21 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
     context = CONTEXT if getattr(template, "concatenative", False) else None
     read = getattr(template, "read", read_span)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         conv, renderer, nth = object(), None, 0
         for batch in batches:
-            rows = []
-            for c, role, text in zip(batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None), batch["role"], batch["text"]):
+            rows, ids = [], batch["conv_id"]
+            for c, role, text in zip(ids.to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist()):
                 if renderer is None or c != conv:
+                    if renderer:
+                        renderer.verify()
                     conv, renderer, nth = c, Renderer(template, context), 0
                 piece, start, end, rewrote = renderer.add(role, text)
                 rows.append((c, nth, role, piece, start, end, read(piece, start, end, role)[0] in learned_roles, rewrote))
                 nth += 1
-            out = pd.DataFrame(rows, columns=["conv_id", "nth", "role", "piece", "content_start", "content_end", "in_loss", "rewrites_history"])
-            yield out.assign(conv_id=out["conv_id"].astype("Int64"))
+            yield named(rows, TURNS)
+        if renderer:
+            renderer.verify()
 
     rows = conversations.select(
         F.col("conv_id").cast("long"),
@@ -134,7 +166,13 @@ def format_turns(conversations: DataFrame, template: Template = marked_turns, le
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     together = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return together.select("conv_id", "role", "text").mapInPandas(run, TURNS)
+    return map_batches(together.select("conv_id", "role", "text"), run, TURNS)
+
+
+def named(rows: list[tuple], schema: str) -> dict:
+    """Rows as columns by the names of the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names]))
 
 
 class Digest:
@@ -167,26 +205,22 @@ def digests(turns: DataFrame, template: Template = marked_turns) -> DataFrame:
     """
     read = getattr(template, "read", read_span)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         conv, digest = None, None
         for batch in batches:
             rows = []
-            ids = batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None)
-            for c, nth, *rest in zip(ids, batch["nth"], batch["role"], batch["piece"], batch["content_start"], batch["content_end"], batch["in_loss"], batch["rewrites_history"]):
+            columns = ["conv_id", "nth", "role", "piece", "content_start", "content_end", "in_loss", "rewrites_history"]
+            for c, nth, *rest in zip(*(batch[k].to_pylist() for k in columns)):
                 if nth == 0:
                     if digest:
                         rows.append(digest.row(conv))
                     conv, digest = c, Digest(read)
                 digest.add(*rest)
-            yield frame(rows)
+            yield named(rows, DIGESTS)
         if digest:
-            yield frame([digest.row(conv)])
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in DIGESTS.split(", ")])
-        return out.assign(conv_id=out["conv_id"].astype("Int64"))
+            yield named([digest.row(conv)], DIGESTS)
 
-    return turns.mapInPandas(run, DIGESTS)
+    return map_batches(turns, run, DIGESTS)
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HASHES = 1 << 32
+#: Bound of what a training sample may bring to the driver, give or take few percent.
+MOST_BYTES = 96 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -112,6 +114,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, in
     return materialize(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
 
 
+def within_bytes(sample: DataFrame, size: Column, most: int = MOST_BYTES) -> DataFrame:
+    """A sample of rows with a doc_id, written, of at most about ``most`` bytes by ``size``:
+    where there are more, the rows in a share of the hash range."""
+    written = materialize(sample, "sample")
+    total = written.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return written if total <= most else written.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HASHES)) < HASHES * most // total)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 1000, total: int | None = None) -> DataFrame:
     """Inner-join ``rows`` to ``groups`` (one row for each key, with the key's
     number of rows in ``size``) without sending a hot key to one task.

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import HASHES, fold, table
+from .common import HASHES, fold, map_batches, table, within_bytes
 
 BUCKETS = 1 << 15
 EPOCHS = 4
@@ -159,18 +159,15 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
     a text with letters; of rows with the same id and language, the least text. Hash
     rows and counts alone come to the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [text_rows(t) for t in batch["text"]]
-            out = pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "lang": batch["lang"],
-                    "rows": [np.fromiter(c.keys(), np.int32, len(c)).tobytes() for c in found],
-                    "counts": [np.fromiter(c.values(), np.float32, len(c)).tobytes() for c in found],
-                }
-            )
-            yield out[out["rows"].map(len) > 0]
+            found = [text_rows(t) for t in batch["text"].to_pylist()]
+            yield {
+                "doc_id": batch["doc_id"],
+                "lang": batch["lang"],
+                "rows": [np.fromiter(c.keys(), np.int32, len(c)).tobytes() for c in found],
+                "counts": [np.fromiter(c.values(), np.float32, len(c)).tobytes() for c in found],
+            }
 
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2) & F.col("doc_id").isNotNull()
@@ -182,7 +179,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model |
     cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
     picked = known.join(cut, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("cut"))
     rows = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = rows.mapInPandas(count, "doc_id long, lang string, rows binary, counts binary").collect()
+    sample = map_batches(rows, count, "doc_id long, lang string, rows binary, counts binary").filter("length(rows) > 0")
+    got = within_bytes(sample, F.length("rows") + F.length("counts")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"]))
     return train([(r["lang"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32).astype(np.float64)) for r in got])
 
@@ -196,15 +194,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = sent.value
 
         voter = Voter(model) if model else None
         for batch in batches:
-            n = len(batch)
+            n = batch.num_rows
             pred, score, unsure = [UNKNOWN] * n, np.zeros(n), [True] * n
             at, margins = [], []
-            for k, text in enumerate(batch["text"]):
+            for k, text in enumerate(batch["text"].to_pylist()):
                 words = words_of(text) if model and text else []
                 if words:
                     at.append(k)
@@ -215,12 +213,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 for k, b, row, o in zip(at, best, p, order):
                     pred[k], score[k] = model.languages[b], row[b]
                     unsure[k] = bool(len(o) > 1 and o[-1] - o[-2] < MARGIN)
-            out = batch[["doc_id", "held_out"]].assign(lang_pred=pred, score=score, ambiguous=unsure)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pred, "score": score, "ambiguous": unsure}
 
     rows = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

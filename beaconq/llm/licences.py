@@ -64,14 +64,12 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
 
 def shapes_of(templates: list[tuple[str, str]], threshold: float) -> list[dict]:
     """Each template's bigrams, the first and the last of them, and its size bounds: the
-    least number of its bigrams that a window needs, and, as a text repeats some of its
-    bigrams, the largest number stretched by as much as the template's own repeats."""
+    least and the largest number of distinct bigrams of a window."""
     shapes = []
     for k, (name, text) in enumerate(templates):
         words, grams = words_in(text), bigrams_in(text)
         lo, hi = size_bounds(len(grams), threshold)
         ends = f"{words[0]} {words[1]}", f"{words[-2]} {words[-1]}"
-        hi = hi * (len(words) - 1) // len(grams)
         shapes.append({"k": k, "licence": name, "lo": lo, "hi": hi, "grams": grams, "first": ends[0], "last": ends[1]})
     return shapes
 
@@ -137,15 +135,31 @@ def windows(grams: Column, t: Column, threshold: float) -> Column:
         starts = F.filter(at, lambda i: flag(i) & ((i == 0) | ~flag(i - 1) | (F.get(grams, i) == t["first"])))
         return F.struct(starts.alias("starts"), ends.alias("ends"))
 
-    def scored(start: Column, end: Column) -> Column:
-        part = F.slice(grams, start + 1, end - start + 1)
+    def scored(start: Column, end: Column, part: Column) -> Column:
         shared = F.size(F.array_intersect(part, t["grams"]))
-        dice = 2.0 * shared / (F.size(F.array_distinct(part)) + F.size(t["grams"]))
+        dice = 2.0 * shared / (F.size(part) + F.size(t["grams"]))
         return F.struct(dice.alias("dice"), (end - start).alias("size"), start.alias("first"), end.alias("last"), t["licence"].alias("licence"), t["k"].alias("k"))
 
+    def from_start(start: Column, ends: Column) -> Column:
+        """Over the ends in order, until a window has more distinct bigrams than the bound:
+        longer ones have no fewer."""
+        none = F.struct(F.lit(False).alias("past"), F.lit(None).cast(WINDOW).alias("best"))
+
+        def longer(so_far: Column, end: Column) -> Column:
+            distinct = F.array_distinct(F.slice(grams, start + 1, end - start + 1))
+
+            def tried(part: Column) -> Column:
+                past = F.size(part) > t["hi"]
+                best = F.when(past, so_far["best"]).otherwise(F.array_max(F.array(so_far["best"], scored(start, end, part))))
+                return F.struct(past.alias("past"), best.alias("best"))
+
+            return F.when(so_far["past"], so_far).otherwise(F.get(F.transform(F.array(distinct), tried), F.lit(0)))
+
+        return F.aggregate(ends, none, longer, lambda so_far: so_far["best"])
+
     def best(s: Column) -> Column:
-        near = lambda start: F.filter(s["ends"], lambda e: (e - start + 1).between(t["lo"], t["hi"]))
-        return F.transform(s["starts"], lambda start: F.array_max(F.transform(near(start), lambda e: scored(start, e))))
+        near = lambda start: F.filter(s["ends"], lambda e: e - start + 1 >= t["lo"])
+        return F.transform(s["starts"], lambda start: from_start(start, near(start)))
 
     found = chained(F.transform(grams, lambda g: among(g, t["buckets"])), each(spans), each(best))
     return F.filter(F.flatten(found), lambda w: w["dice"] >= threshold)
@@ -162,6 +176,7 @@ def unbeaten(found: Column) -> Column:
     return F.filter(found, lambda w: ~F.exists(found, lambda o: beaten(w, o)))
 
 
+WINDOW = "struct<dice: double, size: int, first: int, last: int, licence: string, k: int>"
 SHAPE = "array<struct<k: int, licence: string, lo: int, hi: int, first: string, last: string, grams: array<string>, buckets: array<array<string>>>>"
 
 
@@ -214,9 +229,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same for DuckDB, by joins and without the signatures."""
     shapes = shapes_of(templates, threshold)
-    values = ", ".join(f"({s['k']}, '{s['licence']}', {s['lo']}, {s['hi']}, '{s['first']}', '{s['last']}', {s['grams']!r})" for s in shapes)
+    values = ", ".join(f"({s['k']}, '{s['licence']}', {s['lo']}, '{s['first']}', '{s['last']}', {s['grams']!r})" for s in shapes)
     return f"""
-    WITH templates(k, licence, lo, hi, head, tail, t) AS (VALUES {values}),
+    WITH templates(k, licence, lo, head, tail, t) AS (VALUES {values}),
     pieces AS (
       SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split(replace(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' '), ' '), lambda x: x <> '') AS p
       FROM documents WHERE text IS NOT NULL
@@ -224,14 +239,14 @@ def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHO
       SELECT rid, doc_id, list_filter(p, lambda x: x <> chr(10)) AS w, list_filter(range(1, len(p) + 1), lambda i: p[i] <> chr(10)) AS places FROM pieces
     ), grams AS (
       SELECT rid, doc_id, places, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) > 1
-    ), held AS (SELECT k, lo, hi, head, tail, unnest(t) AS gram FROM templates),
+    ), held AS (SELECT k, lo, head, tail, unnest(t) AS gram FROM templates),
     hits AS (
-      SELECT rid, k, lo, hi, pos, gram = head AS is_head, gram = tail AS is_tail, lag(pos) OVER run AS before, lead(pos) OVER run AS after
+      SELECT rid, k, lo, pos, gram = head AS is_head, gram = tail AS is_tail, lag(pos) OVER run AS before, lead(pos) OVER run AS after
       FROM (SELECT rid, unnest(g) AS gram, generate_subscripts(g, 1) AS pos FROM grams) JOIN held USING (gram)
       WINDOW run AS (PARTITION BY rid, k ORDER BY pos)
-    ), starts AS (SELECT rid, k, lo, hi, pos AS a FROM hits WHERE is_head OR before IS DISTINCT FROM pos - 1),
+    ), starts AS (SELECT rid, k, lo, pos AS a FROM hits WHERE is_head OR before IS DISTINCT FROM pos - 1),
     ends AS (SELECT rid, k, pos AS b FROM hits WHERE is_tail OR after IS DISTINCT FROM pos + 1),
-    spans AS (SELECT rid, k, a, b FROM starts JOIN ends USING (rid, k) WHERE b - a + 1 BETWEEN lo AND hi),
+    spans AS (SELECT rid, k, a, b FROM starts JOIN ends USING (rid, k) WHERE b - a + 1 >= lo),
     scored AS (
       SELECT rid, doc_id, k, licence, a, b, places[a] - a + 1 AS line,
         2.0::DOUBLE * len(list_intersect(g[a:b], t)) / (len(list_distinct(g[a:b])) + len(t)) AS dice

@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import attach, delete_path, freed_shuffles, materialize, shared_path, table
+from .common import attach, delete_path, freed_shuffles, map_batches, materialize, shared_path, table
 
 FRAME = 192
 PAD = b"\x20"
@@ -75,21 +76,19 @@ def cut(payload: bytes) -> list[bytes]:
 def listed(docs: DataFrame) -> DataFrame:
     """The ordered chunk list of each document, without chunk bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [payload_of(t) for t in batch["text"]]
+            found = [payload_of(t) for t in batch["text"].to_pylist()]
             chunks = [cut(p) for _, p in found]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].astype("Int64"),
-                    "n_bytes": [n for n, _ in found],
-                    "payload": [hashlib.sha256(p).digest() for _, p in found],
-                    "digests": [[hashlib.sha256(c).digest() for c in cs] for cs in chunks],
-                }
-            )
+            yield {
+                "doc_id": batch["doc_id"],
+                "n_bytes": [n for n, _ in found],
+                "payload": [hashlib.sha256(p).digest() for _, p in found],
+                "digests": [[hashlib.sha256(c).digest() for c in cs] for cs in chunks],
+            }
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
+    return map_batches(rows, run, "doc_id long, n_bytes long, payload binary, digests array<binary>")
 
 
 class Store:

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, labelled, table
+from .common import fold, labelled, table, within_bytes
 from .words import Memo
 
 #: Hash rows of words and trigrams, and after them those of word bigrams.
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
             )
 
     picked = labelled(docs, labels, "quality", (rows_per_class, rows_per_class))
-    got = picked.mapInPandas(count, "doc_id long, label int, rows binary, counts binary").collect()
+    sample = picked.mapInPandas(count, "doc_id long, label int, rows binary, counts binary")
+    got = within_bytes(sample, F.length("rows") + F.length("counts")).collect()
     got.sort(key=lambda r: r["doc_id"])
     return train([(r["label"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got])
 

@@ -26,16 +26,18 @@ fingerprints.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField
 
-from .common import attach, discard, materialize, table
+from .common import attach, discard, map_batches, materialize, table
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,14 +76,14 @@ def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """``doc_id``, its fingerprint as a signed long ``fp``, and ``row`` (a long that goes
     along, 0 if not given); a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            fp = np.array([fingerprint(t or "") for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp.view(np.int64), "row": batch["row"]})
+            fp = np.array([fingerprint(t or "") for t in batch["text"].to_pylist()], np.uint64)
+            yield {"doc_id": batch["doc_id"], "fp": fp.view(np.int64), "row": batch["row"]}
 
     row = F.lit(0).cast("long") if row is None else row
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row.alias("row"))
-    return read.mapInPandas(run, "doc_id long, fp long, row long")
+    return map_batches(read, run, "doc_id long, fp long, row long")
 
 
 def byte_at(fp: Column, position: int) -> Column:
@@ -191,16 +193,29 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def hashable(field: StructField) -> Column:
+    """The column, or its JSON where it holds what cannot be hashed (maps, variants)."""
+    held = field.dataType.simpleString()
+    col = F.col(f"`{field.name}`")
+    return F.to_json(col) if "map<" in held or "variant" in held else col
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, with its columns as they are.
 
     The row kept is that of the least doc_id (of equal ids, the least by hash of the
     row; of equal rows any); a row without an id only where no row of its group has one.
+    Columns of any names and types may go along. Texts are shuffled once, by the hash.
     """
-    row = F.xxhash64(*docs.columns)
+    tag = uuid.uuid4().hex
+    row_, id_ = f"row_{tag}", f"id_{tag}"
+    row = F.xxhash64(*map(hashable, docs.schema))
     rows = materialize(fingerprints(docs, row), "fingerprints")
-    with_root = attach(rows, grouped(rows, LONG_LIST).select("fp", "n", "root"), "fp", "n")
+    classes = grouped(rows, LONG_LIST)
+    with_root = attach(rows, classes.select("fp", "n", "root"), "fp", "n")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    first = with_root.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.row").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row).join(first, ["_row"]).filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    best = with_root.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(id_), F.col("o.row").alias(row_)).distinct()
+    first = materialize(best, "first")
+    discard(rows, classes)
+    kept = docs.withColumn(row_, row).join(first, row_).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(id_)))
+    return kept.dropDuplicates([row_, id_]).select(*[F.col(f"`{c}`") for c in docs.columns])
