@@ -82,11 +82,10 @@ def plain_canonical(url: Column) -> Column:
 
 
 def canonicalized(rows: DataFrame, url: str = "url", to: str = "canonical_url") -> DataFrame:
-    """Add the canonical URL, null if there is none. Only rows whose URL is out of the
-    plain kind go to Python."""
+    """Add the canonical URL, null if there is none, in one projection. Only URLs out of
+    the plain kind go to Python."""
     plain = is_plain(F.col(url))
-    fast = rows.filter(plain).withColumn(to, plain_canonical(F.col(url)))
-    return fast.unionByName(rows.filter(~plain).withColumn(to, _canonical_any(F.col(url))))
+    return rows.withColumn(to, F.coalesce(_canonical_any(F.when(~plain, F.col(url))), F.when(plain, plain_canonical(F.col(url)))))
 
 
 @F.pandas_udf(ArrayType(StringType()))

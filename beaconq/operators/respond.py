@@ -37,25 +37,36 @@ def result_json() -> Column:
     )
 
 
+def ranked(results: DataFrame) -> DataFrame:
+    """(request_id, results): each request's results in the shape that is sent, by rank."""
+    listed = results.select("request_id", result_json().alias("r")).groupBy("request_id").agg(F.collect_list(F.struct(F.col("r.rank").alias("rank"), F.to_json("r").alias("json"))).alias("x"))
+    return listed.select("request_id", F.transform(F.array_sort("x"), lambda x: F.try_parse_json(x["json"])).alias("results"))
+
+
 def bodies(answers: DataFrame, results: DataFrame, reports: DataFrame, instance: str = "/v1/search") -> DataFrame:
     """(request_id, status, body): what is sent for each request, as JSON text: its answer,
     or a problem document. Results come by rank, reports by engine."""
-    listed = results.select("request_id", result_json().alias("r")).groupBy("request_id").agg(F.collect_list(F.struct(F.col("r.rank").alias("rank"), F.to_json("r").alias("json"))).alias("x"))
-    listed = listed.select("request_id", F.transform(F.array_sort("x"), lambda x: F.try_parse_json(x["json"])).alias("results"))
     told = reports.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("engine_id", "failure_kind", "duration_ms", "result_count", "response_bytes", "redirect_count"))).alias("engines"))
-    rows = answers.join(listed, "request_id", "left").join(told, "request_id", "left")
+    rows = answers.join(ranked(results), "request_id", "left").join(told, "request_id", "left")
     none = F.array().cast("array<variant>")
-    fields = [c for c in ("request_id", "query", "provider_query", "bangs", "ranking", "partial", "result_count") if c in answers.columns]
+    fields = [c for c in ("request_id", "query", "provider_query", "bangs", "ranking", "partial", "may_have_more", "result_count", "next_cursor") if c in answers.columns]
     body = F.to_json(F.struct(*fields, F.lit(False).alias("cached"), F.coalesce("results", none).alias("results"), "engines"))
+    return sent(rows, body, instance)
+
+
+def sent(rows: DataFrame, body: Column, instance: str) -> DataFrame:
+    """(request_id, status, body): the body, or a problem document where there is a code."""
     detail = F.lit("the request could not be answered")
     problem = errors.problem(F.col("code"), detail, F.lit(instance), F.col("request_id").cast("string"))
     bad = F.col("code").isNotNull()
     return rows.select("request_id", F.when(bad, errors.status(F.col("code"))).otherwise(200).alias("status"), F.when(bad, problem).otherwise(body).alias("body"))
 
 
-def to_compat(answers: DataFrame, results: DataFrame, reports: DataFrame) -> DataFrame:
-    """Answers in the older shape: query, results in order, engines that did not answer."""
-    listed = results.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("rank", "canonical_url", "title", "content", "score"))).alias("results"))
-    failed = reports.filter("failure_kind IS NOT NULL").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("engine_id", "failure_kind"))).alias("unresponsive_engines"))
-    rows = answers.select("request_id", "query").join(listed, "request_id", "left").join(failed, "request_id", "left")
-    return rows.withColumn("number_of_results", F.when(F.col("results").isNull(), 0).otherwise(F.size("results")))
+def compat_bodies(answers: DataFrame, results: DataFrame, reports: DataFrame, instance: str = "/search") -> DataFrame:
+    """(request_id, status, body) in the older shape: query, number and list of results, and
+    engines that did not answer with their kinds of failure, left out where all did."""
+    rows = answers.select("request_id", "query", "code").join(ranked(results), "request_id", "left")
+    failed = reports.filter("failure_kind IS NOT NULL").groupBy("request_id").agg(F.sort_array(F.collect_list(F.array("engine_id", "failure_kind"))).alias("unresponsive_engines"))
+    rows = rows.join(failed, "request_id", "left")
+    listed = F.coalesce("results", F.array().cast("array<variant>"))
+    return sent(rows, F.to_json(F.struct("query", F.size(listed).alias("number_of_results"), listed.alias("results"), "unresponsive_engines")), instance)

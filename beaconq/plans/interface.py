@@ -4,115 +4,155 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beaconq.functions import classify
-from beaconq.operators import cache, crawl, errors, requests, telemetry
-from beaconq.plans import search as S
-from beaconq.plans.catalog import USER_TURNS, query, user_turns
-from beaconq.sources import engines as E, responses as R
+from beaconq.functions import classify, text as T
+from beaconq.operators import cache, crawl, errors, requests, respond, telemetry
+from beaconq.plans import search as S, wire
+from beaconq.plans.catalog import LISTS, STRIPPED, USER_TURNS, query, user_turns
+from beaconq.session import shared_path
+from beaconq.sources import engines as E, responses as R, stored
 from beaconq.streaming import state
 
-IDS = [e[0] for e in E.ENGINES]
+IDS = wire.IDS
 PLACE = ", ".join(f"'{i}'" for i in IDS)
 
 # ---- Stored responses: every document is sent by one of the providers, in its wire form ----
 PER_PAGE = 10
 
 
-def json_body(item, path: str, more: str = ""):
-    """Ten items as a JSON body: ``path`` names the objects around the list."""
-    names = path.split(".")
-    head = "".join(f'{{"{n}":' for n in names[:-1]) + f'{{{more}"{names[-1]}":'
-    return lambda rows: F.concat(F.lit(head), F.to_json(F.transform(rows, item)), F.lit("}" * len(names)))
+def document_responses(spark, d):
+    """Ten documents, whole, make a response, and responses go round the providers; each
+    provider's first ten responses are of its page 1, the next of page 2, and so on."""
+    n = F.floor(F.col("doc_id") / PER_PAGE)
+    engine = F.element_at(F.array(*map(F.lit, IDS)), (n % len(IDS) + 1).cast("int"))
+    docs = S.texts(spark, d, "documents", "doc_id", "text").select(
+        n.alias("request_id"), engine.alias("engine_id"), F.col("doc_id").alias("nth"), F.col("doc_id").alias("uid"), F.concat(F.lit("https://d.example.org/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("content"),
+    )
+    rows = wire.sent(docs, ["request_id"])
+    return rows.withColumns({"page": (F.floor(F.col("request_id") / (10 * len(IDS))) % 5 + 1).cast("int"), "request_id": F.col("request_id").cast("string")})
 
 
-def page_body(item):
-    return lambda rows: F.concat(F.lit("<html><body><div id=\"links\">"), F.array_join(F.transform(rows, item), "\n"), F.lit("</div></body></html>"))
+HTML_IDS = ", ".join(f"'{e[0]}'" for e in E.ENGINES if e[1] == "html")
+SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+MARKED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-def fields(**given):
-    return lambda r: F.struct(*[(c(r) if callable(c) else F.lit(c)).alias(k) for k, c in given.items()])
+def as_read(engine: str, text: str) -> str:
+    """SQL: a text as the reader of the engine gives it back, white space squeezed."""
+    return f"(CASE WHEN {engine} IN ({HTML_IDS}) THEN {MARKED.format(SQUEEZED.format(text))} WHEN {engine} = 'crossref' THEN {STRIPPED.format(text)} ELSE {SQUEEZED.format(text)} END)"
 
 
-def one(column: str):
-    return lambda r: r[column]
+SENT = f"""sent AS (SELECT doc_id, CAST(doc_id // {PER_PAGE} AS VARCHAR) AS request_id, [{PLACE}][CAST((doc_id // {PER_PAGE}) % {len(IDS)} + 1 AS INTEGER)] AS engine_id,
+ CAST(row_number() OVER (PARTITION BY doc_id // {PER_PAGE} ORDER BY doc_id) AS INTEGER) AS position, CAST((doc_id // {10 * PER_PAGE * len(IDS)}) % 5 + 1 AS INTEGER) AS page, coalesce(text, '') AS text FROM documents)"""
+PARSED_SQL = f"""SELECT request_id, engine_id, position, CASE WHEN engine_id = 'pubmed' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' ELSE 'https://d.example.org/' || doc_id END AS url,
+ 'Document ' || doc_id AS title, md5({as_read('engine_id', 'text')}) AS content_md5 FROM sent"""
 
 
-def many(column: str):
-    return lambda r: F.array(r[column])
+def parsed_results(spark, rows):
+    found = R.results(R.read(rows), E.engines(spark))
+    return found.select("request_id", "engine_id", "position", "url", "title", F.md5(T.collapse(F.col("content"))).alias("content_md5"))
 
 
-def markup(pattern: str):
-    """An item of a page from a pattern with {url}, {title} and {content}."""
-    parts = [p for p in __import__("re").split(r"\{(\w+)\}", pattern)]
-    return page_body(lambda r: F.concat(*[F.lit(p) if i % 2 == 0 else r[p] for i, p in enumerate(parts)]))
+@query(f"WITH {SENT} {PARSED_SQL}")
+def provider_parse(spark, d):
+    """Every document comes back from the wire form that it was sent in, in its place."""
+    return parsed_results(spark, stored.load(spark, wire.kept(document_responses(spark, d), "responses")))
 
 
-WIRE = {
-    "crossref": json_body(fields(title=many("title"), URL=one("url"), abstract=one("content")), "message.items", ""),
-    "github": json_body(fields(full_name=one("title"), html_url=one("url"), description=one("content")), "items"),
-    "openalex": json_body(lambda r: F.struct(r["title"].alias("title"), r["url"].alias("doi"), F.struct(F.struct(r["content"].alias("display_name")).alias("source")).alias("primary_location")), "results"),
-    "grokipedia": json_body(fields(name=one("title"), page_url=one("url"), snippet=one("content")), "data.results"),
-    "qwant-web": json_body(fields(title=one("title"), url=one("url"), desc=one("content")), "data.result.items"),
-    "semantic-scholar": json_body(lambda r: F.struct(F.struct(r["title"].alias("text")).alias("title"), r["url"].alias("url"), r["content"].alias("abstract")), "data"),
-    "wikipedia": json_body(fields(title=one("title"), fullurl=one("url"), extract=one("content")), "query.pages"),
-    "exa-mcp": lambda rows: F.concat(F.lit("event: message\ndata: "), F.to_json(F.struct(F.struct(F.array(F.struct(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("Title: "), r["title"], F.lit("\nURL: "), r["url"], F.lit("\nHighlights:\n"), r["content"])), "\n\n---\n\n").alias("text"))).alias("content")).alias("result")))),
-    "pubmed": lambda rows: F.concat(F.lit('{"result":{"uids":'), F.to_json(F.transform(rows, lambda r: r["uid"])), F.lit(","), F.array_join(F.transform(rows, lambda r: F.concat(F.lit('"'), r["uid"], F.lit('":'), F.to_json(F.struct(r["title"].alias("title"), r["content"].alias("source"))))), ","), F.lit("}}")),
-    "arxiv": lambda rows: F.concat(F.lit('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<entry><id>"), r["url"], F.lit("</id><title>"), r["title"], F.lit("</title><summary>"), r["content"], F.lit("</summary><published>2020-01-01</published></entry>"))), ""), F.lit("</feed>")),
-    "duckduckgo-html": markup('<div class="web-result"><h2><a href="{url}">{title}</a></h2><a class="result__snippet">{content}</a></div>'),
-    "brave-web": markup('<div class="snippet" data-type="web"><a class="l1" href="{url}"><div class="search-snippet-title">{title}</div></a><div class="content">{content}</div></div>'),
-    "brave-news": markup('<div class="news-result"><a href="{url}"><b class="title">{title}</b></a><p class="content">{content}</p></div>'),
-    "mojeek-web": markup('<ul class="results-standard"><li><h2><a class="ob" href="{url}">{title}</a></h2><p class="s">{content}</p></li></ul>'),
-    "yahoo-web": markup('<div class="algo-sr"><div class="compTitle"><a href="https://r.search.yahoo.com/RU={url}/RK=0"><h3>{title}</h3></a></div><div class="compText">{content}</div></div>'),
-    "yandex-web": markup('<li class="serp-item"><h3><a href="{url}">{title}</a></h3><div class="organic__text">{content}</div></li>'),
-    "baidu-web": markup('<div class="c-container"><h3><a href="{url}">{title}</a></h3><div class="c-abstract">{content}</div></div>'),
-    "google-web": markup('<div class="MjjYud"><a href="/url?q={url}&amp;sa=U"><h3>{title}</h3></a><div class="VwiC3b">{content}</div></div>'),
-    "startpage-web": markup('<div class="result"><a class="result-title result-link" href="{url}">{title}</a><p class="result-description">{content}</p></div>'),
-}
-#: What stands before the list in bodies that say that all is well.
-STATUS = {"crossref": '{"status":"ok",', "qwant-web": '{"status":"success",'}
-MEDIA = {e[0]: R.MEDIA.get(e[0], R.MEDIA[e[1]])[0] for e in E.ENGINES}
-HOST = {i: E.DETAILS[i][2][0] for i in IDS}
+@query(f"WITH {SENT} {PARSED_SQL} WHERE engine_id IN ('arxiv', 'mojeek-web', 'crossref') AND page = 1")
+def stored_scan(spark, d):
+    """Three engines' first pages of the stored table; files of others are not opened."""
+    path = wire.kept(document_responses(spark, d), "responses")
+    return parsed_results(spark, stored.load(spark, path, "engine_id IN ('arxiv', 'mojeek-web', 'crossref') AND page = 1"))
 
 
-def of_engine(table: dict):
-    return F.create_map(*[F.lit(x) for i in IDS for x in (i, table[i])])[F.col("engine_id")]
+# ---- Answers from stored responses ----
+#: Which engine sends which list, in the order of the catalogue.
+SENDERS = [("wikipedia", "coverage"), ("crossref", "tf"), ("mojeek-web", "quality")]
+WEIGHTS = {e[0]: (i, e[3]) for i, e in enumerate(E.ENGINES)}
 
 
-def sent(rows, by: list[str]):
-    """Responses from rows (by, engine_id, nth, uid, url, title, content): each group's items, in order, as one body."""
-    item = F.struct("nth", F.col("uid").cast("string").alias("uid"), "url", "title", "content")
-    grouped = rows.groupBy(*by, "engine_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    body = F.lit(None).cast("string")
-    for engine, make in WIRE.items():
-        made = make(F.col("rows"))
-        made = F.concat(F.lit(STATUS[engine]), F.substr(made, F.lit(2))) if engine in STATUS else made
-        body = F.when(F.col("engine_id") == engine, made).otherwise(body)
-    return grouped.select(
-        *by, "engine_id", F.lit(1).alias("page"), F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), of_engine(MEDIA)).alias("headers"), body.alias("body"),
-        F.concat(F.lit("https://"), of_engine(HOST), F.lit("/search")).alias("final_url"), F.lit(None).cast("array<string>").alias("locations"), F.lit(10).cast("long").alias("duration_ms"),
-    )
+def list_responses(spark, d):
+    """The three lists of each benchmark item as bodies of three engines, some of them spoiled."""
+    engine = F.create_map(*[F.lit(x) for e, n in SENDERS for x in (n, e)])[F.col("engine_id")]
+    docs = S.read(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("content"))
+    rows = S.provider_lists(spark, d).withColumn("engine_id", engine).join(docs, "doc_id")
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string"), F.lit("?utm_source="), "engine_id", F.lit("#e"))
+    items = rows.select("request_id", "engine_id", F.col("position").alias("nth"), F.col("doc_id").alias("uid"), url.alias("url"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "content")
+    sent = wire.sent(items, ["request_id"])
+    n, e = F.col("request_id"), F.col("engine_id")
+    status = F.when((e == "mojeek-web") & (n % 4 == 0), 429).when((e == "wikipedia") & (n % 12 == 0), 403).otherwise(200)
+    body = F.when((e == "crossref") & (n % 6 == 0), F.lit('{"status": "ok", "message": {"items": ')).otherwise(F.col("body"))
+    return sent.withColumns({"status": status, "body": body, "request_id": n.cast("string")})
 
 
-def document_responses(spark, d):
-    """Ten documents make a response, and responses go round the providers. The text goes
-    along as its digest, as a page keeps entities as they are written and JSON does not."""
-    n = F.floor(F.col("doc_id") / PER_PAGE)
-    engine = F.element_at(F.array(*map(F.lit, IDS)), (n % len(IDS) + 1).cast("int"))
-    docs = S.read(spark, d, "documents").select(
-        n.alias("request_id"), engine.alias("engine_id"), F.col("doc_id").alias("nth"), F.col("doc_id").alias("uid"), F.concat(F.lit("https://d.example.org/"), F.col("doc_id").cast("string")).alias("url"),
-        F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.md5(F.coalesce("text", F.lit(""))).alias("content"),
-    )
-    return sent(docs, ["request_id"])
+def answers_from(spark, d, limit=10):
+    responses = stored.load(spark, wire.kept(list_responses(spark, d), "list-responses"))
+    read = saved(R.read(responses), "read-responses")
+    asked = S.benchmark_queries(spark, d).select(F.col("request_id").cast("string").alias("request_id"), "query")
+    return respond.answered(asked, read, E.engines(spark), "rrf-v1", limit)
 
 
-@query(f"""SELECT CAST(doc_id // {PER_PAGE} AS BIGINT) AS request_id, [{PLACE}][CAST((doc_id // {PER_PAGE}) % {len(IDS)} + 1 AS INTEGER)] AS engine_id,
- CAST(row_number() OVER (PARTITION BY doc_id // {PER_PAGE} ORDER BY doc_id) AS INTEGER) AS position,
- CASE WHEN (doc_id // {PER_PAGE}) % {len(IDS)} = {IDS.index('pubmed')} THEN 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' ELSE 'https://d.example.org/' || doc_id END AS url,
- 'Document ' || doc_id AS title, md5(coalesce(text, '')) AS content FROM documents""")
-def provider_parse(spark, d):
-    """Every document comes back from the wire form that it was sent in, in its place."""
-    read = R.read(document_responses(spark, d))
-    return R.results(read, E.engines(spark)).select("request_id", "engine_id", "position", "url", "title", "content")
+def saved(rows, name):
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+PARTS_SQL = " + ".join(f"coalesce(max(CASE WHEN engine_id = '{e}' THEN {WEIGHTS[e][1]}::DOUBLE / (60 + position) END), 0)" for e, _ in SENDERS)
+ORDINALS = "CASE engine_id " + " ".join(f"WHEN '{e}' THEN {WEIGHTS[e][0]}" for e, _ in SENDERS) + " END"
+ANSWERED = f"""WITH {LISTS},
+ sent AS (SELECT request_id, doc_id, position, CASE engine_id WHEN 'tf' THEN 'crossref' WHEN 'coverage' THEN 'wikipedia' ELSE 'mojeek-web' END AS engine_id FROM lists WHERE position <= 20),
+ reports AS (SELECT request_id, engine_id, count(*) AS n, CASE WHEN engine_id = 'mojeek-web' AND request_id % 4 = 0 THEN 'ENGINE_RATE_LIMITED' WHEN engine_id = 'crossref' AND request_id % 6 = 0 THEN 'ENGINE_PARSE_FAILED'
+   WHEN engine_id = 'wikipedia' AND request_id % 12 = 0 THEN 'ENGINE_ACCESS_DENIED' END AS failure FROM sent GROUP BY request_id, engine_id),
+ outcomes AS (SELECT item_id AS request_id, count(*) FILTER (engine_id IS NOT NULL AND failure IS NULL) AS successes, count(failure) > 0 AS partial, coalesce(bool_or(failure IS NULL AND n >= 10), false) AS more,
+   coalesce(string_agg(engine_id || ':' || failure, ',' ORDER BY engine_id), '') AS failed FROM benchmark LEFT JOIN reports ON item_id = request_id GROUP BY item_id),
+ res AS (SELECT s.*, 'https://' || source || '.example.org/d/' || doc_id AS canonical_url, {as_read('s.engine_id', "coalesce(text, '')")} AS content FROM sent s JOIN reports r ON s.request_id = r.request_id AND s.engine_id = r.engine_id AND failure IS NULL JOIN documents USING (doc_id)),
+ merged AS (SELECT request_id, canonical_url, 'Document ' || any_value(doc_id) AS title, md5(arg_max(content, [strlen(content), -({ORDINALS})])) AS content_md5, string_agg(DISTINCT engine_id, ',' ORDER BY engine_id) AS engines,
+   0.0::DOUBLE + {PARTS_SQL} + 0.10::DOUBLE * ln(1.0 + count(DISTINCT engine_id)) AS score FROM res GROUP BY request_id, canonical_url),
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, canonical_url) AS rank FROM merged) WHERE rank <= 10)"""
+RESULT_SHAPE = "array<struct<rank: int, canonical_url: string, title: string, content: string, score: double, engines: array<string>>>"
+
+
+def told(body, path):
+    return F.get_json_object(body, f"$.{path}")
+
+
+def failed_of(engines):
+    return F.array_join(F.transform(F.filter(engines, lambda e: e["failure_kind"].isNotNull()), lambda e: F.concat(e["engine_id"], F.lit(":"), e["failure_kind"])), ",")
+
+
+def flattened(rows, results):
+    each = rows.select("*", F.explode_outer(F.from_json(told(F.col("body"), results), RESULT_SHAPE)).alias("r"))
+    return each.withColumns(
+        {"rank": F.col("r.rank"), "canonical_url": F.col("r.canonical_url"), "title": F.col("r.title"), "content_md5": F.md5(T.collapse(F.col("r.content"))), "score": F.round("r.score", 6), "result_engines": F.array_join("r.engines", ",")}
+    ).drop("r")
+
+
+@query(f"""{ANSWERED} SELECT CAST(o.request_id AS VARCHAR) AS request_id, CASE WHEN successes = 0 THEN 502 ELSE 200 END AS status, CASE WHEN successes = 0 THEN 'NO_ENGINE_SUCCEEDED' END AS code, CASE WHEN successes > 0 THEN partial END AS partial,
+ CASE WHEN successes > 0 THEN more END AS may_have_more, CASE WHEN successes > 0 THEN count(canonical_url) OVER (PARTITION BY o.request_id) END AS result_count, CASE WHEN successes > 0 THEN failed END AS failed,
+ CAST(rank AS INTEGER) AS rank, canonical_url, title, content_md5, round(score, 6) AS score, engines AS result_engines FROM outcomes o LEFT JOIN top t ON o.request_id = t.request_id AND successes > 0""")
+def search_bodies(spark, d):
+    """What is sent for each benchmark item, from stored responses, read back from its JSON text."""
+    body = F.col("body")
+    rows = respond.bodies(*answers_from(spark, d)).select(
+        "request_id", "status", told(body, "code").alias("code"), told(body, "partial").cast("boolean").alias("partial"), told(body, "may_have_more").cast("boolean").alias("may_have_more"), told(body, "result_count").cast("long").alias("result_count"),
+        failed_of(F.from_json(F.when(F.col("status") == 200, told(body, "engines")), "array<struct<engine_id: string, failure_kind: string>>")).alias("failed"), "body",
+    )
+    return flattened(rows, "results").drop("body")
+
+
+@query(f"""{ANSWERED} SELECT CAST(o.request_id AS VARCHAR) AS request_id, CASE WHEN successes = 0 THEN 502 ELSE 200 END AS status, CASE WHEN successes > 0 THEN md5(text) END AS query_md5, CASE WHEN successes > 0 THEN count(canonical_url) OVER (PARTITION BY o.request_id) END AS number_of_results,
+ CASE WHEN successes > 0 THEN failed END AS unresponsive, CAST(rank AS INTEGER) AS rank, canonical_url, title, content_md5, round(score, 6) AS score, engines AS result_engines
+ FROM outcomes o JOIN benchmark ON item_id = o.request_id LEFT JOIN top t ON o.request_id = t.request_id AND successes > 0""")
+def compat_bodies(spark, d):
+    """The same in the older shape."""
+    body = F.col("body")
+    pairs = F.from_json(F.when(F.col("status") == 200, F.coalesce(told(body, "unresponsive_engines"), F.lit("[]"))), "array<array<string>>")
+    rows = respond.compat_bodies(*answers_from(spark, d)).select(
+        "request_id", "status", F.md5(told(body, "query")).alias("query_md5"), told(body, "number_of_results").cast("long").alias("number_of_results"), F.array_join(F.transform(pairs, lambda p: F.array_join(p, ":")), ",").alias("unresponsive"), "body"
+    )
+    return flattened(rows, "results").drop("body")
 
 
 @query(f"""WITH r AS (SELECT page_id, page_id % 12 AS c, {{}} FROM pages)

@@ -209,7 +209,7 @@ def page_results(body: Column, base: Column, engine: Column) -> Column:
     """``read_page`` as a column."""
 
     def run(bodies: pd.Series, bases: pd.Series, engines: pd.Series) -> pd.DataFrame:
-        rows = [read_page(*row) for row in zip(bodies, bases, engines)]
+        rows = [{} if body is None else read_page(body, base, engine) for body, base, engine in zip(bodies, bases, engines)]
         return pd.DataFrame({k: [r.get(k) for r in rows] for k in ("results", "props", "failure")}, dtype=object)
 
     run.__annotations__ = {"bodies": pd.Series, "bases": pd.Series, "engines": pd.Series, "return": pd.DataFrame}

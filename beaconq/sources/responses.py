@@ -102,20 +102,25 @@ def page_outcome(engine: Column, page: Column) -> Column:
 
 
 def read(responses: DataFrame) -> DataFrame:
-    """Add ``failure_kind`` and ``results`` to responses. Only pages go to Python, and
-    only those that are not failures already."""
+    """Add ``failure_kind`` and ``results`` to responses, in one pass. Only bodies of pages
+    go to Python, and only those that are not failures already.
+
+    What the readers make is exploded from a list of one: the optimizer does not merge a
+    projection with an explode, so the expression of all readers is in the plan once,
+    however often its outcome is used.
+    """
     rows = classified(responses)
     is_page = F.col("engine_id").isin(*SELECTORS) & F.col("failure_kind").isNull()
-    pages = rows.filter(is_page).withColumn("_page", page_results(F.col("body"), F.col("final_url"), F.col("engine_id")))
-    pages = pages.withColumn("_out", page_outcome(F.col("engine_id"), F.col("_page"))).drop("_page")
+    page = page_results(F.when(is_page, F.coalesce("body", F.lit(""))), F.col("final_url"), F.col("engine_id"))
+    rows = rows.withColumn("_page", page)
     out = F.lit(None).cast(PARSED)
     for engine, reader in READERS.items():
         out = F.when(F.col("engine_id") == engine, reader(F.col("body"))).otherwise(out)
-    others = rows.filter(~is_page).withColumn("_out", F.when(F.col("failure_kind").isNull(), out))
-    both = others.unionByName(pages)
+    out = F.when(is_page, page_outcome(F.col("engine_id"), F.col("_page"))).when(F.col("failure_kind").isNull(), out)
+    both = rows.select("*", F.explode(F.array(out)).alias("_out"))
     # An engine that nothing reads is a failure like any other.
     why = F.coalesce("failure_kind", "_out.failure", F.when(F.col("_out").isNull(), "ENGINE_PARSE_FAILED"))
-    return both.withColumn("failure_kind", why).withColumn("results", F.when(why.isNull(), F.col("_out.results"))).drop("_out")
+    return both.withColumn("failure_kind", why).withColumn("results", F.when(why.isNull(), F.col("_out.results"))).drop("_out", "_page")
 
 
 def results(read_rows: DataFrame, engines: DataFrame) -> DataFrame:
