@@ -9,7 +9,7 @@ from beaconq.operators import cache, crawl, errors, requests, respond, telemetry
 from beaconq.plans import search as S, wire
 from beaconq.plans.catalog import LISTS, STRIPPED, USER_TURNS, query, user_turns
 from beaconq.session import shared_path
-from beaconq.sources import engines as E, responses as R, stored
+from beaconq.sources import engines as E, outgoing, responses as R, stored
 from beaconq.streaming import state
 
 IDS = wire.IDS
@@ -204,6 +204,96 @@ def selection_errors(spark, d):
     return requests.selection_failures(rows, E.engines(spark), {"ENABLE_STARTPAGE": True})
 
 
+# ---- Requests to providers ----
+def enc(x):
+    return f"replace(replace(replace(url_encode(({x})::VARCHAR), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+def line(*named):
+    """SQL of form-encoded pairs; a name without a value stands as it is."""
+    return "concat_ws('&', " + ", ".join(f"'{k}'" if v is None else f"'{k}=' || {enc(v)}" for k, v in named) + ")"
+
+
+def by(column, *values):
+    of = ("off", "moderate", "strict") if column == "safe" else ("day", "week", "month", "year")
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(of, values)) + " END"
+
+
+LANG, LAND = "lower(regexp_split_to_array(coalesce(locale, 'en-US'), '[-_]')[1])", "upper(coalesce(country, regexp_split_to_array(coalesce(locale, 'en-US'), '[-_]')[2], 'US'))"
+LATER = "CASE WHEN page > 1 THEN {} END"
+SINCE = "strftime(CASE span WHEN 'day' THEN today - 1 WHEN 'week' THEN today - 7 WHEN 'month' THEN today - INTERVAL 1 MONTH WHEN 'year' THEN today - INTERVAL 12 MONTH END, '%Y%m%d')"
+SEGMENT = "replace(replace(url_encode(query), '%27', chr(39)), '%2A', '*')"
+for sign in "!$&()+,:;=@[]|^":
+    SEGMENT = f"replace({SEGMENT}, '%{ord(sign):02X}', '{sign}')"
+ARXIV = "array_to_string(list_transform(list_filter(list_transform(string_split(trim(regexp_replace(query, '\\s+', ' ', 'g')), ' '), lambda w: trim(translate(w, chr(34) || chr(92), '  '))), lambda w: w <> ''), lambda w: 'all:' || chr(34) || w || chr(34)), ' AND ')"
+YAHOO = "'https://' || CASE " + " ".join(f"WHEN {LAND} = '{k}' THEN '{v}.'" for k, v in outgoing.YAHOO_HOSTS.items()) + f" WHEN {LANG} = 'zh' THEN 'hk.' ELSE '' END || 'search.yahoo.com/search?'"
+YAHOO_COOKIE = f"""'sB=v=1&vm=' || {by('safe', 'p', 'i', 'r')} || '&fl=1&vl=lang_' || CASE WHEN {LANG} = 'zh' THEN CASE WHEN {LAND} IN ('TW', 'HK') THEN 'zh_cht' ELSE 'zh_chs' END
+  WHEN list_contains({outgoing.YAHOO_LANGUAGES!r}, {LANG}) THEN {LANG} ELSE 'en' END || '&pn=10&rw=new&userset=1'"""
+BRAVE_COOKIE = f"'country=' || lower({LAND}) || '; safesearch=' || safe || '; summarizer=0; ui_lang=' || {LANG} || '-' || lower({LAND}) || '; useLocation=0'"
+TEN, TWENTY, WHOLE = "least(lim, 10)", "least(lim, 20)", "(page - 1) * lim"
+
+
+def asks(url, *named):
+    return f"'{url}?' || {line(*named)}"
+
+
+SCHOLAR = """'{"authors":[],"coAuthors":[],"getQuerySuggestions":false,"page":' || page || ',"pageSize":' || lim || ',"performTitleMatch":true,"queryString":' || to_json(query) || ',"sort":"relevance","venues":[]}'"""
+CALL = """'{"id":2,"jsonrpc":"2.0","method":"tools/call","params":{"arguments":{"numResults":' || lim || ',"query":' || to_json(query) || '},"name":"web_search_exa"}}'"""
+DDG = line(("q", "query"), ("b=", None), ("kl", "coalesce(lower(replace(locale, '_', '-')), 'wt-wt')"), ("kp", by("safe", "-2", "-1", "1")), ("s", LATER.format(WHOLE)), ("dc", LATER.format(WHOLE + " + 1")), ("vqd", "token"), ("df", by("span", "d", "w", "m", "y")))
+STARTPAGE = line(
+    ("query", "query"), ("cat=web&t=device", None), ("sc", "token"), ("abd=1&abe=1&qsr=all", None), ("qadf", by("safe", "none", "moderate", "heavy")), ("language=en&lui=en", None),
+    ("page", LATER.format("page")), ("segment", LATER.format("'startpage.udog'")), ("with_date", by("span", "d", "w", "m", "y")),
+)
+BRAVE_SPANS, NO_SPAN = by("span", "pd", "pw", "pm", "py"), "span IS NOT NULL"
+#: URL, body, cookies and condition of failure of each engine, as SQL.
+WANTED = {
+    "arxiv": (asks("https://export.arxiv.org/api/query", ("search_query", ARXIV), ("start", WHOLE), ("max_results", "lim")), "NULL", "NULL", "false"),
+    "wikipedia": (f"'https://' || CASE WHEN {LANG} IN ('fr', 'de', 'es') THEN {LANG} ELSE 'en' END || '.wikipedia.org/api/rest_v1/page/summary/' || {SEGMENT}", "NULL", "NULL", "page > 1"),
+    "duckduckgo-html": ("'https://html.duckduckgo.com/html/'", DDG, "NULL", "page > 20"),
+    "brave-web": (asks("https://search.brave.com/search", ("q", "query"), ("source=web", None), ("offset", LATER.format("page - 1")), ("tf", BRAVE_SPANS)), "NULL", BRAVE_COOKIE, "page > 10"),
+    "brave-news": (asks("https://search.brave.com/news", ("q", "query"), ("offset", "page - 1"), ("safesearch", "safe"), ("country", "lower(country)"), ("tf", BRAVE_SPANS)), "NULL", "NULL", "page > 10"),
+    "qwant-web": (asks("https://api.qwant.com/v3/search/web", ("q", "query"), ("count", TEN), ("locale", f"{LANG} || '_' || {LAND}"), ("offset", f"(page - 1) * {TEN}"), ("tgp=1&device=desktop", None), ("safesearch", by("safe", "0", "1", "2")), ("displayed=true&llm=true", None)), "NULL", "NULL", f"page > 5 OR {NO_SPAN}"),
+    "pubmed": (asks("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi", ("db=pubmed", None), ("term", "query"), ("retmode=json", None), ("retstart", WHOLE), ("retmax", "lim"), ("sort=relevance", None)), "NULL", "NULL", f"page > 500 OR {NO_SPAN}"),
+    "semantic-scholar": ("'https://www.semanticscholar.org/api/1/search'", SCHOLAR, "NULL", "page > 100"),
+    "crossref": (asks("https://api.crossref.org/works", ("query.bibliographic", "query"), ("rows", "lim"), ("offset", WHOLE), ("mailto", "token")), "NULL", "NULL", f"page > 500 OR {NO_SPAN}"),
+    "github": (asks("https://api.github.com/search/repositories", ("q", "query"), ("sort=stars&order=desc", None), ("page", "page"), ("per_page", "lim")), "NULL", "NULL", NO_SPAN),
+    "mojeek-web": (asks("https://www.mojeek.com/search", ("q", "query"), ("safe", by("safe", "0", "1", "1")), ("s", LATER.format("10 * (page - 1)")), ("since", SINCE)), "NULL", f"'arc=' || {LAND} || '; lb=' || {LANG}", "page > 10"),
+    "yahoo-web": (f"{YAHOO} || {line(('p', 'query'), ('btf', by('span', 'd', 'w', 'm')))} || CASE WHEN page = 1 THEN '&iscqry=' ELSE '&b=' || (page * 7 + 1) || '&pz=7&bct=0&xargs=0' END", "NULL", YAHOO_COOKIE, "page > 10 OR span IS NOT DISTINCT FROM 'year'"),
+    "yandex-web": (asks("https://yandex.com/search/site/", ("tmpl_version=releases", None), ("text", "query"), ("web=1&frame=1&searchid=3131712", None), ("p", "page - 1"), ("lang", LANG)), "NULL", "NULL", f"page > 10 OR {NO_SPAN}"),
+    "baidu-web": (asks("https://www.baidu.com/s", ("wd", "query"), ("pn", "10 * (page - 1)"), ("rn", TEN), ("ie=utf-8", None)), "NULL", "NULL", f"page > 10 OR {NO_SPAN}"),
+    "google-web": (asks("https://www.google.com/search", ("q", "query"), ("start", "10 * (page - 1)"), ("num", TEN), ("hl", LANG), ("gl", LAND), ("safe", by("safe", "off", "active", "active")), ("filter=0", None), ("tbs", by("span", "qdr:d", "qdr:w", "qdr:m", "qdr:y"))), "NULL", "NULL", "page > 10"),
+    "grokipedia": (asks("https://grokipedia.com/api/full-text-search", ("query", "query"), ("limit", TWENTY), ("offset", f"(page - 1) * {TWENTY}")), "NULL", "NULL", f"page > 10 OR {NO_SPAN}"),
+    "openalex": (asks("https://api.openalex.org/works", ("search", "query"), ("page", "page"), ("per-page", "lim"), ("sort=relevance_score%3Adesc", None), ("select", f"'{outgoing.OPENALEX_FIELDS}'")), "NULL", "NULL", f"page > 100 OR {NO_SPAN}"),
+    "exa-mcp": ("'https://mcp.exa.ai/mcp'", CALL, "NULL", "false"),
+    "startpage-web": ("'https://www.startpage.com/sp/search'", STARTPAGE, "NULL", "page > 10"),
+}
+NO_TOKEN = {"duckduckgo-html": "page > 1 AND token IS NULL", "startpage-web": "token IS NULL"}
+
+
+def wanted(k, kind="VARCHAR"):
+    return "CASE engine_id " + " ".join(f"WHEN '{e}' THEN ({w[k]})::{kind}" for e, w in WANTED.items()) + " END"
+
+
+MISSING = "CASE engine_id " + " ".join(f"WHEN '{e}' THEN {c}" for e, c in NO_TOKEN.items()) + " ELSE false END"
+
+
+@query(f"""WITH r AS (SELECT item_id AS request_id, text AS query, [1, 2, 12][item_id % 3 + 1]::BIGINT AS page, 10 + item_id % 11 AS lim, [NULL, 'de-AT', 'fr_FR', 'zh-TW'][item_id % 4 + 1] AS locale, CASE WHEN item_id % 5 = 0 THEN 'ca' END AS country,
+ ['off', 'moderate', 'strict'][item_id % 3 + 1] AS safe, ['day', 'week', 'month', 'year', NULL, NULL, NULL, NULL][item_id % 8 + 1] AS span, CASE WHEN item_id % 7 > 0 THEN 'tok&' || item_id END AS token, DATE '2024-03-31' AS today FROM benchmark),
+ a AS (SELECT *, unnest([{PLACE}]) AS engine_id FROM r), f AS (SELECT *, CASE WHEN {wanted(3, "BOOLEAN")} THEN 'UNSUPPORTED_CAPABILITY' WHEN {MISSING} THEN 'INVALID_REQUEST' END AS failure FROM a)
+ SELECT request_id, engine_id, failure, CASE WHEN failure IS NULL THEN {wanted(0)} END AS url, CASE WHEN failure IS NULL THEN {wanted(1)} END AS body, CASE WHEN failure IS NULL THEN {wanted(2)} END AS cookies,
+ CASE WHEN failure IS NULL THEN CASE WHEN {wanted(1)} IS NULL THEN 'GET' ELSE 'POST' END END AS method FROM f""")
+def provider_requests(spark, d):
+    """What every provider would be asked for every benchmark item, by page, locale and so on."""
+    n = F.col("item_id")
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int"))
+    rows = S.read(spark, d, "benchmark").select(
+        n.alias("request_id"), F.col("text").alias("query"), pick(1, 2, 12).alias("page"), (10 + n % 11).cast("int").alias("limit"), pick(None, "de-AT", "fr_FR", "zh-TW").alias("locale"), F.when(n % 5 == 0, "ca").alias("country"),
+        pick("off", "moderate", "strict").alias("safe_search"), pick("day", "week", "month", "year", None, None, None, None).alias("time_range"), F.when(n % 7 > 0, F.concat(F.lit("tok&"), n.cast("string"))).alias("token"),
+        F.lit("2024-03-31").cast("date").alias("today"), F.explode(F.array(*map(F.lit, IDS))).alias("engine_id"),
+    )
+    return outgoing.requested(rows).select("request_id", "engine_id", "failure", "url", "body", "cookies", "method")
+
+
 CAPABLE = ", ".join(f"('{e[0]}', {e[6]}, {e[7]!r}::VARCHAR[])" for e in E.ENGINES)
 
 
