@@ -43,17 +43,19 @@ def tokens(text: Column) -> Column:
     return F.sort_array(F.array_distinct(words(text)))
 
 
-def coverage(query_tokens: Column, text_tokens: Column) -> Column:
-    """Share of the query's tokens that the text has, or of which, from four
-    characters on, some token of the text is a continuation; 0 for no tokens."""
-    # An array of one binds the tokens, as a lambda must not hold the Python of ``nfkc``.
-    both = F.array(F.struct(query_tokens.alias("q"), text_tokens.alias("t")))
+def coverage(query_tokens: Column, normalized: Column) -> Column:
+    """Share of the query's tokens that a normalised text has as words, or of which, from
+    four characters on, some word of the text is a continuation; 0 for no tokens.
+
+    Words of a normalised text stand between single spaces, so a token is looked for in
+    the text itself, which is not cut into words for it.
+    """
+    # An array of one binds both, as a lambda must not hold the Python of ``nfkc``.
+    both = F.array(F.struct(query_tokens.alias("q"), F.concat(F.lit(" "), normalized, F.lit(" ")).alias("t")))
 
     def share(b: Column) -> Column:
-        found = F.filter(
-            b["q"],
-            lambda q: F.array_contains(b["t"], q) | ((F.char_length(q) >= 4) & F.exists(b["t"], lambda t: F.startswith(t, q))),
-        )
+        word = lambda q: F.concat(F.lit(" "), q, F.when(F.char_length(q) >= 4, "").otherwise(" "))
+        found = F.filter(b["q"], lambda q: F.contains(b["t"], word(q)))
         return F.when(F.size(b["q"]) > 0, F.size(found) / F.size(b["q"])).otherwise(F.lit(0.0))
 
     return F.element_at(F.transform(both, share), 1)

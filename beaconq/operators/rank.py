@@ -39,15 +39,20 @@ def compatible(contributions: Column) -> Column:
 
 
 def lexical(query: Column, query_tokens: Column, title: Column, content: Column, url: Column) -> Column:
-    """Phrase and token agreement of a result with the query."""
-    phrase = T.normalize(query)
-    return (
-        F.when((phrase != "") & F.contains(T.normalize(title), phrase), 2.0).otherwise(0.0)
-        + F.when((phrase != "") & F.contains(T.normalize(content), phrase), 0.75).otherwise(0.0)
-        + 1.5 * T.coverage(query_tokens, T.tokens(title))
-        + 0.60 * T.coverage(query_tokens, T.tokens(content))
-        + 0.25 * T.coverage(query_tokens, T.tokens(url))
-    )
+    """Phrase and token agreement of a result with the query; every text is normalised once."""
+    texts = {"p": T.normalize(query), "t": T.normalize(title), "c": T.normalize(content), "u": T.normalize(url)}
+
+    def agreed(n: Column) -> Column:
+        return (
+            F.when((n["p"] != "") & F.contains(n["t"], n["p"]), 2.0).otherwise(0.0)
+            + F.when((n["p"] != "") & F.contains(n["c"], n["p"]), 0.75).otherwise(0.0)
+            + 1.5 * T.coverage(n["q"], n["t"])
+            + 0.60 * T.coverage(n["q"], n["c"])
+            + 0.25 * T.coverage(n["q"], n["u"])
+        )
+
+    bound = F.struct(query_tokens.alias("q"), *[v.alias(k) for k, v in texts.items()])
+    return F.element_at(F.transform(F.array(bound), agreed), 1)
 
 
 def scored(merged: DataFrame, strategy: str, queries: DataFrame | None = None) -> DataFrame:

@@ -422,9 +422,9 @@ FUSED = f"""{MERGED}, prov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTI
 @query(f"WITH {FUSED} SELECT request_id, rank, canonical_url, round(score, 6) AS score, n_engines FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, prank NULLS LAST, canonical_url) AS rank FROM h) WHERE rank <= 10")
 def hybrid_fusion(spark, d):
     asked = S.benchmark_queries(spark, d)
-    provider = rank.top(rank.scored(S.merged(spark, d), "rrf-v1")).select("request_id", "canonical_url", "rank", "title", "content", "engines")
-    docs = S.texts(spark, d, "documents", "doc_id", "text", "source")
-    hits = docs.join(retrieve.bm25(docs.select("doc_id", "text"), asked), "doc_id")
+    lists, found = S.provider_and_index(spark, d)
+    provider = rank.top(rank.scored(S.merged(spark, d, lists), "rrf-v1")).select("request_id", "canonical_url", "rank", "title", "content", "engines")
+    hits = S.read(spark, d, "documents").select("doc_id", "text", "source").join(found, "doc_id")
     index = hits.select(
         "request_id", F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string")).alias("canonical_url"), "rank",
         T.trimmed(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("title"), T.trimmed(F.col("text")).alias("content"), F.array(F.lit("index")).alias("engines"),
