@@ -1,15 +1,10 @@
-"""Cache keys, cache decisions, cursors."""
+"""Cache keys and cache decisions."""
 
 from __future__ import annotations
 
-import base64
-import hashlib
-import hmac
-import json
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-PARTIAL_TTL, DEFAULT_TTL, CURSOR_SECONDS = 20, 180, 900
+PARTIAL_TTL, DEFAULT_TTL = 20, 180
 #: Versions that are part of every key.
 API_VERSION, REGISTRY_VERSION, RANKING_VERSION = "v1", "2026-07-27.1", "2026-07-26.1"
 #: Seconds that values of a conversation with a provider are kept.
@@ -110,21 +105,3 @@ def with_cursors(selected: DataFrame, cursors: DataFrame) -> DataFrame:
     of (request_id, engine_cursors: map)."""
     each = cursors.select("request_id", F.explode("engine_cursors").alias("engine_id", "engine_cursor"))
     return selected.join(each, ["request_id", "engine_id"], "left")
-
-
-def sign_cursor(payload: dict, secret: bytes, now: int) -> str:
-    """A cursor's text: payload with expiry, and its HMAC, both base64url without padding."""
-    body = json.dumps({**payload, "expires_at": now + CURSOR_SECONDS}, sort_keys=True, separators=(",", ":")).encode()
-    mac = hmac.new(secret, body, hashlib.sha256).digest()
-    return ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (body, mac))
-
-
-def open_cursor(text: str, secret: bytes, now: int, query_hash: str) -> dict | None:
-    """The payload of a cursor that is genuine, of this query and not expired."""
-    try:
-        body, mac = (base64.urlsafe_b64decode(p + "=" * (-len(p) % 4)) for p in text.split("."))
-        payload = json.loads(body)
-    except ValueError:
-        return None
-    good = hmac.compare_digest(mac, hmac.new(secret, body, hashlib.sha256).digest())
-    return payload if good and payload["expires_at"] > now and payload.get("query_hash") == query_hash else None

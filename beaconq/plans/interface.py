@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconq.functions import classify, text as T
-from beaconq.operators import cache, crawl, errors, requests, respond, telemetry
+from beaconq.operators import cache, crawl, cursors, errors, requests, respond, telemetry
 from beaconq.plans import search as S, wire
 from beaconq.plans.catalog import LISTS, STRIPPED, USER_TURNS, query, user_turns
 from beaconq.session import shared_path
@@ -359,6 +359,50 @@ def engine_cursors(spark, d):
     return cache.with_cursors(selected, orders)
 
 
+KEY = b"a key for tests, longer than the sixty-four bytes that a block of the hash holds"
+PADS = ["".join(f"\\x{b:02X}" for b in pad) for pad in cursors.pads(KEY)]
+NOW = 1_700_000_000_000
+
+
+def hmac_sql(message):
+    return f"unhex(sha256('{PADS[1]}'::BLOB || unhex(sha256('{PADS[0]}'::BLOB || ({message})))))"
+
+
+def url64(blob):
+    return f"rtrim(translate(to_base64({blob}), '+/', '-_'), '=')"
+
+
+BODY = f"""'{{"query_hash":"' || sha256(o_orderpriority) || '","page":' || (o_orderkey % 9 + 1) || ',"engine_cursors":{{' || CASE WHEN o_orderkey % 2 = 0 THEN '"arxiv":"a' || o_orderkey || '",' ELSE '' END || '"github":"g' || o_orderkey || '"}},"expires_at_ms":' || ({NOW} - (o_orderkey % 5) * 250000 + {cursors.CURSOR_MS}) || '}}'"""
+
+
+def cursor_rows(spark, d):
+    """Orders with their cursors, of pages 1 to 9 and up to a thousand seconds old; some are spoiled."""
+    n = F.col("o_orderkey")
+    held = F.create_map(F.lit("github"), F.concat(F.lit("g"), n.cast("string")), F.lit("arxiv"), F.when(n % 2 == 0, F.concat(F.lit("a"), n.cast("string"))))
+    rows = S.read(spark, d, "orders").select("o_orderkey", F.sha2("o_orderpriority", 256).alias("query_hash"), (n % 9 + 1).alias("page"), F.map_filter(held, lambda _, v: v.isNotNull()).alias("held"))
+    made = cursors.sign(F.col("query_hash"), F.col("page"), F.col("held"), F.lit(NOW) - (n % 5) * 250_000, KEY)
+    return rows.withColumn("cursor", made)
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, encode({BODY}) AS body FROM orders) SELECT o_orderkey, {url64('body')} || '.' || {url64(hmac_sql('body'))} AS cursor FROM c""")
+def cursor_sign(spark, d):
+    return cursor_rows(spark, d).select("o_orderkey", "cursor")
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_orderkey % 7 AS spoiled, o_orderkey % 5 AS age, o_orderkey % 9 + 1 AS page FROM orders)
+ SELECT o_orderkey, CASE WHEN spoiled IN (1, 2, 3, 4) OR age = 4 THEN 'INVALID_CURSOR' END AS failure, CASE WHEN spoiled IN (1, 2, 3, 4) OR age = 4 THEN NULL ELSE page END AS page,
+ CASE WHEN spoiled IN (1, 2, 3, 4) OR age = 4 THEN NULL ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'arxiv=a' || o_orderkey || ',' ELSE '' END || 'github=g' || o_orderkey END AS engine_cursors FROM r""")
+def cursor_open(spark, d):
+    """Cursors of all orders come back; altered, cut, foreign and expired ones do not."""
+    n, c = F.col("o_orderkey") % 7, F.col("cursor")
+    other = F.when(F.substr(c, F.lit(20), F.lit(1)) == "A", "B").otherwise("A")
+    spoiled = F.when(n == 1, F.overlay(c, other, 20)).when(n == 2, F.substring_index(c, ".", 1)).when(n == 3, F.concat(c, F.lit("*"))).otherwise(c)
+    query_hash = F.when(n == 4, F.sha2(F.lit("another query"), 256)).otherwise(F.col("query_hash"))
+    rows = cursor_rows(spark, d).withColumns({"cursor": spoiled, "query_hash": query_hash, "page": F.lit(1)})
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("engine_cursors")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return cursors.resumed(rows, KEY, F.lit(NOW)).select("o_orderkey", "failure", "page", flat.alias("engine_cursors"))
+
+
 @query("""SELECT o_orderkey, 'state:duckduckgo-html:continuation:' || sha256(o_orderpriority || chr(0) || CASE WHEN o_orderkey % 2 = 0 THEN 'de-DE' ELSE chr(1) END || chr(0) || 'strict' || chr(0) || chr(1)) AS key FROM orders""")
 def state_key(spark, d):
     key = cache.continuation_key(F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, "de-DE"), F.lit("strict"), F.lit(None).cast("string"))
