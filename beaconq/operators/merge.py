@@ -101,3 +101,13 @@ def dedup(results: DataFrame) -> DataFrame:
             "metadata": F.to_json(first_wins(F.transform("_all", lambda c: fields(c["metadata"])))),
         }
     ).drop("_all")
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, columns, n): rows that one relation has oftener than the other, and by how
+    many; none if they are equal, repeats counted. Nulls are equal to each other. Rows are
+    counted before they are shuffled."""
+    columns = left.columns
+    signed = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    counts = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return counts.select(F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), *columns, F.abs("_n").alias("n"))

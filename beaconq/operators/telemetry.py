@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from beaconq.functions.classify import outcome
 
@@ -27,12 +27,52 @@ def may_follow(next_cursor: Column, result_count: Column, limit: Column) -> Colu
     return next_cursor.isNotNull() | (result_count >= limit)
 
 
+#: Buckets of a histogram, how often it is drawn anew within a bucket, and groups that are broadcast at most.
+BUCKETS, ROUNDS, MOST_GROUPS = 1024, 2, 100_000
+
+
+def weighted_percentile(rows: DataFrame, keys: list[str], value: str, weight: str, share: float) -> DataFrame:
+    """(keys, n, q): the exact percentile of each group, a row counted ``weight`` times,
+    between two ranks in proportion; ``n`` is the sum of weights.
+
+    Equal values are added up first. Histograms, drawn anew within the bucket that holds
+    the rank, lead to a few values, which alone are put in order: no task holds a group.
+    Rows without a value, or of no weight, are left out. Null keys are a group like others.
+    """
+    at = F.struct(*keys).alias("g")
+    held = rows.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(at, F.col(value).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("long")).alias("w"))
+    ends = held.groupBy("g").agg(F.sum("w").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    place = (F.col("n") - 1) * share
+    ranks = F.array(*[F.struct(F.lit(k).alias("end"), f(place).cast("long").alias("rank")) for k, f in (("below", F.floor), ("above", F.ceil))])
+    aimed = ends.select("g", "n", "low", "high", F.lit(0).cast("long").alias("before"), F.explode(ranks).alias("r")).select("g", "n", "low", "high", "before", "r.*")
+    few = ends.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+    running = W.partitionBy("h", "end").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+
+    def within(aimed: DataFrame) -> DataFrame:
+        t = aimed.withColumnRenamed("g", "h")
+        return held.join(F.broadcast(t) if few else t, F.col("g").eqNullSafe(F.col("h")) & F.col("v").between(F.col("low"), F.col("high")))
+
+    hit = F.col("rank").between(F.col("at"), F.col("at") + F.col("w") - 1)
+    for _ in range(ROUNDS):
+        span = F.col("high") - F.col("low")
+        bucket = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("low")) / span * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).alias("b")
+        drawn = within(aimed).groupBy("h", "n", "end", "rank", "before", bucket).agg(F.sum("w").alias("w"), F.min("v").alias("low"), F.max("v").alias("high"))
+        placed = drawn.withColumn("at", F.col("before") + F.coalesce(F.sum("w").over(running), F.lit(0)))
+        aimed = placed.filter(hit).select(F.col("h").alias("g"), "n", "low", "high", F.col("at").alias("before"), "end", "rank")
+    upto = W.partitionBy("h", "end").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    found = within(aimed).withColumn("at", F.col("before") + F.coalesce(F.sum("w").over(upto), F.lit(0))).filter(hit)
+    both = found.groupBy("h", "n").agg(F.max(F.when(F.col("end") == "below", F.col("v"))).alias("a"), F.max(F.when(F.col("end") == "above", F.col("v"))).alias("b"))
+    part = place - F.floor(place)
+    return both.select("h.*", "n", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("q"))
+
+
 def p95(reports: DataFrame) -> DataFrame:
     """By engine, outcome and kind of failure: events and the 95th percentile of their
     duration, each weighted by ``sample_weight`` where reports have it."""
     rows = reports.withColumn("outcome", outcome(F.col("failure_kind")))
-    weight = F.col("sample_weight") if "sample_weight" in reports.columns else F.lit(1)
-    return rows.groupBy("engine_id", "outcome", "failure_kind").agg(F.sum(weight).cast("long").alias("n"), F.percentile("duration_ms", 0.95, weight).alias("p95_ms"))
+    rows = rows.withColumn("_weight", F.col("sample_weight") if "sample_weight" in reports.columns else F.lit(1))
+    found = weighted_percentile(rows, ["engine_id", "outcome", "failure_kind"], "duration_ms", "_weight", 0.95)
+    return found.withColumnRenamed("q", "p95_ms")
 
 
 def points(reports: DataFrame) -> DataFrame:

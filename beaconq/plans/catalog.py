@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconq.functions import classify, text as T
 from beaconq.functions.urls import canonicalized, crawlable, unwrap_redirect
-from beaconq.operators import cache, crawl, rank, requests, retrieve, telemetry
+from beaconq.operators import cache, crawl, merge, rank, requests, retrieve, telemetry
 from beaconq.plans import search as S
 from beaconq.sources import engines as E
 from beaconq.streaming import state
@@ -254,8 +254,6 @@ def challenge_classify(spark, d):
 @query("""WITH r AS (SELECT event_id, event_id % 50 AS request_id, event_type AS engine_id, event_id % 97 = 0 AS bad FROM events)
  SELECT request_id, engine_id, count(*) AS n FROM r WHERE (request_id, engine_id) NOT IN (SELECT request_id, engine_id FROM r WHERE bad) GROUP BY ALL""")
 def all_or_nothing(spark, d):
-    from beaconq.operators import merge
-
     url = F.when(F.col("event_id") % 97 == 0, "ftp://x").otherwise("https://x.org/")
     rows = canonicalized(S.read(spark, d, "events").select((F.col("event_id") % 50).alias("request_id"), F.col("event_type").alias("engine_id"), url.alias("url")))
     return merge.whole_engines(rows).groupBy("request_id", "engine_id").agg(F.count("*").alias("n"))
@@ -282,6 +280,26 @@ def telemetry_p95(spark, d):
     return telemetry.p95(reports(spark, d)).withColumn("p95_ms", F.round("p95_ms", 6))
 
 
+@query(f"""WITH {REPORTS}, w AS (SELECT engine_id, failure_kind, duration_ms, unnest(range(response_bytes % 4)) AS i FROM reports)
+ SELECT engine_id, CASE WHEN failure_kind IS NULL THEN 'success' ELSE 'failure' END AS outcome, failure_kind, count(*) AS n, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM w GROUP BY ALL""")
+def telemetry_weighted(spark, d):
+    """Each report counts as often as its sample weight says, not at all at 0."""
+    rows = reports(spark, d).withColumn("sample_weight", F.col("response_bytes") % 4)
+    return telemetry.p95(rows).withColumn("p95_ms", F.round("p95_ms", 6))
+
+
+CHANGED = "c AS (SELECT CASE WHEN event_id % 89 = 0 THEN 'changed' ELSE event_type END AS event_type, user_id FROM events WHERE event_id % 97 <> 0)"
+
+
+@query(f"""WITH e AS (SELECT event_type, user_id FROM events), {CHANGED} SELECT 'left' AS side, event_type, user_id, count(*) AS n FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM c) GROUP BY ALL
+ UNION ALL SELECT 'right', event_type, user_id, count(*) FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM e) GROUP BY ALL""")
+def relation_equality(spark, d):
+    """A table against a copy of which some rows are lost and some changed: what either has more of."""
+    rows = S.read(spark, d, "events")
+    changed = rows.filter(F.col("event_id") % 97 != 0).withColumn("event_type", F.when(F.col("event_id") % 89 == 0, "changed").otherwise(F.col("event_type")))
+    return merge.differences(rows.select("event_type", "user_id"), changed.select("event_type", "user_id"))
+
+
 @query(f"WITH {REPORTS} SELECT engine_id, cache_status, count(*) AS n FROM reports GROUP BY ALL")
 def telemetry_cache(spark, d):
     return telemetry.by_cache(reports(spark, d))
@@ -444,4 +462,4 @@ def coordinator_fold(spark, d):
     return state.coordinate(rows)
 
 
-from beaconq.plans import interface  # noqa: E402, F401 - adds its queries
+from beaconq.plans import interface, streams  # noqa: E402, F401 - add their queries

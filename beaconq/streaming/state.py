@@ -124,10 +124,25 @@ def new_pages(pages: DataFrame, hours: int = 24) -> DataFrame:
     return pages.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["url"])
 
 
-def drain(frontier: DataFrame, crawl: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 minutes", batch: int = 4):
-    """Hand the frontier stream (digest, url) to ``crawl`` in small batches by digest."""
+def drain(frontier: DataFrame, crawl: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "30 minutes", batch: int = 4):
+    """Hand the frontier stream (digest, url) to ``crawl`` in batches by digest. Of a batch
+    of the stream no row is left out: ``crawl`` gets them ``batch`` at a time. ``every``
+    None: all that is there now."""
 
     def each(rows: DataFrame, epoch: int) -> None:
-        crawl(rows.dropDuplicates(["digest"]).orderBy("digest").limit(batch), epoch)
-
-    return frontier.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+        known = rows.dropDuplicates(["digest"]).persist()
+        try:
+            last = None
+            while True:
+                rest = known if last is None else known.filter(F.col("digest") > last)
+                part = rest.orderBy("digest").limit(batch)
+                digests = [r["digest"] for r in part.select("digest").collect()]
+                if not digests:
+                    return
+                crawl(known.filter(F.col("digest").isin(digests)), epoch)
+                last = max(digests)
+        finally:
+            known.unpersist()
+
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return frontier.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
