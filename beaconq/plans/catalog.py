@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beaconq.functions import classify, text as T
 from beaconq.functions.urls import canonicalized, crawlable, unwrap_redirect
-from beaconq.operators import cache, crawl, merge, rank, requests, retrieve, telemetry
+from beaconq.operators import cache, crawl, merge, postings, rank, requests, retrieve, telemetry
 from beaconq.plans import search as S
 from beaconq.sources import engines as E
 from beaconq.streaming import state
@@ -418,6 +418,17 @@ def bm25_topk(spark, d):
     return rows.select("request_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25} SELECT request_id, rank, doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
+def bm25_index_topk(spark, d):
+    """The same from an index of blocks, of which those that cannot win are not read."""
+    index = postings.Index(S.texts(spark, d, "documents", "doc_id", "text", "lang"), ["lang"])
+    try:
+        found = index.search(S.benchmark_queries(spark, d))
+        return retrieve.written(found.select("request_id", "rank", "doc_id", F.round("score", 6).alias("score")), "ranked")
+    finally:
+        index.drop()
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 100 = 0),
  s AS (SELECT q.vec_id AS request_id, v.vec_id AS doc_id, list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))) AS score FROM q, v),
  r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT request_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
