@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import or_
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, functions as F
 
@@ -26,9 +27,14 @@ def _any(text: Column, markers: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(m)) for m in markers])
 
 
+def lowered(text: Column) -> Column:
+    """A-Z alone in lower case."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def body_failure(status: Column, body: Column) -> Column:
     """Failure kind from status and body text, null if it looks like an answer."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, SCAN_BYTES))
+    head = lowered(F.substring(F.coalesce(body, F.lit("")).cast("binary"), 1, SCAN_BYTES).cast("string"))
     return (
         F.when(status == 429, "ENGINE_RATE_LIMITED")
         .when(_any(head, RATE_MARKERS), "ENGINE_RATE_LIMITED")

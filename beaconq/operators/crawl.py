@@ -97,14 +97,6 @@ def frontier(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return new.select(digest(F.col("url")).alias("digest"), "url")
 
 
-def upserted(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """The frontier (digest, url, expires_at) after new links (digest, url): those expire a
-    week from now, what has expired goes."""
-    fresh_rows = new.withColumn("expires_at", now + F.expr(f"INTERVAL {FRONTIER_DAYS} DAYS"))
-    both = old.filter(F.col("expires_at") > now).unionByName(fresh_rows)
-    return both.groupBy("digest").agg(F.max_by("url", "expires_at").alias("url"), F.max("expires_at").alias("expires_at"))
-
-
 def to_crawl(results: DataFrame, most: int = 3) -> DataFrame:
     """The first distinct URLs of each request's results (request_id, rank, url) to crawl, 0 to 10 of them."""
     first = results.filter(F.coalesce("url", F.lit("")) != "").groupBy("request_id", "url").agg(F.min("rank").alias("rank"))

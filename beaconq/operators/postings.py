@@ -24,7 +24,9 @@ from beaconq.functions import text as T
 from beaconq.operators.retrieve import B, K1, best
 from beaconq.session import shared_path
 
-RANGE = 16
+RANGE = 4
+#: Ranges that are scored first, for each result that is wanted.
+SEEDS = 2
 #: Scores are compared to nine digits; bounds are let be short by more than that.
 SLACK = 1e-8
 
@@ -96,7 +98,7 @@ class Index:
         found.write.parquet(bounds_at)
         bounds = self.spark.read.schema(found.schema).parquet(bounds_at)
         first = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("bound"), "range"))
-        seeds = bounds.withColumn("nth", first).filter(F.col("nth") <= k).select("request_id", "range")
+        seeds = bounds.withColumn("nth", first).filter(F.col("nth") <= SEEDS * k).select("request_id", "range")
         seeded_at = shared_path(self.spark, "seeded")
         seeded = self.scored(weights, seeds)
         seeded.write.parquet(seeded_at)

@@ -16,7 +16,7 @@ def answered(requests: DataFrame, read: DataFrame, engines: DataFrame, strategy:
     A request none of whose engines succeeded has a code and no results.
     """
     found = merge.normalized(merge.capped(R.results(read, engines)))
-    reports = R.reports(read, merge.rejected_engines(found)).withColumn("may_follow", F.col("result_count") >= limit)
+    reports = R.reports(read, merge.rejected_engines(found)).withColumn("may_follow", telemetry.may_follow(F.lit(None), F.col("result_count"), F.lit(limit)))
     merged = merge.dedup(merge.whole_engines(found))
     results = rank.top(rank.scored(merged, strategy, requests.select("request_id", "query")), limit)
     counted = results.groupBy("request_id").agg(F.count("*").alias("result_count"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beaconq.functions import classify, text as T
-from beaconq.operators import cache, crawl, cursors, errors, requests, respond, telemetry
+from beaconq.operators import cache, crawl, cursors, errors, merge, rank, requests, respond, telemetry
 from beaconq.plans import search as S, wire
-from beaconq.plans.catalog import LISTS, STRIPPED, USER_TURNS, query, user_turns
+from beaconq.plans.catalog import LISTS, PAGES, STRIPPED, USER_TURNS, query, user_turns
 from beaconq.session import shared_path
 from beaconq.sources import engines as E, outgoing, responses as R, stored
 from beaconq.streaming import state
@@ -294,6 +294,69 @@ def provider_requests(spark, d):
     return outgoing.requested(rows).select("request_id", "engine_id", "failure", "url", "body", "cookies", "method")
 
 
+TAKEN = """CASE WHEN n % 7 = 0 THEN 'unknown' WHEN n % 2 = 0 AND n % 4 = 0 THEN 'engine bangs cannot be combined with explicit categories' WHEN n % 3 = 0 AND n % 5 = 0 THEN 'category bangs cannot be combined with explicit engines' END"""
+
+
+@query(f"""SELECT request_id, {TAKEN} AS failure, concat_ws(',', CASE WHEN n % 2 = 0 THEN 'arxiv' END, CASE WHEN n % 2 = 0 OR n % 5 = 0 THEN 'github' END, CASE WHEN n % 5 = 0 THEN 'pubmed' END) AS engines,
+ concat_ws(',', CASE WHEN n % 3 = 0 THEN 'general' END, CASE WHEN n % 4 = 0 THEN 'news' END) AS categories FROM ({USER_TURNS})""")
+def selection_conflicts(spark, d):
+    """Shortcuts of all user turns against what they choose themselves."""
+    n = F.col("n")
+    some = lambda when, *xs: F.when(when, F.array(*map(F.lit, xs))).otherwise(F.array().cast("array<string>"))
+    rows = user_turns(spark, d).select(
+        "request_id", F.when(n % 7 == 0, "unknown").otherwise("ok").alias("status"), some(n % 5 == 0, "pubmed", "github").alias("engines"), some(n % 4 == 0, "news").alias("categories"),
+        some(n % 2 == 0, "github", "arxiv").alias("bang_engines"), some(n % 3 == 0, "general").alias("bang_categories"),
+    )
+    return requests.combined(rows).select("request_id", "failure", F.array_join("engines", ",").alias("engines"), F.array_join("categories", ",").alias("categories"))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
+ SELECT o_custkey, o_orderkey, CAST(rank AS INTEGER) AS rank FROM r WHERE rank BETWEEN (o_custkey % 3) * (2 + o_custkey % 4) + 1 AND (o_custkey % 3 + 1) * (2 + o_custkey % 4)""")
+def paged_rows(spark, d):
+    """A page of each customer's orders by price; page and size go by customer."""
+    from pyspark.sql import Window as W
+
+    n = F.col("o_custkey")
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    rows = S.read(spark, d, "orders").select("o_custkey", "o_orderkey", rank.alias("rank"))
+    return requests.page_rows(rows, n % 3 + 1, 2 + n % 4)
+
+
+@query("SELECT event_id, greatest(5000 + event_id - CAST(floor(value * 100) AS BIGINT), 0) AS left_ms FROM events")
+def deadline_left(spark, d):
+    left = requests.remaining_ms(5000 + F.col("event_id"), F.floor(F.col("value") * 100).cast("long"))
+    return S.read(spark, d, "events").select("event_id", left.alias("left_ms"))
+
+
+@query("""WITH r AS (SELECT page_id % 20 AS request_id, page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages)
+ SELECT request_id, page_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY page_id) AS INTEGER) AS position FROM r WHERE lower(host) NOT IN (SELECT host FROM (SELECT lower(host) AS host, count(*) AS n FROM r GROUP BY lower(host)) ORDER BY n DESC, host LIMIT 1)""")
+def own_hosts(spark, d):
+    """Pages but for those of the commonest host, numbered anew in their request."""
+    pages = S.read(spark, d, "pages").select((F.col("page_id") % 20).alias("request_id"), F.lit("brave-web").alias("engine_id"), F.col("page_id"), F.col("page_id").alias("position"), "url")
+    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)).alias("host")
+    common = pages.groupBy(host).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").first()
+    return merge.without_hosts(pages, [common["host"]] if common else []).select("request_id", "page_id", "position")
+
+
+@query("""SELECT o_orderkey, 'a=' || CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE 1 END || ',b=' || CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE 2 END || CASE WHEN o_orderkey % 2 = 0 THEN ',c=8' ELSE '' END AS last, 'a=1,b=2' || CASE WHEN o_orderkey % 2 = 0 THEN ',c=8' ELSE '' END AS first FROM orders""")
+def map_unions(spark, d):
+    """Maps of positions united, of equal keys the last value, or the first."""
+    n = F.col("o_orderkey")
+    of = lambda *kv: F.create_map(*[x if isinstance(x, type(n)) else F.lit(x) for x in kv])
+    none = F.map_filter(of("x", F.lit(0).cast("long")), lambda k, _: k == "y")
+    maps = F.array(of("a", F.lit(1).cast("long"), "b", F.lit(2).cast("long")), F.when(n % 2 == 0, of("b", F.lit(7).cast("long"), "c", F.lit(8).cast("long"))).otherwise(none), F.when(n % 3 == 0, of("a", n)).otherwise(none))
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return S.read(spark, d, "orders").select("o_orderkey", text(merge.last_wins(maps)).alias("last"), text(merge.first_wins(maps)).alias("first"))
+
+
+@query("SELECT DISTINCT event_id % 500 AS request_id, 'INTERNAL_ERROR' AS code FROM events WHERE event_id % 1000 = 7 OR event_id % 100 = 3")
+def ranking_failures(spark, d):
+    """Requests one of whose results stands at place 0, or has a weight below 0."""
+    n = F.col("event_id")
+    place = F.struct((n % 1000 != 7).cast("int").alias("position"), F.when(n % 100 == 3, -1.0).otherwise(1.0).alias("weight"))
+    return rank.ranking_errors(S.read(spark, d, "events").select((n % 500).alias("request_id"), F.array(place).alias("contributions")))
+
+
 CAPABLE = ", ".join(f"('{e[0]}', {e[6]}, {e[7]!r}::VARCHAR[])" for e in E.ENGINES)
 
 
@@ -464,13 +527,19 @@ def crawl_targets(spark, d):
     return crawl.to_crawl(rows)
 
 
-@query("""SELECT page_id, regexp_replace(url, '#.*$', '') AS canonical_url FROM pages WHERE starts_with(url, 'https://') AND NOT regexp_matches(url, '^https://(localhost|[^/]*\\.internal|[^/]*\\.localhost|10\\.|127\\.|192\\.168\\.)')""")
+@query(f"""WITH {PAGES}, t AS (SELECT page_id, url, trim(regexp_replace(substr(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), 1, 512), '\\s+', ' ', 'g')) AS title,
+  substr({STRIPPED.format("regexp_replace(html, '(?s)^.*?<body[^>]*>', '')")}, 1, 262144) AS text FROM p),
+ l AS (SELECT page_id, string_agg('- ' || link, chr(10) ORDER BY nth) AS l FROM links WHERE nth <= 64 GROUP BY page_id)
+ SELECT page_id, url AS canonical_url, CASE WHEN title = '' THEN url ELSE title END AS title, md5(regexp_replace(substr(concat_ws(chr(10), text, '', '## Discovered links', '', l), 1, 600), '\\s+$', '')) AS content_md5,
+  CAST(page_id AS DOUBLE) / 4 AS index_score, 'documents/' || sha256(url) || '.md' AS item FROM t LEFT JOIN l USING (page_id) WHERE text <> ''""")
 def chunk_results(spark, d):
     """Every stored page comes back from its Markdown as a result."""
     docs = crawl.documents(crawl.pages(S.read(spark, d, "pages")), "2026-01-01T00:00:00Z")
     none = F.lit(None).cast("string")
-    chunks = docs.select(F.col("page_id").alias("request_id"), F.lit(1).alias("position"), F.col("markdown").alias("text"), none.alias("url"), none.alias("title"), F.lit(0.5).alias("score"), "key")
-    return crawl.chunk_results(chunks).select(F.col("request_id").alias("page_id"), "canonical_url")
+    chunks = docs.select(F.col("page_id").alias("request_id"), F.lit(1).alias("position"), F.col("markdown").alias("text"), none.alias("url"), none.alias("title"), (F.col("page_id") / 4).alias("score"), "key")
+    rows = crawl.chunk_results(chunks)
+    content = F.md5(F.regexp_replace("content", r"\s+$", ""))
+    return rows.select(F.col("request_id").alias("page_id"), "canonical_url", "title", content.alias("content_md5"), "index_score", F.get_json_object("metadata", "$.index_item").alias("item"))
 
 
 @query("""WITH h AS (SELECT url, page_id % 3 = 0 AS held FROM pages) SELECT url FROM h WHERE url NOT IN (SELECT url FROM h WHERE held)""")

@@ -32,7 +32,7 @@ ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:a
 <entry><summary>s</summary><title>Two</title><updated>2021-05-05</updated><id>http://arxiv.org/abs/2</id></entry></feed>"""
 SCHOLAR = {"data": [{"title": {"text": " One "}, "paperId": "p1", "year": 2019, "authors": [[{"name": "X"}], {"name": "Y"}], "venue": None}, {"title": "Two", "url": "https://s.org/2", "abstract": "abs", "pubDate": "2020-01-01"}]}
 CROSSREF = {"status": "ok", "message": {"items": [
-    {"title": ["One"], "DOI": "10.1/a", "abstract": "<jats:p>Rust &amp; <b>Workers</b></jats:p>", "issued": {"date-parts": [[2020, 3]]}, "author": [{"given": "A", "family": "B"}], "is-referenced-by-count": 4},
+    {"title": ["One"], "DOI": "10.1/a", "abstract": "<jats:p>Tides &amp; <i>currents</i> of a bay</jats:p>", "issued": {"date-parts": [[2020, 3]]}, "author": [{"given": "A", "family": "B"}], "is-referenced-by-count": 4},
     {"title": ["Two"], "URL": "https://c.org/2", "container-title": ["Journal"], "published": {"date-parts": [[2021, 13, 2]]}}, {"title": []},
 ]}}
 SUMMARY = {"result": {"uids": ["22", "11", "33"], "11": {"title": "Eleven", "source": "J", "sortpubdate": "2020/01/02 00:00", "articleids": [{"idtype": "doi", "value": "10.1/e"}]}, "22": {"title": "<i>Two</i> two", "fulljournalname": "Full", "pubdate": "2019"}}}
@@ -40,7 +40,7 @@ EXA = {"result": {"content": [{"type": "text", "text": "Title: One\nURL: https:/
 PROPS = {"render": {"presenter": {"regions": {"mainline": [{"display_type": "web-google", "results": [{"clickUrl": "https://p.org/1", "title": "<b>One</b>", "description": "d } {"}, {"title": "no link"}]}, {"display_type": "images", "results": [{"clickUrl": "https://p.org/9", "title": "x"}]}]}}}}
 GOOD = {
     "arxiv": (ATOM, [("http://arxiv.org/abs/1", "Deep learning", "About it", "2020-01-02T00:00:00Z"), ("http://arxiv.org/abs/2", "Two", "s", "2021-05-05")]),
-    "crossref": (CROSSREF, [("https://doi.org/10.1/a", "One", "Rust & Workers", "2020-03"), ("https://c.org/2", "Two", "Journal", "2021")]),
+    "crossref": (CROSSREF, [("https://doi.org/10.1/a", "One", "Tides & currents of a bay", "2020-03"), ("https://c.org/2", "Two", "Journal", "2021")]),
     "github": ({"items": [{"full_name": "a/b", "html_url": "https://github.com/a/b", "language": "Rust", "description": " d ", "created_at": "2020", "license": {"spdx_id": "NOASSERTION"}}, {"full_name": "x"}]}, [("https://github.com/a/b", "a/b", "Rust / d", "2020")]),
     "openalex": ({"results": [{"id": "https://openalex.org/W1", "title": "One", "authorships": [{"author": {"display_name": "A"}}, {"author": {"display_name": "B"}}], "primary_location": {"source": {"display_name": "V"}}}]}, [("https://openalex.org/W1", "One", "V — A, B", None)]),
     "grokipedia": ([{"name": "One", "slug": "a b", "description": "d"}, {"title": "Two", "url": "https://g.org/2", "updated_at": "2020"}], [("https://grokipedia.com/page/a%20b", "One", "d", None), ("https://g.org/2", "Two", "", "2020")]),
