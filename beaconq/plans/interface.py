@@ -10,6 +10,7 @@ from beaconq.plans import search as S, wire
 from beaconq.plans.catalog import LISTS, PAGES, STRIPPED, USER_TURNS, query, user_turns
 from beaconq.session import shared_path
 from beaconq.sources import engines as E, outgoing, responses as R, stored
+from beaconq.sources.providers import pubmed_ids
 from beaconq.streaming import state
 
 IDS = wire.IDS
@@ -48,8 +49,8 @@ PARSED_SQL = f"""SELECT request_id, engine_id, position, CASE WHEN engine_id = '
  'Document ' || doc_id AS title, md5({as_read('engine_id', 'text')}) AS content_md5 FROM sent"""
 
 
-def parsed_results(spark, rows):
-    found = R.results(R.read(rows), E.engines(spark))
+def parsed_results(spark, rows, engines=None):
+    found = R.results(R.read(rows, engines), E.engines(spark))
     return found.select("request_id", "engine_id", "position", "url", "title", F.md5(T.collapse(F.col("content"))).alias("content_md5"))
 
 
@@ -63,7 +64,7 @@ def provider_parse(spark, d):
 def stored_scan(spark, d):
     """Three engines' first pages of the stored table; files of others are not opened."""
     path = wire.kept(document_responses(spark, d), "responses")
-    return parsed_results(spark, stored.load(spark, path, "engine_id IN ('arxiv', 'mojeek-web', 'crossref') AND page = 1"))
+    return parsed_results(spark, stored.load(spark, path, "engine_id IN ('arxiv', 'mojeek-web', 'crossref') AND page = 1"), ["arxiv", "mojeek-web", "crossref"])
 
 
 # ---- Answers from stored responses ----
@@ -79,7 +80,7 @@ def list_responses(spark, d):
     rows = S.provider_lists(spark, d).withColumn("engine_id", engine).join(docs, "doc_id")
     url = F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string"), F.lit("?utm_source="), "engine_id", F.lit("#e"))
     items = rows.select("request_id", "engine_id", F.col("position").alias("nth"), F.col("doc_id").alias("uid"), url.alias("url"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "content")
-    sent = wire.sent(items, ["request_id"])
+    sent = wire.sent(items, ["request_id"], [e for e, _ in SENDERS])
     n, e = F.col("request_id"), F.col("engine_id")
     status = F.when((e == "mojeek-web") & (n % 4 == 0), 429).when((e == "wikipedia") & (n % 12 == 0), 403).otherwise(200)
     body = F.when((e == "crossref") & (n % 6 == 0), F.lit('{"status": "ok", "message": {"items": ')).otherwise(F.col("body"))
@@ -88,7 +89,7 @@ def list_responses(spark, d):
 
 def answers_from(spark, d, limit=10):
     responses = stored.load(spark, wire.kept(list_responses(spark, d), "list-responses"))
-    read = saved(R.read(responses), "read-responses")
+    read = saved(R.read(responses, [e for e, _ in SENDERS]), "read-responses")
     asked = S.benchmark_queries(spark, d).select(F.col("request_id").cast("string").alias("request_id"), "query")
     return respond.answered(asked, read, E.engines(spark), "rrf-v1", limit)
 
@@ -294,6 +295,25 @@ def provider_requests(spark, d):
     return outgoing.requested(rows).select("request_id", "engine_id", "failure", "url", "body", "cookies", "method")
 
 
+@query(f"""WITH s AS (SELECT CAST(doc_id // {PER_PAGE} AS VARCHAR) AS request_id, doc_id, row_number() OVER (PARTITION BY doc_id // {PER_PAGE} ORDER BY doc_id DESC) AS position FROM documents),
+ u AS (SELECT request_id, 'https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esummary.fcgi?db=pubmed&id=' || string_agg(doc_id, '%2C' ORDER BY position) || '&retmode=json&version=2.0' AS url FROM s GROUP BY request_id)
+ SELECT request_id, u.url AS asked, CAST(position AS INTEGER) AS position, 'https://pubmed.ncbi.nlm.nih.gov/' || doc_id || '/' AS url, 'Document ' || doc_id AS title FROM s JOIN u USING (request_id) WHERE (request_id::BIGINT) % 5 <> 2""")
+def two_steps(spark, d):
+    """PubMed's two steps: the ids that a search brought are what the second request asks
+    for, and its stored response is joined by that address. A fifth of the searches failed."""
+    n = F.floor(F.col("doc_id") / PER_PAGE)
+    docs = S.read(spark, d, "documents").select(n.alias("request_id"), F.lit("pubmed").alias("engine_id"), (-F.col("doc_id")).alias("nth"), F.col("doc_id").alias("uid"), F.lit("").alias("url"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.lit("").alias("content"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("nth", "uid"))), lambda x: x["uid"].cast("string"))
+    listed = docs.groupBy("request_id").agg(ids.alias("ids"))
+    found = F.to_json(F.struct(F.struct(F.col("ids").alias("idlist")).alias("esearchresult")))
+    first = listed.select(F.col("request_id").cast("string").alias("request_id"), F.when(F.col("request_id") % 5 == 2, '{"error": "API rate limit exceeded"}').otherwise(found).alias("body"))
+    asked = first.select("request_id", outgoing.second_step("pubmed", pubmed_ids(F.col("body"))).alias("asked"))
+    second = wire.sent(docs, ["request_id"], ["pubmed"]).join(listed, "request_id").withColumns({"final_url": outgoing.second_step("pubmed", F.col("ids")), "request_id": F.col("request_id").cast("string")}).drop("ids")
+    stored_rows = stored.load(spark, wire.kept(second, "second-step"), "engine_id = 'pubmed'")
+    answered = asked.filter("asked IS NOT NULL").join(stored_rows.withColumnRenamed("request_id", "_sent_for"), F.col("asked") == F.col("final_url")).drop("_sent_for")
+    return R.results(R.read(answered, ["pubmed"]), E.engines(spark)).join(asked, "request_id").select("request_id", "asked", "position", "url", "title")
+
+
 TAKEN = """CASE WHEN n % 7 = 0 THEN 'unknown' WHEN n % 2 = 0 AND n % 4 = 0 THEN 'engine bangs cannot be combined with explicit categories' WHEN n % 3 = 0 AND n % 5 = 0 THEN 'category bangs cannot be combined with explicit engines' END"""
 
 

@@ -83,13 +83,13 @@ def of_engine(table: dict):
     return F.create_map(*[F.lit(x) for i in IDS for x in (i, table[i])])[F.col("engine_id")]
 
 
-def sent(rows: DataFrame, by: list[str]) -> DataFrame:
+def sent(rows: DataFrame, by: list[str], engines: list[str] = IDS) -> DataFrame:
     """Responses from rows (by, engine_id, nth, uid, url, title, content): each group's items, in order, as one body."""
     item = F.struct("nth", F.col("uid").cast("string").alias("uid"), "url", "title", "content")
     grouped = rows.groupBy(*by, "engine_id").agg(F.array_sort(F.collect_list(item)).alias("rows"))
     body = F.lit(None).cast("string")
-    for engine, make in WIRE.items():
-        made = make(F.col("rows"))
+    for engine in engines:
+        made = WIRE[engine](F.col("rows"))
         made = F.concat(F.lit(STATUS[engine]), F.substr(made, F.lit(2))) if engine in STATUS else made
         body = F.when(F.col("engine_id") == engine, made).otherwise(body)
     return grouped.select(

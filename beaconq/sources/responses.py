@@ -101,22 +101,27 @@ def page_outcome(engine: Column, page: Column) -> Column:
     return parsed(page["failure"], F.when(page["props"].isNotNull(), props_results(page["props"])).otherwise(listed))
 
 
-def read(responses: DataFrame) -> DataFrame:
+def read(responses: DataFrame, engines: list[str] | None = None) -> DataFrame:
     """Add ``failure_kind`` and ``results`` to responses, in one pass. Only bodies of pages
-    go to Python, and only those that are not failures already.
+    go to Python, and only those that are not failures already. ``engines``: which engines
+    the responses are of, where that is known, so that no other readers are planned.
 
     What the readers make is exploded from a list of one: the optimizer does not merge a
     projection with an explode, so the expression of all readers is in the plan once,
     however often its outcome is used.
     """
     rows = classified(responses)
-    is_page = F.col("engine_id").isin(*SELECTORS) & F.col("failure_kind").isNull()
-    page = page_results(F.when(is_page, F.coalesce("body", F.lit(""))), F.col("final_url"), F.col("engine_id"))
-    rows = rows.withColumn("_page", page)
+    fine = F.col("failure_kind").isNull()
     out = F.lit(None).cast(PARSED)
     for engine, reader in READERS.items():
-        out = F.when(F.col("engine_id") == engine, reader(F.col("body"))).otherwise(out)
-    out = F.when(is_page, page_outcome(F.col("engine_id"), F.col("_page"))).when(F.col("failure_kind").isNull(), out)
+        if engines is None or engine in engines:
+            out = F.when(F.col("engine_id") == engine, reader(F.col("body"))).otherwise(out)
+    out = F.when(fine, out)
+    if engines is None or any(e in SELECTORS for e in engines):
+        is_page = F.col("engine_id").isin(*SELECTORS) & fine
+        page = page_results(F.when(is_page, F.coalesce("body", F.lit(""))), F.col("final_url"), F.col("engine_id"))
+        rows = rows.withColumn("_page", page)
+        out = F.when(is_page, page_outcome(F.col("engine_id"), F.col("_page"))).otherwise(out)
     both = rows.select("*", F.explode(F.array(out)).alias("_out"))
     # An engine that nothing reads is a failure like any other.
     why = F.coalesce("failure_kind", "_out.failure", F.when(F.col("_out").isNull(), "ENGINE_PARSE_FAILED"))
