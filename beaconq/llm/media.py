@@ -193,8 +193,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
     lists = materialize(listed(docs), "chunk-lists")
     store = store_chunks(docs, lists.agg(F.sum("n_bytes")).first()[0] or 0)
     payloads = lists.groupBy("payload").agg(F.first("digests").alias("digests"), F.count("*").alias("copies"))
-    features = materialize(read_back(payloads, store.rows()), "media-features")
-    store.drop()
+    try:
+        features = materialize(read_back(payloads, store.rows()), "media-features")
+    finally:
+        store.drop()
     return attach(lists.select("doc_id", "n_bytes", "payload"), features, "payload", "copies").select("doc_id", "n_bytes", *FEATURES)
 
 
