@@ -7,6 +7,7 @@ without padding, joined by a dot. The HMAC is composed of two SHA-256 over the k
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,13 +32,18 @@ def base64url(value: Column) -> Column:
     return F.rtrim(F.translate(F.base64(value), "+/\r\n", "-_"), F.lit("="))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def from_base64url(text: Column) -> Column:
     """Bytes of base64url without padding; null for any other text."""
     good = text.rlike(r"^[A-Za-z0-9_-]+$") & (F.length(text) % 4 != 1)
     padded = F.rpad(text, (F.ceil(F.length(text) / 4) * 4).cast("int"), F.lit("="))
     raw = F.try_to_binary(F.translate(F.when(good, padded), "-_", "+/"), F.lit("base64"))
     # The last character may carry bits of no byte, which a strict reader refuses.
-    return F.when(base64url(raw) == text, raw)
+    return bound(raw, lambda r: F.when(base64url(r) == text, r))
 
 
 def sign(query_hash: Column, page: Column, engine_cursors: Column, now_ms: Column, key: bytes) -> Column:
@@ -52,18 +58,26 @@ def opened(cursor: Column, query_hash: Column, now_ms: Column, key: bytes) -> Co
     """(failure, payload): the payload if the cursor is genuine, not expired and of this
     query, else why not. Signatures are compared by their keyed digests, so that how long
     it takes says nothing of how far they agree."""
-    halves = F.split(cursor, r"\.", 2)
-    body, mac = (from_base64url(F.get(halves, F.lit(k))) for k in (0, 1))
-    same = F.coalesce(hmac_sha256(mac, key) == hmac_sha256(hmac_sha256(body, key), key), F.lit(False))
-    payload = F.from_json(F.when(same, F.decode(body, "utf-8")), PAYLOAD)
-    failure = (
-        F.when(body.isNull() | mac.isNull(), "invalid encoding")
-        .when(~same, "invalid signature")
-        .when(payload["expires_at_ms"].isNull() | payload["query_hash"].isNull() | payload["page"].isNull(), "invalid payload")
-        .when(payload["expires_at_ms"] <= now_ms, "expired")
-        .when(payload["query_hash"] != query_hash, "cursor does not belong to this query and engine selection")
-    )
-    return F.struct(failure.alias("failure"), F.when(failure.isNull(), payload).alias("payload"))
+    half = lambda halves, k: bound(F.get(halves, F.lit(k)), from_base64url)
+    halves = bound(F.split(cursor, r"\.", 2), lambda h: F.struct(half(h, 0).alias("body"), half(h, 1).alias("mac")))
+
+    def verified(h: Column) -> Column:
+        body, mac = h["body"], h["mac"]
+        same = hmac_sha256(mac, key) == hmac_sha256(hmac_sha256(body, key), key)
+        why = F.when(body.isNull() | mac.isNull(), "invalid encoding").when(~same, "invalid signature")
+        return bound(why, lambda w: F.struct(w.alias("why"), F.from_json(F.when(w.isNull(), F.decode(body, "utf-8")), PAYLOAD).alias("payload")))
+
+    def judged(v: Column) -> Column:
+        payload = v["payload"]
+        failure = (
+            F.when(v["why"].isNotNull(), v["why"])
+            .when(payload["expires_at_ms"].isNull() | payload["query_hash"].isNull() | payload["page"].isNull(), "invalid payload")
+            .when(payload["expires_at_ms"] <= now_ms, "expired")
+            .when(payload["query_hash"] != query_hash, "cursor does not belong to this query and engine selection")
+        )
+        return bound(failure, lambda f: F.struct(f.alias("failure"), F.when(f.isNull(), payload).alias("payload")))
+
+    return bound(bound(halves, verified), judged)
 
 
 def resumed(requests: DataFrame, key: bytes, now_ms: Column) -> DataFrame:
