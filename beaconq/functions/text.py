@@ -103,6 +103,13 @@ def country_of(locale: Column, country: Column) -> Column:
     return F.upper(F.coalesce(country, F.try_element_at(F.split(locale, "[-_]"), F.lit(2))))
 
 
+def rounded_millis(moment: Column) -> Column:
+    """Milliseconds since 1970, halves away from zero, as SQL's ``epoch_ms`` gives them."""
+    micros = F.unix_micros(moment)
+    up = F.abs(micros) + 500
+    return (F.signum(micros.cast("double")) * ((up - up % 1000) / 1000)).cast("long")
+
+
 def days_back(date: Column, time_range: Column) -> Column:
     """A day, week, month or year earlier; days beyond a month's end are clamped."""
     return (

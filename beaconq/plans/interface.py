@@ -530,7 +530,7 @@ def log_lines(spark, d):
 def cooldown_gate(spark, d):
     """Events report on two engines; a second after each, the engine is asked again. Only
     one of them pauses when access is denied, which is what fails here."""
-    n, at = F.col("event_id"), F.unix_millis(F.col("ts").cast("timestamp"))
+    n, at = F.col("event_id"), T.rounded_millis(F.col("ts").cast("timestamp"))
     engine = F.element_at(F.array(F.lit("duckduckgo-html"), F.lit("google-web")), (F.col("user_id") % 2 + 1).cast("int"))
     kind = F.when(n % 3 == 0, "ENGINE_ACCESS_DENIED").when(n % 3 == 2, "ENGINE_TIMEOUT")
     rows = S.read(spark, d, "events").select(engine.alias("engine_id"), at.alias("at_ms"), n.alias("nth"), kind.alias("failure_kind"))
