@@ -27,13 +27,13 @@ def in_steps(rows, moment: str, parts: int = PARTS):
 
 @query(ORACLES["rate_limit_window"])
 def rate_limit_stream(spark, d):
-    """Clients over the limit, as a stream; a row a day later, of no client, closes the last minute."""
+    """Clients over the limit, as a stream; a row a day later, of no client, closes the last minute. Its own minute stays open."""
     calls = S.read(spark, d, "events").select((F.col("user_id") % 3).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     calls = in_steps(calls, "ts")
     end = calls.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast("long").alias("client"), "ts", F.lit(PARTS).alias("part"))
     both = calls.unionByName(end)
     found = replay.replayed(both, "part", PARTS + 1, lambda rows: state.over_limit_stream(rows, 1), "calls")
-    return found.filter("client IS NOT NULL").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    return found.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 def puts(rows, key, at, order_by, tie, value, expires_at):

@@ -21,9 +21,11 @@ def laid_out(rows: DataFrame, part: str, parts: int, name: str) -> str:
     return path
 
 
-def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The folder as a stream that takes a file a batch, the oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{path}/step=*")
+def stream_of(spark: SparkSession, path: str, schema, files: int | None = 1) -> DataFrame:
+    """The folder as a stream that takes ``files`` a batch (None: all there are), the oldest first."""
+    reader = spark.readStream.schema(schema).option("latestFirst", "false")
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{path}/step=*")
 
 
 def started(rows: DataFrame, at: str, mode: str = "append") -> StreamingQuery:
@@ -33,11 +35,35 @@ def started(rows: DataFrame, at: str, mode: str = "append") -> StreamingQuery:
     return rows.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/rows").format("parquet").trigger(availableNow=True).start()
 
 
+def waiting(rows: DataFrame, part: str, name: str) -> tuple[str, Callable[[int], None]]:
+    """Rows written once, by all tasks, beside an empty folder, and a function that moves a
+    step of them into it, whole, as it would arrive; gives the folder and that."""
+    spark = rows.sparkSession
+    path, aside = shared_path(spark, name), shared_path(spark, f"{name}-aside")
+    rows.write.partitionBy(part).parquet(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(path))
+
+    def come(step: int) -> None:
+        there, to = hadoop.Path(f"{aside}/{part}={step}"), hadoop.Path(f"{path}/step={step}")
+        if not fs.exists(there):
+            spark.createDataFrame([], rows.drop(part).schema).write.parquet(to.toString())
+        elif not fs.rename(there, to):
+            raise OSError(f"step {step} could not be moved to {path}")
+
+    return path, come
+
+
 def replayed(rows: DataFrame, part: str, parts: int, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What ``build`` makes of the rows as a stream, after all of them have come."""
+    """What ``build`` makes of the rows as a stream, after all of them have come. A step
+    comes when those before it are done and the stream has stopped, and is one batch: the
+    order is that of the steps whatever times and names their files have."""
     spark = rows.sparkSession
-    schema = rows.drop(part).schema
-    source, at = laid_out(rows, part, parts, name), shared_path(spark, f"{name}-out")
-    out = build(stream_of(spark, source, schema))
-    started(out, at).awaitTermination()
+    source, come = waiting(rows, part, name)
+    at = shared_path(spark, f"{name}-out")
+    out = build(stream_of(spark, source, rows.drop(part).schema, None))
+    for step in range(parts):
+        come(step)
+        started(out, at).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
