@@ -8,6 +8,8 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, functions as F
 
+from beaconq.functions.text import bound
+
 SCAN_BYTES = 65_536
 MOST_BYTES = 2 * 1024 * 1024
 #: Markers in the lower-case head of a body, in the order of testing.
@@ -33,13 +35,14 @@ def lowered(text: Column) -> Column:
 
 
 def body_failure(status: Column, body: Column) -> Column:
-    """Failure kind from status and body text, null if it looks like an answer."""
+    """Failure kind from status and body text, null if it looks like an answer. The head is
+    put in lower case once for all markers."""
     head = lowered(F.substring(F.coalesce(body, F.lit("")).cast("binary"), 1, SCAN_BYTES).cast("string"))
-    return (
-        F.when(status == 429, "ENGINE_RATE_LIMITED")
-        .when(_any(head, RATE_MARKERS), "ENGINE_RATE_LIMITED")
-        .when(_any(head, CHALLENGE_MARKERS), "ENGINE_CHALLENGED")
-        .when((status == 403) | _any(head, DENIED_MARKERS), "ENGINE_ACCESS_DENIED")
+    return bound(
+        F.when(status == 429, RATE_MARKERS[0]).otherwise(head),
+        lambda h: F.when(_any(h, RATE_MARKERS), "ENGINE_RATE_LIMITED")
+        .when(_any(h, CHALLENGE_MARKERS), "ENGINE_CHALLENGED")
+        .when((status == 403) | _any(h, DENIED_MARKERS), "ENGINE_ACCESS_DENIED"),
     )
 
 

@@ -7,10 +7,11 @@ without padding, joined by a dot. The HMAC is composed of two SHA-256 over the k
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from beaconq.functions.text import bound
+
 CURSOR_MS = 900_000
 BLOCK = 64
 PAYLOAD = "query_hash string, page long, engine_cursors map<string,string>, expires_at_ms long"
@@ -32,11 +33,6 @@ def base64url(value: Column) -> Column:
     return F.rtrim(F.translate(F.base64(value), "+/\r\n", "-_"), F.lit("="))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """What ``use`` makes of a value that is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def from_base64url(text: Column) -> Column:
     """Bytes of base64url without padding; null for any other text."""
     good = text.rlike(r"^[A-Za-z0-9_-]+$") & (F.length(text) % 4 != 1)
