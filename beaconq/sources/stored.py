@@ -1,7 +1,7 @@
 """A table of stored responses as a data source of its own.
 
 Captures lie in Parquet files below ``engine_id=<id>/page=<n>/``, as ``write`` leaves them.
-The source makes one partition of each file. Filters on engine and page are taken over, so
+The source makes a partition of the files of an engine and page, or of ``TASK_BYTES`` of them. Filters on engine and page are taken over, so
 files of other engines and pages are never opened; filters on whether a body is there, on
 status and on duration skip row groups by their statistics. Columns that are not asked for
 are not read, as ``columns`` names those to read.
@@ -27,6 +27,10 @@ FIELDS = StructType(
     ]
 )
 NAME = "stored-responses"
+#: What a worker holds at a time: rows, about so many bytes of them, and a read-ahead.
+BATCH_ROWS, BATCH_BYTES, BUFFER_BYTES = 10_000, 8 << 20, 1 << 20
+#: Small files are read by one task up to so many bytes.
+TASK_BYTES = 8 << 20
 PLACE = re.compile(r"(?:^|/)engine_id=([^/]+)/page=(\d+)/[^/]+\.parquet$")
 
 
@@ -53,8 +57,10 @@ def load(spark: SparkSession, path: str, where: str | None = None, columns: list
 
 
 @dataclass
-class File(InputPartition):
-    path: str
+class Files(InputPartition):
+    """Files of one engine and page, read one after another by a task."""
+
+    paths: list[str]
     engine_id: str
     page: int
 
@@ -102,7 +108,7 @@ class Reader(DataSourceReader):
                     self.within.append((name, "=" if isinstance(f, EqualTo) else ">=", f.value))
                 yield f
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
         """The files of the engines and pages that are asked for; other folders are not listed."""
         from pyarrow import fs
 
@@ -113,23 +119,34 @@ class Reader(DataSourceReader):
             name = engine.base_name.removeprefix("engine_id=")
             if engine.type != fs.FileType.Directory or not engine.base_name.startswith("engine_id=") or self.engines is not None and name not in self.engines:
                 continue
+            size = 0
             for f in sorted(at.get_file_info(fs.FileSelector(engine.path, recursive=True)), key=lambda x: x.path):
                 m = PLACE.search(f.path)
                 if m and (self.pages is None or int(m[2]) in self.pages):
-                    found.append(File(f.path, name, int(m[2])))
-        return found or [File("", "", 0)]
-
-    def read(self, partition: File) -> Iterator[pa.RecordBatch]:
+                    same = found and (found[-1].engine_id, found[-1].page) == (name, int(m[2]))
+                    if not same or size + f.size > TASK_BYTES:
+                        found.append(Files([], name, int(m[2])))
+                        size = 0
+                    found[-1].paths.append(f.path)
+                    size += f.size
+        return found or [Files([], "", 0)]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        import pyarrow.parquet as pq
 
-        if not partition.path:
-            return
         at, _ = fs.FileSystem.from_uri(self.path)
+        for path in partition.paths:
+            yield from self._read(at, path, partition)
+
+    def _read(self, at, path: str, partition: Files) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
         given = {"engine_id": pa.scalar(partition.engine_id, pa.string()), "page": pa.scalar(partition.page, pa.int32())}
-        file = pq.ParquetFile(at.open_input_file(partition.path))
+        file = pq.ParquetFile(at.open_input_file(path), buffer_size=BUFFER_BYTES)
         groups = [k for k in range(file.num_row_groups) if not self._missed(file.metadata.row_group(k))]
-        for batch in file.iter_batches(row_groups=groups, columns=[c for c in self.columns if c not in given]):
+        size = sum(file.metadata.row_group(k).total_byte_size for k in groups) / max(1, sum(file.metadata.row_group(k).num_rows for k in groups))
+        rows = int(max(1, min(BATCH_ROWS, BATCH_BYTES // max(1, size))))
+        for batch in file.iter_batches(rows, row_groups=groups, columns=[c for c in self.columns if c not in given]):
             columns = [pa.repeat(given[c], batch.num_rows) if c in given else batch[c] for c in self.columns]
             yield pa.RecordBatch.from_arrays(columns, names=self.columns)
 
