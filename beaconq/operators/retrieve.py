@@ -73,13 +73,14 @@ def blocks(queries: DataFrame, most: int = BLOCK_TERMS) -> Iterator[Asked]:
 
 def occurrences(docs: DataFrame, asked: Asked, carried: list[str]) -> DataFrame:
     """(doc_id, carried, dl, terms, counts) for each document (doc_id, text): its number of
-    words, which of the asked terms it has, by number, and how often. One pass, no shuffle."""
+    words, which of the asked terms it has, by number, and how often. One pass, no shuffle,
+    and the words of ``CHUNK`` documents at a time as numbers."""
     sent = docs.sparkSession.sparkContext.broadcast(asked.terms)
     names = ["doc_id", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(sent.value, pa.string())
-        for batch in batches:
+        for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
             words = batch["words"]
             sizes = np.diff(words.offsets.to_numpy())
             found = pc.index_in(words.flatten(), known).fill_null(-1).to_numpy()
