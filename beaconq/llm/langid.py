@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ ROWS_PER_LANGUAGE, MOST_ROWS = 400, 200_000
 BITS_PER_DOUBLING, BITS_BESIDES = 3, 4
 #: Two best codewords nearer than this (difference of their probabilities) are ambiguous.
 MARGIN = 0.2
-WORDS_KEPT = 300_000
+WORDS_KEPT, GRAMS_KEPT = 300_000, 1 << 18
+#: New words whose votes are worked out at once.
+WORDS_AT_ONCE = 4096
 #: Steepness of a word's vote, and how much a unanimous vote weighs in decoding.
 STEEPNESS, UNANIMOUS = 0.5, 8.0
 UNKNOWN = "und"
@@ -43,14 +46,25 @@ NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.categor
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class Grams(dict):
+    """Hash rows of n-grams as they are met, in a table of bounded size."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= GRAMS_KEPT:
+            self.clear()
+        row = self[gram] = zlib.crc32(gram.encode("utf-8", "replace")) % BUCKETS
+        return row
+
+
+GRAMS = Grams()
+
+
 def word_rows(word: str) -> list[int]:
     """Hash rows of a word's n-grams of one to three characters, ends marked."""
     marked = f"<{word}>"
-    return [
-        zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS
-        for n in (1, 2, 3)
-        for i in range(len(marked) - n + 1)
-    ]
+    size = len(marked)
+    grams = [*marked, *[marked[i : i + 2] for i in range(size - 1)], *[marked[i : i + 3] for i in range(size - 2)]]
+    return list(map(GRAMS.__getitem__, grams))
 
 
 def words_of(text: str) -> list[str]:
@@ -137,20 +151,26 @@ class Voter:
         self.model, self.index = model, {}
         self.votes = np.empty((1024, model.code.shape[1]), np.float32)
 
-    def _vote(self, word: str) -> int:
-        rows, k = word_rows(word), len(self.index)
-        if k == len(self.votes):
-            self.votes = np.concatenate([self.votes, np.empty_like(self.votes)])
-        self.votes[k] = np.tanh(STEEPNESS * self.model.weights[rows].sum(axis=0) / len(rows) ** 0.5)
-        self.index[word] = k
-        return k
+    def _learn(self, words: list[str]) -> None:
+        """Votes of new words, each given once."""
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some, first = words[at : at + WORDS_AT_ONCE], len(self.index)
+            found = list(map(word_rows, some))
+            while first + len(some) > len(self.votes):
+                self.votes = np.concatenate([self.votes, np.empty_like(self.votes)])
+            sizes = np.array(list(map(len, found)))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+            sums = np.add.reduceat(self.model.weights.take(flat, axis=0), np.cumsum(sizes) - sizes, axis=0)
+            self.votes[first : first + len(some)] = np.tanh(STEEPNESS * sums / np.sqrt(sizes).astype(np.float32)[:, None])
+            self.index.update(zip(some, range(first, first + len(some))))
 
     def margins(self, words: list[str]) -> np.ndarray:
         if len(self.index) > WORDS_KEPT:
             self.index.clear()
         ids = list(map(self.index.get, words))
         if None in ids:
-            ids = [self.index[w] if w in self.index else self._vote(w) for w in words]
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, ids) if k is None)))
+            ids = list(map(self.index.get, words))
         return UNANIMOUS * self.votes.take(ids, axis=0).mean(axis=0, dtype=np.float64)
 
 
