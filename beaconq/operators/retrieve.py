@@ -48,6 +48,12 @@ class Asked:
             np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([k for h in held.values() for k in h], np.int64),
         )
 
+    def part(self, low: int, high: int) -> Asked:
+        """The same terms for some of the queries, numbered from zero."""
+        kept = (self.holders >= low) & (self.holders < high)
+        starts = np.concatenate([[0], np.cumsum(kept)])[self.starts].astype(np.int64)
+        return Asked(self.ids[low:high], self.terms, self.sizes[low:high], starts, self.holders[kept] - low)
+
     def spread(self, rows: np.ndarray, terms: np.ndarray, values: list[np.ndarray], n: int) -> list[np.ndarray]:
         """For occurrences (row, term, values) the sums of values by row and query: arrays (n, queries)."""
         times = self.starts[terms + 1] - self.starts[terms]
