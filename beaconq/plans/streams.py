@@ -55,7 +55,7 @@ def ttl_cache_stream(spark, d):
     n = F.col("event_id")
     entries = puts(S.read(spark, d, "events"), F.col("user_id"), second(F.lit(1)), n, (n % 7 == 0), F.when(n % 7 == 0, "negative").otherwise("positive"), second(n)).withColumn("part", F.pmod(F.xxhash64("order_by"), F.lit(2)).cast("int"))
     asked = asks(S.read(spark, d, "customer"), F.col("c_custkey"), second(F.lit(300)), F.col("c_custkey")).withColumn("part", F.lit(2))
-    found = replay.replayed(entries.unionByName(asked), "part", 3, lambda rows: ttl.answered(rows, "1 hour"), "cache")
+    found = replay.replayed(ttl.last_of_moment(entries, "part").unionByName(asked), "part", 3, lambda rows: ttl.answered(rows, "1 hour"), "cache")
     return found.select(F.col("request_id").cast("long").alias("c_custkey"), F.col("value").alias("hit"))
 
 
@@ -69,7 +69,7 @@ def continuation_stream(spark, d):
     events = S.read(spark, d, "events")
     given = puts(events, key, second(F.lit(1)), n, F.lit(""), n, second(n + lives)).withColumn("part", F.pmod(F.xxhash64("order_by"), F.lit(2)).cast("int"))
     asked = asks(events.select(key.alias("k")).distinct(), F.col("k"), second(F.lit(1000)), F.col("k")).withColumn("part", F.lit(2))
-    found = replay.replayed(given.unionByName(asked), "part", 3, lambda rows: ttl.answered(rows, "1 hour"), "continuations").filter("value IS NOT NULL")
+    found = replay.replayed(ttl.last_of_moment(given, "part").unionByName(asked), "part", 3, lambda rows: ttl.answered(rows, "1 hour"), "continuations").filter("value IS NOT NULL")
     part = F.split("key", r"\|")
     return found.select(part[0].alias("engine_id"), part[1].cast("long").alias("key"), F.col("value").cast("long").alias("value"))
 
