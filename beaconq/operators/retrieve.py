@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from beaconq.functions import text as T
-from beaconq.session import shared_path
+from beaconq.session import bound_batches, shared_path
 
 K1, B = 1.2, 0.75
 #: Queries are asked in blocks of about so many terms, which are sent to all tasks.
@@ -81,6 +81,7 @@ def occurrences(docs: DataFrame, asked: Asked, carried: list[str]) -> DataFrame:
     """(doc_id, carried, dl, terms, counts) for each document (doc_id, text): its number of
     words, which of the asked terms it has, by number, and how often. One pass, no shuffle,
     and the words of ``CHUNK`` documents at a time as numbers."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(asked.terms)
     names = ["doc_id", *carried]
 

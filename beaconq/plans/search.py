@@ -82,10 +82,11 @@ def provider_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three providers' lists for each benchmark query, 20 results each at most.
 
     Documents are read and cut to words once for each block of queries; only which of the
-    asked terms they have is joined to the labels, and each task keeps the first 20.
+    asked terms they have is joined to the labels, and each task keeps the first 20. It is
+    written in between: in one stage, a task would have three Python workers at once.
     """
     asked = list(retrieve.blocks(benchmark_queries(spark, sf_dir)))
-    return functools.reduce(DataFrame.unionByName, [lists_of(spark, sf_dir, found_terms(spark, sf_dir, a), a) for a in asked])
+    return functools.reduce(DataFrame.unionByName, [lists_of(spark, sf_dir, retrieve.written(found_terms(spark, sf_dir, a), "occurrences"), a) for a in asked])
 
 
 def lists_of(spark: SparkSession, sf_dir: str, found: DataFrame, asked: retrieve.Asked) -> DataFrame:

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Bytes of rows that a Python worker is given at a time.
+BATCH_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -45,6 +47,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/beaconq/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send long texts to Python some megabytes at a time, not 10,000 rows or 64 MB, unless
+    the session says how much itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that do not have it on their path."""
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Id, kind, categories, weight, response TTL, negative TTL, largest page (0: any), time ranges.
 ENGINES = [
@@ -68,10 +70,16 @@ ENGINE_SCHEMA = (
 )
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that is part of the plan; made from a list, it would be read by Python workers of its own."""
+    kinds = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.table([list(c) for c in zip(*rows)], names=kinds.names), kinds)
+
+
 def engines(spark: SparkSession) -> DataFrame:
     """The catalogue, in its order."""
     rows = [(i, *e, *DETAILS[e[0]], RESULT_CATEGORIES.get(e[0], e[2][0]), True, SWITCHED.get(e[0])) for i, e in enumerate(ENGINES)]
-    return spark.createDataFrame(rows, ENGINE_SCHEMA)
+    return local_rows(spark, rows, ENGINE_SCHEMA)
 
 
 def engine(spark: SparkSession, engine_id: str) -> DataFrame:
@@ -86,4 +94,4 @@ def bang_rows() -> list[tuple[str, str, list[str]]]:
 
 
 def bangs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(bang_rows(), "alias string, kind string, targets array<string>")
+    return local_rows(spark, bang_rows(), "alias string, kind string, targets array<string>")

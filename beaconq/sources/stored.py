@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, IsNotNull
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
+from beaconq.session import BATCH_BYTES, bound_batches
+
 #: The fields of ``responses.RESPONSES``, as types, which workers without a session need.
 FIELDS = StructType(
     [
@@ -27,16 +29,19 @@ FIELDS = StructType(
     ]
 )
 NAME = "stored-responses"
-#: What a worker holds at a time: rows, about so many bytes of them, and a read-ahead.
-BATCH_ROWS, BATCH_BYTES, BUFFER_BYTES = 10_000, 8 << 20, 1 << 20
+#: What a worker holds at a time, besides about ``BATCH_BYTES`` of rows: at most so many rows, and a read-ahead.
+BATCH_ROWS, BUFFER_BYTES = 10_000, 1 << 20
 #: Small files are read by one task up to so many bytes.
 TASK_BYTES = 8 << 20
 PLACE = re.compile(r"(?:^|/)engine_id=([^/]+)/page=(\d+)/[^/]+\.parquet$")
 
 
 def write(responses: DataFrame, path: str) -> None:
-    """Add responses to the table at ``path``, by engine and page."""
-    responses.write.mode("append").partitionBy("engine_id", "page").parquet(path)
+    """Add responses to the table at ``path``, by engine and page. Bodies are long: a page of
+    the file ends at its size, not at 100 rows, as a reader holds one whole, and none stands
+    for many rows, so that sizes in the file are those of the rows."""
+    writer = responses.write.mode("append").partitionBy("engine_id", "page")
+    writer.option("parquet.page.size.row.check.min", 1).option("parquet.enable.dictionary#body", "false").parquet(path)
 
 
 def load(spark: SparkSession, path: str, where: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -48,6 +53,7 @@ def load(spark: SparkSession, path: str, where: str | None = None, columns: list
     (A filter that holds for all rows makes Spark push anew for each query, at least.)
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bound_batches(spark)
     spark.dataSource.register(StoredResponses)
     reader = spark.read.format(NAME)
     if columns:
