@@ -11,6 +11,8 @@ from beaconq.session import shared_path
 from beaconq.streaming import replay, sinks, state, ttl
 
 PARTS = 4
+#: Seconds in which all pages come once.
+HALF_DAY = 12 * 3600
 
 
 def second(n):
@@ -108,8 +110,9 @@ def frontier_sink(spark, d):
 
 @query("SELECT DISTINCT url FROM (SELECT url FROM pages)")
 def new_pages_stream(spark, d):
-    """Every page comes twice, the second time an hour later, and is new once."""
-    n = F.col("page_id")
-    first = S.read(spark, d, "pages").select("url", second(n).alias("ts")).withColumn("part", F.lit(0))
+    """Every page comes twice, the second time an hour later, and is new once. All come within
+    half a day however many they are, as a page that comes again after a day is new again."""
+    n = F.coalesce("page_id", F.lit(0))
+    first = S.read(spark, d, "pages").select("url", second(F.pmod(n, F.lit(HALF_DAY)) + 1).alias("ts")).withColumn("part", F.lit(0))
     again = first.select("url", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(1).alias("part"))
     return replay.replayed(first.unionByName(again), "part", 2, state.new_pages, "page-arrivals").select("url")
