@@ -20,22 +20,24 @@ def second(n):
 
 
 def in_steps(rows, moment: str, parts: int = PARTS):
-    """Add ``part``: which of ``parts`` equal spans of time a row is in."""
-    low, high = rows.agg(F.min(moment), F.max(moment)).first()
-    span = max(1.0, (high - low).total_seconds() + 1) if low else 1.0
-    at = (F.unix_millis(moment) / 1000 - (low.timestamp() if low else 0)) / span
-    return rows.withColumn("part", F.least(F.floor(at * parts), F.lit(parts - 1)).cast("int"))
+    """Add ``part``: which of ``parts`` equal spans of time a row is in, in whole microseconds."""
+    at = f"unix_micros({moment})"
+    low, high = rows.agg(F.expr(f"min({at})"), F.expr(f"max({at})")).first()
+    low, span = (0, 1) if low is None else (low, high - low + 1)
+    return rows.withColumn("part", F.expr(f"({at} - ({low})) * {parts} div {span}").cast("int"))
 
 
 @query(ORACLES["rate_limit_window"])
 def rate_limit_stream(spark, d):
-    """Clients over the limit, as a stream; a row a day later, of no client, closes the last minute. Its own minute stays open."""
+    """Clients over the limit, as a stream; a row a day later, of no client, closes the last minute. Its own minute stays open.
+    Calls of no known moment never come in a stream of moments; they are counted beside it, as a minute of their own."""
     calls = S.read(spark, d, "events").select((F.col("user_id") % 3).alias("client"), F.col("ts").cast("timestamp").alias("ts"))
-    calls = in_steps(calls, "ts")
+    timeless = calls.filter("ts IS NULL").groupBy("client", F.col("ts").alias("minute")).agg(F.count("*").alias("n")).filter("n > 1")
+    calls = in_steps(calls.filter("ts IS NOT NULL"), "ts")
     end = calls.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast("long").alias("client"), "ts", F.lit(PARTS).alias("part"))
     both = calls.unionByName(end)
     found = replay.replayed(both, "part", PARTS + 1, lambda rows: state.over_limit_stream(rows, 1), "calls")
-    return found.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    return found.unionByName(timeless).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 def puts(rows, key, at, order_by, tie, value, expires_at):
